@@ -37,3 +37,61 @@ def calendar_cte(dates: str = "dates") -> str:
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip().rstrip(",") for c in ctes) + "\n"
+
+
+# ---- typed result projections ------------------------------------------------
+# spec: "name:kind ..." with kind  s=string  d=date->text  t=timestamp->text
+#       i=INT  l=BIGINT  f=double rounded to 4 dp  f2=double rounded to 2 dp  x=as is
+
+def _spec(spec: str):
+    out = []
+    for tok in spec.split():
+        name, _, kind = tok.partition(":")
+        out.append((name, kind or "x"))
+    return out
+
+
+def out_cols(spec: str):
+    from pyspark.sql import functions as F
+    from ..functions.expr import rnd
+    cols = []
+    for name, kind in _spec(spec):
+        c = F.col(name)
+        if kind == "d":
+            c = c.cast("date").cast("string")
+        elif kind == "t":
+            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        elif kind == "i":
+            c = c.cast("int")
+        elif kind == "l":
+            c = c.cast("long")
+        elif kind == "f":
+            c = rnd(c.cast("double"))
+        elif kind == "f2":
+            c = rnd(c.cast("double"), 2)
+        elif kind == "s":
+            c = c.cast("string")
+        cols.append(c.alias(name))
+    return cols
+
+
+def out_sql(spec: str, prefix: str = "") -> str:
+    parts = []
+    for name, kind in _spec(spec):
+        e = f"{prefix}{name}"
+        if kind == "d":
+            e = f"CAST(CAST({e} AS DATE) AS VARCHAR)"
+        elif kind == "t":
+            e = f"strftime({e}, '%Y-%m-%d %H:%M:%S')"
+        elif kind == "i":
+            e = f"CAST({e} AS INTEGER)"
+        elif kind == "l":
+            e = f"CAST({e} AS BIGINT)"
+        elif kind == "f":
+            e = r(f"CAST({e} AS DOUBLE)")
+        elif kind == "f2":
+            e = r(f"CAST({e} AS DOUBLE)", 2)
+        elif kind == "s":
+            e = f"CAST({e} AS VARCHAR)"
+        parts.append(f"{e} AS {name}")
+    return ", ".join(parts)

@@ -199,12 +199,12 @@ hanchor AS (
          CASE WHEN m = 0 THEN hspring.sd ELSE make_date(CAST(hyears.y AS INT), m, d) END AS anchor
   FROM hyears CROSS JOIN hrules LEFT JOIN hspring ON hspring.y = hyears.y),
 hlegal AS (
-  SELECT name, lo, hi, CAST(anchor + k AS DATE) AS hdate
+  SELECT name, lo, hi, CAST(anchor + CAST(k AS INTEGER) AS DATE) AS hdate
   FROM hanchor, (SELECT unnest(range(0, 7)) AS k) ks
   WHERE anchor IS NOT NULL AND k < legal_days),
 legal AS (SELECT hdate AS date, min(name) AS legal_name FROM hlegal GROUP BY hdate),
 hwin AS (
-  SELECT CAST(hdate + off AS DATE) AS date, arg_min(name, hdate) AS window_name
+  SELECT CAST(hdate + CAST(off AS INTEGER) AS DATE) AS date, arg_min(name, hdate) AS window_name
   FROM hlegal, (SELECT unnest(range(-7, 8)) AS off) os
   WHERE off BETWEEN lo AND hi
   GROUP BY 1)"""
