@@ -118,12 +118,12 @@ def date_flags(df: DataFrame, d: str = "sale_date") -> DataFrame:
     q_start = F.make_date(F.year(x), (F.quarter(x) - 1) * 3 + 1, F.lit(1))
     return df.select(
         "*", F.dayofyear(x).alias("dayofyear"), F.weekofyear(x).alias("weekofyear"),
-        (F.dayofmonth(x) == 1).cast("int").alias("is_month_start"),
-        (x == F.last_day(x)).cast("int").alias("is_month_end"),
-        (x == q_start).cast("int").alias("is_quarter_start"),
-        (x == F.date_sub(F.add_months(q_start, 3), 1)).cast("int").alias("is_quarter_end"),
-        ((F.month(x) == 1) & (F.dayofmonth(x) == 1)).cast("int").alias("is_year_start"),
-        ((F.month(x) == 12) & (F.dayofmonth(x) == 31)).cast("int").alias("is_year_end"),
+        (F.dayofmonth(x) == 1).cast("int").alias("month_start"),
+        (x == F.last_day(x)).cast("int").alias("month_end"),
+        (x == q_start).cast("int").alias("quarter_start"),
+        (x == F.date_sub(F.add_months(q_start, 3), 1)).cast("int").alias("quarter_end"),
+        ((F.month(x) == 1) & (F.dayofmonth(x) == 1)).cast("int").alias("year_start"),
+        ((F.month(x) == 12) & (F.dayofmonth(x) == 31)).cast("int").alias("year_end"),
     )
 
 
