@@ -216,3 +216,219 @@ def product_summary(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
                                            "holiday_boost", "weekend_boost")
     trend = sales_trend(rows, keys)
     return tot.join(trend, keys, "left").join(pat, keys, "left")
+
+
+# ---- A28 / F13: as-of history ---------------------------------------------------------
+
+def asof_history(rows: DataFrame, asof: DataFrame, keys: Sequence[str] = KEYS, ts: str = "sale_ts",
+                 promo: tuple = (20, 22)) -> DataFrame:
+    """A28 + F13: history features of each key at its as-of time (``asof``: keys, as_of).
+
+    One conditional aggregation relative to ``as_of`` (rows joined to their key's
+    as-of on the key):
+      hist mean/std over [as_of - 30 d, ...) (all rows if none), promo ratio
+      mean(promo)/max(mean(other), 0.1) (1.2 if a side is empty), week trend
+      (S[-7d, now) - S[-14d, -7d)) / max(S[-14d, -7d), 1) (0 if a side is empty),
+      last week [as_of - 8 d, as_of - 7 d), recent 3 h [as_of - 3 h, ...)."""
+    keys = _k(keys)
+    r = rows.join(asof, keys, "inner")
+    t, a = F.col(ts), F.col("as_of")
+
+    def ago(days=0, hours=0):
+        return a - F.make_interval(days=F.lit(days), hours=F.lit(hours))
+    h = F.hour(t)
+    is_promo = (h >= promo[0]) & (h < promo[1])
+    recent = t >= ago(30)
+    wk = (t >= ago(7)) & (t < a)
+    pwk = (t >= ago(14)) & (t < ago(7))
+    q = F.col("qty")
+    g = r.groupBy(*keys, "as_of").agg(
+        F.avg(F.when(recent, q)).alias("_rm"), F.stddev_samp(F.when(recent, q)).alias("_rs"),
+        F.count_if(recent).alias("_rn"), F.avg(q).alias("_am"), F.stddev_samp(q).alias("_as"),
+        F.avg(F.when(is_promo, q)).alias("_pm"), F.avg(F.when(~is_promo, q)).alias("_nm"),
+        F.sum(F.when(wk, q)).alias("_w"), F.sum(F.when(pwk, q)).alias("_pw"),
+        F.coalesce(F.sum(F.when((t >= ago(8)) & (t < ago(7)), q)), F.lit(0.0)).alias("last_week_sales"),
+        F.coalesce(F.sum(F.when(t >= ago(hours=3), q)), F.lit(0.0)).alias("recent_3h_sales"))
+    rn = F.col("_rn") > 0
+    return g.select(
+        *keys, "as_of",
+        F.when(rn, F.col("_rm")).otherwise(F.col("_am")).alias("hist_avg_sales"),
+        F.when(rn, F.col("_rs")).otherwise(F.col("_as")).alias("hist_sales_std"),
+        F.coalesce(F.col("_pm") / F.greatest(F.col("_nm"), F.lit(0.1)), F.lit(1.2)).alias("hist_promo_sales_ratio"),
+        F.coalesce((F.col("_w") - F.col("_pw")) / F.greatest(F.col("_pw"), F.lit(1.0)), F.lit(0.0)).alias("sales_trend"),
+        "last_week_sales", "recent_3h_sales")
+
+
+def latest_asof(rows: DataFrame, keys: Sequence[str] = KEYS, ts: str = "sale_ts") -> DataFrame:
+    """As-of = each key's latest till time (a grouped max)."""
+    return rows.groupBy(*keys).agg(F.max(ts).alias("as_of"))
+
+
+# ---- A29 ------------------------------------------------------------------------------
+
+def price_features(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """List-price and discount statistics, 4-bin elasticity (>= 20 rows), discount frequency."""
+    keys = _k(keys)
+    g = rows.groupBy(*keys).agg(
+        F.avg("list_price").alias("avg_price"), F.stddev_samp("list_price").alias("price_std"),
+        F.min("list_price").alias("min_price"), F.max("list_price").alias("max_price"),
+        F.median("list_price").alias("median_price"), F.avg("discount_rate").alias("avg_discount"),
+        F.stddev_samp("discount_rate").alias("discount_std"), F.min("discount_rate").alias("min_discount"),
+        F.max("discount_rate").alias("max_discount"), F.avg("is_promo").alias("discount_frequency"))
+    el = price_elasticity(rows, keys, bins=4, min_rows=20)
+    return g.join(el, keys, "left").withColumn("price_elasticity", F.coalesce("price_elasticity", F.lit(1.2)))
+
+
+# ---- A30 ------------------------------------------------------------------------------
+
+def store_features(tx: DataFrame) -> DataFrame:
+    """Per (store, product): share of the product's stores selling more
+    (``rank() - 1`` over stores / number of stores), traffic min(n/100, 2),
+    conversion min(n/500, 1), mean ticket. The window runs over per-store
+    aggregates of one product (bounded by its number of stores)."""
+    g = tx.groupBy("store_code", "product_code").agg(F.sum("qty").alias("_q"), F.count("*").alias("_n"),
+                                                     F.avg("gross_amount").alias("store_avg_transaction"))
+    w = Window.partitionBy("product_code")
+    rank = F.rank().over(w.orderBy(F.desc("_q"))) - 1
+    return g.select("store_code", "product_code", (rank / F.count("*").over(w)).alias("store_sales_rank"),
+                    F.least(F.col("_n") / 100, F.lit(2.0)).alias("store_traffic_index"),
+                    F.least(F.col("_n") / 500, F.lit(1.0)).alias("store_conversion_rate"),
+                    "store_avg_transaction")
+
+
+# ---- A31 ------------------------------------------------------------------------------
+
+def sales_rate_profile(slots: DataFrame, keys: Sequence[str] = KEYS, start_hour: int = 20, end_hour: int = 22,
+                       hour_col: str = "hour") -> DataFrame:
+    """Slot-quantity mean / max / min in the promo hours, confidence min(0.9, n/100);
+    a key without promo-hour rows gets 5 / 10 / 2 and confidence 0."""
+    inw = (F.col(hour_col) >= start_hour) & (F.col(hour_col) < end_hour)
+    q = F.when(inw, F.col("qty"))
+    g = slots.groupBy(*keys).agg(F.avg(q).alias("_a"), F.max(q).alias("_x"), F.min(q).alias("_m"),
+                                 F.count_if(inw).alias("_n"))
+    return g.select(*keys, F.coalesce("_a", F.lit(5.0)).alias("avg_rate"), F.coalesce("_x", F.lit(10.0)).alias("peak_rate"),
+                    F.coalesce("_m", F.lit(2.0)).alias("low_rate"),
+                    F.least(F.lit(0.9), F.col("_n") / 100).alias("confidence"))
+
+
+# ---- A32 ------------------------------------------------------------------------------
+
+def stage_hours(spark, promotion_start: str, promotion_end: str, time_segments: int) -> DataFrame:
+    """(stage, hour) pairs: stage i covers int(s + i*h) ... int(s + (i+1)*h) inclusive."""
+    s, e = int(promotion_start.split(":")[0]), int(promotion_end.split(":")[0])
+    total = (e - s) if e > s else (24 - s + e)
+    h = total / time_segments
+    pairs = [(i, hr, int(s + (i + 1) * h) - int(s + i * h) + 1)
+             for i in range(time_segments) for hr in range(int(s + i * h), int(s + (i + 1) * h) + 1)]
+    return spark.createDataFrame(pairs, "stage int, hour int, n_hours int")
+
+
+def stage_baseline(rows: DataFrame, keys: Sequence[str] = ("product_code",), promotion_start: str = "20:00",
+                   promotion_end: str = "22:00", time_segments: int = 4, ts: str = "sale_ts",
+                   date_col: str = "sale_date") -> DataFrame:
+    """Baseline units per hour for each promo stage of every key.
+
+    rate = qty in the stage's hours / days in the data's date span / hours in the
+    stage; <= 0 -> 0.5. Hours are matched by an equi-join on hour against the
+    (stage, hour) table (a few rows, broadcast), so no range join reaches fact size.
+    Note: hour values are taken mod 24 of the clock (a 22:00-02:00 window uses 22..24,
+    as the source did: hour 24 never matches)."""
+    keys = _k(keys)
+    sh = stage_hours(rows.sparkSession, promotion_start, promotion_end, time_segments)
+    span = rows.agg((F.datediff(F.max(date_col), F.min(date_col)) + 1).alias("_days"))
+    hit = rows.select(*keys, F.hour(ts).alias("hour"), "qty").join(F.broadcast(sh), "hour", "inner")
+    g = hit.groupBy(*keys, "stage").agg(F.sum("qty").alias("_q"))
+    nh = sh.groupBy("stage").agg(F.first("n_hours").alias("n_hours"))
+    spine = rows.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(time_segments - 1))).alias("stage"))
+    j = (spine.join(g, keys + ["stage"], "left").join(F.broadcast(nh), "stage")
+              .join(F.broadcast(span), how="inner"))   # one-row build side
+    rate = F.coalesce(F.col("_q"), F.lit(0.0)) / F.col("_days") / F.col("n_hours")
+    return j.select(*keys, "stage", F.when(rate > 0, rate).otherwise(F.lit(0.5)).alias("base_rate"))
+
+
+# ---- A37 / A38 ------------------------------------------------------------------------
+
+def cost_estimate(rows: DataFrame, keys: Sequence[str] = ("product_code",)) -> DataFrame:
+    """30 % of the mean discounted price, clipped to [10 %, 90 %] of it."""
+    g = rows.groupBy(*keys).agg(F.avg(F.col("list_price") * F.col("discount_rate")).alias("_m"))
+    c = F.least(F.greatest(F.col("_m") * 0.3, F.col("_m") * 0.1), F.col("_m") * 0.9)
+    return g.select(*keys, c.alias("cost_price"))
+
+
+def product_master(rows: DataFrame, keys: Sequence[str] = ("product_code",)) -> DataFrame:
+    """Latest row's attributes (W14) + estimated cost (A37) + 4-bin elasticity."""
+    from .features import product_attributes
+    keys = _k(keys)
+    order = F.struct("sale_date", "order_id", "line_no")
+    latest = rows.groupBy(*keys).agg(
+        F.max_by("list_price", order).alias("base_price"), F.max_by("category_code", order).alias("category_code"),
+        F.max_by("product_name", order).alias("product_name"), F.count("*").alias("n_rows"),
+        F.count_distinct("sale_date").alias("n_days"), F.avg("qty").alias("avg_qty"))
+    attrs = product_attributes(latest).select(*keys, "base_price", "category_code", "product_name", "n_rows",
+                                              "n_days", "avg_qty", "is_fresh", "shelf_life_hours")
+    el = price_elasticity(rows.withColumn("store_code", F.lit("*")), ["store_code"] + keys, bins=4, min_rows=20).drop("store_code")
+    return attrs.join(cost_estimate(rows, keys), keys, "left").join(el, keys, "left")
+
+
+# ---- A39 / A40 ------------------------------------------------------------------------
+
+def similar_products(products: DataFrame, k: int = 3, group: str = "category_code", price: str = "avg_price",
+                     key: str = "product_code") -> DataFrame:
+    """The k products of the same category nearest in price.
+
+    Order: price distance, then distance in the category's (price, code) order,
+    then code. Under that order the k nearest always lie within k positions on
+    either side (everything between is at least as close in both), so the
+    candidates come from ``lag``/``lead`` over the sorted category (2k per
+    product), never from all pairs of the category."""
+    w = Window.partitionBy(group).orderBy(price, key)
+    wins, cands = [], []
+    for off in range(1, k + 1):
+        for name, fn in (("b", F.lag), ("a", F.lead)):
+            wins += [fn(key, off).over(w).alias(f"_{name}{off}"), fn(price, off).over(w).alias(f"_{name}{off}p")]
+            cands.append(F.struct(F.col(f"_{name}{off}").alias("other"), F.col(f"_{name}{off}p").alias("other_price"),
+                                  F.lit(off).alias("pos")))
+    x = (products.select(key, group, price, *wins)
+                 .select(key, group, price, F.explode(F.array(*cands)).alias("c")).where(F.col("c.other").isNotNull()))
+    x = x.select(key, group, price, "c.other", "c.other_price", "c.pos",
+                 F.abs(F.col("c.other_price") - F.col(price)).alias("distance"))
+    r = F.row_number().over(Window.partitionBy(key).orderBy("distance", "pos", "other"))
+    return x.withColumn("rank", r).where(F.col("rank") <= k)
+
+
+def cold_start_forecast(products: DataFrame, similar: DataFrame, key: str = "product_code",
+                        group: str = "category_code", value: str = "avg_daily_qty") -> DataFrame:
+    """Category forecast (mean of the category's products) x mean adjustment of
+    the similar products (their value / category forecast); category forecast alone
+    when no similar product exists."""
+    cat = products.groupBy(group).agg(F.avg(value).alias("category_forecast"))
+    adj = (similar.join(products.select(F.col(key).alias("other"), F.col(value).alias("_ov")), "other")
+                  .join(cat, group).withColumn("_adj", F.try_divide(F.col("_ov"), F.col("category_forecast")))
+                  .groupBy(key).agg(F.avg("_adj").alias("adjustment")))
+    return (products.select(key, group).join(cat, group).join(adj, key, "left")
+                    .withColumn("forecast", F.col("category_forecast") * F.coalesce("adjustment", F.lit(1.0))))
+
+
+# ---- A41 / M14 ------------------------------------------------------------------------
+
+def future_regressor(daily: DataFrame, keys: Sequence[str] = ("product_code",), value: str = "list_price",
+                     date_col: str = "sale_date", horizon: int = 7) -> DataFrame:
+    """A41 + M14: regressor values for the next ``horizon`` days of every key.
+
+    Default: mean of the last 7 rows; with >= 14 rows and a weekday pattern whose
+    std exceeds 0.3 x its mean, the weekday mean (last-7 mean for a weekday never
+    seen). The weekday profile has <= 7 rows per key."""
+    keys = _k(keys)
+    w = Window.partitionBy(*keys).orderBy(F.desc(date_col))
+    d = daily.withColumn("_rn", F.row_number().over(w))
+    base = d.groupBy(*keys).agg(F.avg(F.when(F.col("_rn") <= 7, F.col(value))).alias("recent_avg"),
+                                F.count("*").alias("_n"), F.max(date_col).alias("_last"))
+    wd = d.groupBy(*keys, F.weekday(date_col).alias("weekday")).agg(F.avg(value).alias("_wm"))
+    pat = wd.groupBy(*keys).agg(F.stddev_samp("_wm").alias("_ws"), F.avg("_wm").alias("_wa"))
+    fut = base.join(pat, keys, "left").select(
+        *keys, "recent_avg", ((F.col("_n") >= 14) & (F.col("_ws") > F.col("_wa") * 0.3)).alias("_use"),
+        F.explode(F.sequence(F.date_add("_last", 1), F.date_add("_last", horizon))).alias("ds"))
+    fut = fut.withColumn("weekday", F.weekday("ds")).join(wd, keys + ["weekday"], "left")
+    return fut.select(*keys, "ds",
+                      F.coalesce(F.when(F.col("_use"), F.coalesce("_wm", "recent_avg")).otherwise(F.col("recent_avg")),
+                                  F.lit(0.0)).alias(value))

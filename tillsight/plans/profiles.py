@@ -1 +1 @@
-"""Queries."""
+"""Profiling and validation queries."""
