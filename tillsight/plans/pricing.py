@@ -1 +1,264 @@
-"""Queries."""
+"""Pricing queries (D1-D18, M16, P31) over plan requests derived from the hourly feed.
+
+Oracles: the stepped plans (D6, D7) are checked against a brute-force
+enumeration of every discount path in DuckDB; everything else is plain SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import patterns as PT
+from ..operators import pricing as PR
+from .features import SLOT_AGG_SQL, hourly_slots
+from .patterns import ENRICHED_SQL, KEYS, elasticity_sql, enriched_hourly
+from .registry import register
+from .sqlparts import out_cols, out_sql, with_
+
+WINDOW = ("20:00", "22:00")
+
+
+def dbl(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+def plan_requests(spark, d):
+    """D13/D14 inputs: one markdown request per (store, product) of the hourly feed.
+
+    stock = ceil(units per sale day); base price = latest list price; cost = A37;
+    sales rate = A31 promo-hour mean; history = A28; elasticity = A29 (4 bins)."""
+    rows = enriched_hourly(spark, d)
+    g = rows.groupBy(*KEYS).agg(
+        F.max_by("list_price", F.struct("sale_ts", "order_id")).alias("base_price"),
+        F.ceil(F.sum("qty") / F.count_distinct("sale_date")).cast("long").alias("initial_stock"),
+        F.avg(F.col("list_price") * F.col("discount_rate")).alias("_m"),
+        F.count("*").alias("total_transactions"), F.count_distinct("sale_date").alias("recent_transaction_days"),
+        F.min("category_code").alias("category_code"))
+    g = g.withColumn("cost_price", F.least(F.greatest(F.col("_m") * 0.3, F.col("_m") * 0.1), F.col("_m") * 0.9)).drop("_m")
+    rate = PT.sales_rate_profile(hourly_slots(spark, d).withColumn("hour", F.col("slot") - 1), KEYS) \
+             .select(*KEYS, F.col("avg_rate").alias("sales_rate"))
+    hist = PT.asof_history(rows, PT.latest_asof(rows, KEYS), KEYS).drop("as_of", "last_week_sales", "recent_3h_sales")
+    el = PT.price_elasticity(rows, KEYS, bins=4, min_rows=20)
+    fresh = F.coalesce(F.col("category_code").startswith("20"), F.lit(False))
+    return (g.join(rate, KEYS, "left").join(hist, KEYS, "left").join(el, KEYS, "left")
+             .select(F.concat_ws("-", *KEYS).alias("plan_id"), *KEYS, "initial_stock", "base_price", "cost_price",
+                     F.coalesce("sales_rate", F.lit(5.0)).alias("sales_rate"), "total_transactions",
+                     "recent_transaction_days", "hist_avg_sales", "hist_sales_std", "hist_promo_sales_ratio",
+                     "sales_trend", F.coalesce("price_elasticity", F.lit(1.2)).alias("price_elasticity"),
+                     fresh.cast("int").alias("is_fresh"), F.when(fresh, 24).otherwise(168).alias("shelf_life_hours"),
+                     F.lit(WINDOW[0]).alias("promotion_start"), F.lit(WINDOW[1]).alias("promotion_end"),
+                     F.lit(0.4).alias("min_discount"), F.lit(0.9).alias("max_discount"), F.lit(4).alias("time_segments"),
+                     F.lit(0.1).alias("min_gross_margin")))
+
+
+_PROMO = "hour(sale_ts) >= 20 AND hour(sale_ts) < 22"
+PLANS_SQL = [*ENRICHED_SQL, SLOT_AGG_SQL, elasticity_sql("er", bins=4, min_rows=20, name="el4"), f"""
+lastp AS (SELECT store_code, product_code, list_price AS base_price FROM (
+  SELECT *, row_number() OVER (PARTITION BY store_code, product_code ORDER BY sale_ts DESC, order_id DESC) AS rn FROM er)
+  WHERE rn = 1),
+pg AS (SELECT store_code, product_code, CAST(ceil(sum(qty) / count(DISTINCT sale_date)) AS BIGINT) AS initial_stock,
+              avg(list_price * discount_rate) AS m, count(*) AS total_transactions,
+              count(DISTINCT sale_date) AS recent_transaction_days, min(category_code) AS category_code
+       FROM er GROUP BY ALL),
+rate AS (SELECT store_code, product_code, coalesce(avg(qty) FILTER (WHERE slot - 1 >= 20 AND slot - 1 < 22), 5.0) AS sales_rate
+         FROM slots GROUP BY ALL),
+ao AS (SELECT store_code, product_code, max(sale_ts) AS as_of FROM er GROUP BY ALL),
+hg AS (
+  SELECT h.store_code, h.product_code,
+    avg(qty) FILTER (WHERE sale_ts >= as_of - INTERVAL 30 DAY) AS rm,
+    stddev_samp(qty) FILTER (WHERE sale_ts >= as_of - INTERVAL 30 DAY) AS rs,
+    count(*) FILTER (WHERE sale_ts >= as_of - INTERVAL 30 DAY) AS rn, avg(qty) AS am, stddev_samp(qty) AS sa,
+    avg(qty) FILTER (WHERE {_PROMO}) AS pm, avg(qty) FILTER (WHERE NOT ({_PROMO})) AS nm,
+    sum(qty) FILTER (WHERE sale_ts >= as_of - INTERVAL 7 DAY AND sale_ts < as_of) AS w,
+    sum(qty) FILTER (WHERE sale_ts >= as_of - INTERVAL 14 DAY AND sale_ts < as_of - INTERVAL 7 DAY) AS pw
+  FROM (SELECT er.*, ao.as_of FROM er JOIN ao ON ao.store_code = er.store_code AND ao.product_code = er.product_code) h
+  GROUP BY ALL),
+hist AS (SELECT store_code, product_code, CASE WHEN rn > 0 THEN rm ELSE am END AS hist_avg_sales,
+                CASE WHEN rn > 0 THEN rs ELSE sa END AS hist_sales_std,
+                coalesce(pm / greatest(nm, 0.1), 1.2) AS hist_promo_sales_ratio,
+                coalesce((w - pw) / greatest(pw, 1.0), 0.0) AS sales_trend FROM hg),
+plans AS (
+  SELECT pg.store_code || '-' || pg.product_code AS plan_id, pg.store_code, pg.product_code, initial_stock, base_price,
+         least(greatest(m * 0.3, m * 0.1), m * 0.9) AS cost_price, coalesce(rate.sales_rate, 5.0) AS sales_rate,
+         total_transactions, recent_transaction_days, hist_avg_sales, hist_sales_std, hist_promo_sales_ratio, sales_trend,
+         coalesce(el4.price_elasticity, 1.2) AS price_elasticity,
+         CAST(coalesce(starts_with(category_code, '20'), false) AS INT) AS is_fresh,
+         CASE WHEN coalesce(starts_with(category_code, '20'), false) THEN 24 ELSE 168 END AS shelf_life_hours,
+         {dbl(0.4)} AS min_discount, {dbl(0.9)} AS max_discount, 4 AS time_segments, {dbl(0.1)} AS min_gross_margin
+  FROM pg JOIN lastp USING (store_code, product_code) LEFT JOIN rate USING (store_code, product_code)
+  LEFT JOIN hist USING (store_code, product_code) LEFT JOIN el4 USING (store_code, product_code))"""]
+
+REQ_SPEC = ("plan_id:s initial_stock:l base_price:f cost_price:f sales_rate:f total_transactions:l "
+            "recent_transaction_days:l hist_avg_sales:f hist_sales_std:f hist_promo_sales_ratio:f sales_trend:f "
+            "price_elasticity:f is_fresh:i shelf_life_hours:i")
+
+
+@register("plan_requests", "D13 D14 A31 A37 A28", sql=with_(*PLANS_SQL) + f"SELECT {out_sql(REQ_SPEC)} FROM plans")
+def q_plan_requests(spark, d):
+    return plan_requests(spark, d).select(*out_cols(REQ_SPEC))
+
+
+# ---- D1 / D2 / D3 / D4 / P31 -------------------------------------------------------
+
+SEG_SPEC = ("plan_id:s t:i start_time:s end_time:s time_remaining:f discount:f price:f min_price:f units:f "
+            "stock_ratio:f price_elasticity_effect:f urgency_factor:f is_high_discount:i is_low_discount:i "
+            "discount_time_interaction:f discount_stock_interaction:f time_stock_interaction:f")
+
+
+@register("segment_ladder_grid", "D1 D2 D3 D4 P31", sql=with_(*PLANS_SQL) + f"""
+, seg AS (SELECT plans.*, CAST(unnest(range(0, 4)) AS INT) AS t FROM plans),
+lv AS (SELECT seg.*, min_discount + CAST(i AS INT) * ((max_discount - min_discount) / 4) AS discount
+       FROM seg, (SELECT unnest(range(0, 5)) AS i) ii)
+SELECT {out_sql(SEG_SPEC)} FROM (
+  SELECT plan_id, t, strftime(TIMESTAMP '2000-01-01 20:00:00' + INTERVAL (t * 30) MINUTE, '%H:%M') AS start_time,
+         strftime(TIMESTAMP '2000-01-01 20:00:00' + INTERVAL (t * 30 + 30) MINUTE, '%H:%M') AS end_time,
+         1.0 - (t * 30) / 120 AS time_remaining, discount, base_price * discount AS price,
+         cost_price / (1.0 - min_gross_margin) AS min_price,
+         CASE WHEN base_price * discount > 0 THEN greatest(0.0, sales_rate * (base_price / (base_price * discount)) * 0.5) ELSE 0.0 END AS units,
+         initial_stock / 100.0 AS stock_ratio, pow(1.0 / discount, price_elasticity) AS price_elasticity_effect,
+         1.0 / ((1.0 - (t * 30) / 120) + 0.1) AS urgency_factor, CAST(discount < 0.7 AS INT) AS is_high_discount,
+         CAST(discount > 0.9 AS INT) AS is_low_discount, discount * (1.0 - (t * 30) / 120) AS discount_time_interaction,
+         discount * initial_stock AS discount_stock_interaction, (1.0 - (t * 30) / 120) * initial_stock AS time_stock_interaction
+  FROM lv)
+""")
+def q_segment_ladder_grid(spark, d):
+    plans = plan_requests(spark, d)
+    g = PR.segment_frame(plans).select("*", F.explode(PR.ladder_linspace()).alias("discount"))
+    g = g.withColumn("price", F.col("base_price") * F.col("discount")) \
+         .withColumn("min_price", PR.min_price_from_margin(F.col("cost_price"), F.col("min_gross_margin"))) \
+         .withColumn("units", PR.stage_units(F.col("sales_rate"), F.col("price"), F.col("base_price"),
+                                             F.col("seg_minutes") / 60.0)) \
+         .withColumn("stock", F.col("initial_stock"))
+    return PR.scenario_features(g).select(*out_cols(SEG_SPEC))
+
+
+# ---- D5 ---------------------------------------------------------------------------
+
+LADDER_SQL = ", ".join(f"({dbl(x)})" for x in PR.STAGGER_LADDER)
+SINGLE_SPEC = "plan_id:s time_slot:s discount:f price:f sold:l revenue:f profit:f"
+
+
+@register("single_discount_plan", "D5 D3 D4", sql=with_(*PLANS_SQL) + f"""
+, c AS (SELECT plan_id, base_price, cost_price, initial_stock, sales_rate, d AS discount, base_price * d AS price,
+               CAST(least(floor(least(sales_rate / 60 * 120 / (d * d), initial_stock)), initial_stock) AS BIGINT) AS sold
+        FROM plans, (VALUES {LADDER_SQL}) l(d)
+        WHERE base_price * d > 0 AND (base_price * d - cost_price) / (base_price * d) >= min_gross_margin),
+b AS (SELECT plan_id, arg_max(discount, (sold * (price - cost_price), discount)) AS discount
+      FROM c WHERE sold * (price - cost_price) > 0 GROUP BY plan_id),
+o AS (SELECT p.plan_id, p.cost_price, coalesce(b.discount, 1.0) AS discount, p.base_price, p.sales_rate, p.initial_stock
+      FROM plans p LEFT JOIN b USING (plan_id))
+SELECT {out_sql(SINGLE_SPEC)} FROM (
+  SELECT plan_id, '20:00-22:00' AS time_slot, discount, base_price * discount AS price,
+         CAST(least(floor(least(sales_rate / 60 * 120 / (discount * discount), initial_stock)), initial_stock) AS BIGINT) AS sold,
+         least(floor(least(sales_rate / 60 * 120 / (discount * discount), initial_stock)), initial_stock) * (base_price * discount) AS revenue,
+         least(floor(least(sales_rate / 60 * 120 / (discount * discount), initial_stock)), initial_stock) * (base_price * discount - cost_price) AS profit
+  FROM o)
+""")
+def q_single_discount_plan(spark, d):
+    return PR.best_single_discount(plan_requests(spark, d)).select(*out_cols(SINGLE_SPEC))
+
+
+# ---- D7 (brute force oracle) ----------------------------------------------------------
+
+def _stagger_paths_sql(slots: int = 4) -> str:
+    """Every discount path of the staggered plan, evaluated step by step."""
+    ctes = [f"""lad AS (
+  SELECT p.plan_id, l.d, p.sales_rate / 60 * (120 / {slots}) / (l.d * l.d) AS units
+  FROM plans p, (VALUES {LADDER_SQL}) l(d)
+  WHERE (p.base_price * l.d > 0 AND (p.base_price * l.d - p.cost_price) / (p.base_price * l.d) >= p.min_gross_margin)
+     OR (l.d = 1.0 AND NOT EXISTS (SELECT 1 FROM (VALUES {LADDER_SQL}) l2(d)
+          WHERE p.base_price * l2.d > 0 AND (p.base_price * l2.d - p.cost_price) / (p.base_price * l2.d) >= p.min_gross_margin)))""",
+            """sg0 AS (
+  SELECT p.plan_id, p.base_price, p.cost_price, l.d AS d0,
+         CAST(least(floor(l.units), p.initial_stock) AS BIGINT) AS x0,
+         p.initial_stock - CAST(least(floor(l.units), p.initial_stock) AS BIGINT) AS k0,
+         0.0 + CAST(least(floor(l.units), p.initial_stock) AS BIGINT) * (p.base_price * l.d - p.cost_price) AS pr0
+  FROM plans p JOIN lad l ON l.plan_id = p.plan_id)"""]
+    for t in range(1, slots):
+        x = f"CAST(least(floor(l.units), s.k{t - 1}) AS BIGINT)"
+        ctes.append(f"""sg{t} AS (
+  SELECT s.*, l.d AS d{t}, {x} AS x{t}, s.k{t - 1} - {x} AS k{t},
+         s.pr{t - 1} + ({x} * (s.base_price * l.d - s.cost_price)
+                        - {dbl(PR.PERCEPTION_WEIGHT)} * abs(l.d - s.d{t - 1}) * {x} * s.base_price) AS pr{t}
+  FROM sg{t - 1} s JOIN lad l ON l.plan_id = s.plan_id)""")
+    last = slots - 1
+    order = ", ".join(f"d{t} DESC, x{t} DESC" for t in range(slots))
+    ctes.append(f"""best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY pr{last} DESC, {order}) AS rk FROM sg{last})
+  WHERE rk = 1)""")
+    union = " UNION ALL ".join(f"SELECT plan_id, base_price, cost_price, {t} AS t, d{t} AS discount, x{t} AS sold, "
+                               f"pr{last} AS total_profit FROM best" for t in range(slots))
+    ctes.append(f"stag AS ({union})")
+    return ",\n".join(ctes)
+
+
+STAG_SPEC = ("plan_id:s t:i time_slot:s discount:f discount_percentage:f sold:l price:f revenue:f profit:f "
+             "total_profit:f")
+
+
+@register("staggered_discount_plan", "D7 D3 D4 D2", sql=with_(*PLANS_SQL, _stagger_paths_sql()) + f"""
+SELECT {out_sql(STAG_SPEC)} FROM (
+  SELECT plan_id, t, strftime(TIMESTAMP '2000-01-01 20:00:00' + INTERVAL (t * 30) MINUTE, '%H:%M') || '-' ||
+         strftime(TIMESTAMP '2000-01-01 20:00:00' + INTERVAL (t * 30 + 30) MINUTE, '%H:%M') AS time_slot,
+         discount, round((1 - discount) * 100, 1) AS discount_percentage, sold, base_price * discount AS price,
+         base_price * discount * sold AS revenue, (base_price * discount - cost_price) * sold AS profit, total_profit
+  FROM stag)
+""")
+def q_staggered_discount_plan(spark, d):
+    return PR.staggered_plan(plan_requests(spark, d)).select(*out_cols(STAG_SPEC))
+
+
+# ---- D6 (brute force oracle) ----------------------------------------------------------
+
+def _demand_sql(d: str, tau: str, stock: str) -> str:
+    """M16 heuristic as SQL text, same operation order as the Spark expression."""
+    base = "coalesce(hist_avg_sales, 10.0)"
+    pf = f"pow(1.0 / {d}, coalesce(price_elasticity, 1.2))"
+    tf = f"exp(3 * (1.0 - {tau}))"
+    sr = f"({stock} / greatest(coalesce(hist_avg_sales, 10.0) * 3, 10.0))"
+    sf = f"(1.0 + 2.0 / (1.0 + exp(-5 * ({sr} - 0.5))))"
+    prf = f"(1.0 + (coalesce(hist_promo_sales_ratio, 1.2) - 1.0) * (1.0 - {tau}))"
+    prod = (f"((CASE WHEN is_fresh = 1 THEN 1.0 + (1.0 - {tau}) * 2.0 ELSE 1.0 END) * "
+            f"(CASE WHEN shelf_life_hours < 24 THEN 1.5 ELSE 1.0 END))")
+    tr = "(1.0 + coalesce(sales_trend, 0.0))"
+    dem = f"{base} * {pf} * {tf} * {sf} * {prf} * {prod} * {tr}"
+    return f"greatest({dbl(0.1)}, least({dem}, {stock} * {dbl(0.8)}))"
+
+
+def _staged_paths_sql(segs: int = 4, levels: int = 5) -> str:
+    ctes = [f"""lv AS (SELECT p.*, min_discount + CAST(i AS INT) * ((max_discount - min_discount) / {levels - 1}) AS lvl
+            FROM plans p, (SELECT unnest(range(0, {levels})) AS i) ii)"""]
+    prev = None
+    for t in range(segs):
+        tau = f"(1.0 - ({t} * 30) / 120)"
+        stock = "p.initial_stock" if t == 0 else f"s.k{t - 1}"
+        src = "lv p" if t == 0 else f"sd{t - 1} s JOIN lv p ON p.plan_id = s.plan_id"
+        x = f"CAST(least(floor({_demand_sql('p.lvl', tau, stock)}), {stock}) AS BIGINT)"
+        keep = "p.plan_id, p.base_price, p.cost_price" if t == 0 else "s.*"
+        prof = f"{x} * (p.base_price * p.lvl - p.cost_price)"
+        acc = f"0.0 + {prof}" if t == 0 else f"s.pr{t - 1} + {prof}"
+        ctes.append(f"""sd{t} AS (SELECT {keep}, p.lvl AS d{t}, {x} AS x{t}, {stock} - {x} AS k{t}, {acc} AS pr{t} FROM {src})""")
+        prev = t
+    order = ", ".join(f"d{t} DESC, x{t} DESC" for t in range(segs))
+    ctes.append(f"""sbest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY pr{prev} DESC, {order}) AS rk FROM sd{prev})
+  WHERE rk = 1)""")
+    union = " UNION ALL ".join(f"SELECT plan_id, base_price, cost_price, {t} AS t, d{t} AS discount, x{t} AS sold, "
+                               f"pr{prev} AS total_profit FROM sbest" for t in range(segs))
+    ctes.append(f"staged AS ({union})")
+    return ",\n".join(ctes)
+
+
+STAGED_SPEC = "plan_id:s t:i start_time:s end_time:s discount:f sold:l price:f revenue:f profit:f total_profit:f"
+
+
+@register("staged_pricing_plan", "D6 D1 D2 M16", sql=with_(*PLANS_SQL, _staged_paths_sql()) + f"""
+SELECT {out_sql(STAGED_SPEC)} FROM (
+  SELECT plan_id, t, strftime(TIMESTAMP '2000-01-01 20:00:00' + INTERVAL (t * 30) MINUTE, '%H:%M') AS start_time,
+         strftime(TIMESTAMP '2000-01-01 20:00:00' + INTERVAL (t * 30 + 30) MINUTE, '%H:%M') AS end_time,
+         discount, sold, base_price * discount AS price, base_price * discount * sold AS revenue,
+         (base_price * discount - cost_price) * sold AS profit, total_profit
+  FROM staged)
+""")
+def q_staged_pricing_plan(spark, d):
+    return PR.staged_plan(plan_requests(spark, d)).select(*out_cols(STAGED_SPEC))
