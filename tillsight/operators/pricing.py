@@ -173,17 +173,21 @@ def stepped_plan(plans: DataFrame, grid: DataFrame, n_steps: int, penalty_weight
                              F.array().cast(path_t).alias("path"))
                 .repartition("plan_id"))
     for t in range(n_steps):
-        x = frontier.join(grid.where(F.col("t") == t).drop("t"), "plan_id", "inner")
+        # left join: a plan whose segments are exhausted keeps its state unchanged
+        x = frontier.join(grid.where(F.col("t") == t).drop("t"), "plan_id", "left")
+        live = F.col("discount").isNotNull()
         units = F.col("units") if units_expr is None else units_expr(F.col("stock_left"))
         x = x.withColumn("sold", F.least(F.floor(units), F.col("stock_left")).cast("long"))
         price = F.col("base_price") * F.col("discount")
         seg = F.col("sold") * (price - F.col("cost_price"))
         if keyed and t > 0:
             seg = seg - F.lit(penalty_weight) * F.abs(F.col("discount") - F.col("last_d")) * F.col("sold") * F.col("base_price")
-        x = x.select("plan_id", *carry, (F.col("stock_left") - F.col("sold")).alias("stock_left"),
-                     F.col("discount").alias("last_d"), (F.col("profit") + seg).alias("profit"),
-                     F.concat("path", F.array(F.struct(F.lit(t).alias("t"), F.col("discount").alias("discount"),
-                                                       F.col("sold").alias("sold")))).alias("path"))
+        step = F.array(F.struct(F.lit(t).alias("t"), F.col("discount").alias("discount"), F.col("sold").alias("sold")))
+        x = x.select("plan_id", *carry,
+                     F.when(live, F.col("stock_left") - F.col("sold")).otherwise(F.col("stock_left")).alias("stock_left"),
+                     F.when(live, F.col("discount")).otherwise(F.col("last_d")).alias("last_d"),
+                     F.when(live, F.col("profit") + seg).otherwise(F.col("profit")).alias("profit"),
+                     F.when(live, F.concat("path", step)).otherwise(F.col("path")).alias("path"))
         key = ["plan_id", *carry, "stock_left"] + (["last_d"] if keyed else [])
         best = x.groupBy(*key).agg(F.max(F.struct("profit", "path", "last_d")).alias("_b"))
         frontier = best.select(*[c for c in key if c != "last_d"], "_b.last_d", "_b.profit", "_b.path")

@@ -225,27 +225,29 @@ def _demand_sql(d: str, tau: str, stock: str) -> str:
     return f"greatest({dbl(0.1)}, least({dem}, {stock} * {dbl(0.8)}))"
 
 
-def _staged_paths_sql(segs: int = 4, levels: int = 5) -> str:
-    ctes = [f"""lv AS (SELECT p.*, min_discount + CAST(i AS INT) * ((max_discount - min_discount) / {levels - 1}) AS lvl
+def _staged_paths_sql(segs: int = 4, levels: int = 5, px: str = "sd") -> str:
+    """Every discount path of the staged plan (segments of 120 // segs minutes); final CTE ``{px}staged``."""
+    seg = 120 // segs
+    n = 120 // seg + (1 if 120 % seg else 0)
+    ctes = [f"""{px}lv AS (SELECT p.*, min_discount + CAST(i AS INT) * ((max_discount - min_discount) / {levels - 1}) AS lvl
             FROM plans p, (SELECT unnest(range(0, {levels})) AS i) ii)"""]
-    prev = None
-    for t in range(segs):
-        tau = f"(1.0 - ({t} * 30) / 120)"
+    for t in range(n):
+        tau = f"(1.0 - ({t} * {seg}) / 120)"
         stock = "p.initial_stock" if t == 0 else f"s.k{t - 1}"
-        src = "lv p" if t == 0 else f"sd{t - 1} s JOIN lv p ON p.plan_id = s.plan_id"
+        src = f"{px}lv p" if t == 0 else f"{px}{t - 1} s JOIN {px}lv p ON p.plan_id = s.plan_id"
         x = f"CAST(least(floor({_demand_sql('p.lvl', tau, stock)}), {stock}) AS BIGINT)"
         keep = "p.plan_id, p.base_price, p.cost_price" if t == 0 else "s.*"
         prof = f"{x} * (p.base_price * p.lvl - p.cost_price)"
         acc = f"0.0 + {prof}" if t == 0 else f"s.pr{t - 1} + {prof}"
-        ctes.append(f"""sd{t} AS (SELECT {keep}, p.lvl AS d{t}, {x} AS x{t}, {stock} - {x} AS k{t}, {acc} AS pr{t} FROM {src})""")
-        prev = t
-    order = ", ".join(f"d{t} DESC, x{t} DESC" for t in range(segs))
-    ctes.append(f"""sbest AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY pr{prev} DESC, {order}) AS rk FROM sd{prev})
+        ctes.append(f"""{px}{t} AS (SELECT {keep}, p.lvl AS d{t}, {x} AS x{t}, {stock} - {x} AS k{t}, {acc} AS pr{t} FROM {src})""")
+    last = n - 1
+    order = ", ".join(f"d{t} DESC, x{t} DESC" for t in range(n))
+    ctes.append(f"""{px}best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY pr{last} DESC, {order}) AS rk FROM {px}{last})
   WHERE rk = 1)""")
     union = " UNION ALL ".join(f"SELECT plan_id, base_price, cost_price, {t} AS t, d{t} AS discount, x{t} AS sold, "
-                               f"pr{prev} AS total_profit FROM sbest" for t in range(segs))
-    ctes.append(f"staged AS ({union})")
+                               f"pr{last} AS total_profit FROM {px}best" for t in range(n))
+    ctes.append(f"{px}staged AS ({union})")
     return ",\n".join(ctes)
 
 
@@ -258,7 +260,226 @@ SELECT {out_sql(STAGED_SPEC)} FROM (
          strftime(TIMESTAMP '2000-01-01 20:00:00' + INTERVAL (t * 30 + 30) MINUTE, '%H:%M') AS end_time,
          discount, sold, base_price * discount AS price, base_price * discount * sold AS revenue,
          (base_price * discount - cost_price) * sold AS profit, total_profit
-  FROM staged)
+  FROM sdstaged)
 """)
 def q_staged_pricing_plan(spark, d):
     return PR.staged_plan(plan_requests(spark, d)).select(*out_cols(STAGED_SPEC))
+
+
+# ---- D8 ------------------------------------------------------------------------------
+
+GREEDY_CANDS = (0.1, 0.2, 0.3, 0.4, 0.5)
+GREEDY_SPEC = "plan_id:s stage:i discount:f price:f expected_sales:f"
+
+
+def greedy_inputs(spark, d):
+    """Plans + per-stage base rates (A32 on the product) + D3 price floor."""
+    plans = plan_requests(spark, d)
+    from ..sources.starschema import hourly_transactions
+    rates = PT.stage_baseline(hourly_transactions(spark, d), ["store_code", "product_code"])
+    arr = rates.groupBy("store_code", "product_code").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("stage", "base_rate"))), lambda x: x["base_rate"]).alias("base_rates"))
+    return (plans.join(arr, ["store_code", "product_code"], "left")
+                 .withColumn("min_price", PR.min_price_from_margin(F.col("cost_price"), F.col("min_gross_margin")))
+                 .withColumn("stage_hours", F.lit(0.5)))
+
+
+def _greedy_sql():
+    e = lambda k, j: f"e{k}[{j}]"
+    n = len(GREEDY_CANDS)
+    cands = ", ".join(dbl(c) for c in GREEDY_CANDS)
+    parts = [f"""sh(stage, hour, n_hours) AS (VALUES (0, 20, 1), (1, 20, 2), (1, 21, 2), (2, 21, 1), (3, 21, 2), (3, 22, 2)),
+span AS (SELECT date_diff('day', min(sale_date), max(sale_date)) + 1 AS days FROM hx),
+gq AS (SELECT store_code, product_code, stage, sum(qty) AS q FROM hx JOIN sh ON sh.hour = hour(hx.sale_ts) GROUP BY ALL),
+nh AS (SELECT DISTINCT stage, n_hours FROM sh),
+sp AS (SELECT p.store_code, p.product_code, s.stage FROM (SELECT DISTINCT store_code, product_code FROM hx) p,
+       (SELECT DISTINCT stage FROM sh) s),
+br AS (SELECT sp.store_code, sp.product_code, sp.stage,
+              CASE WHEN coalesce(gq.q, 0.0) / span.days / nh.n_hours > 0 THEN coalesce(gq.q, 0.0) / span.days / nh.n_hours
+                   ELSE 0.5 END AS base_rate
+       FROM sp LEFT JOIN gq ON gq.store_code = sp.store_code AND gq.product_code = sp.product_code AND gq.stage = sp.stage
+       JOIN nh ON nh.stage = sp.stage, span),
+gp AS (SELECT p.plan_id, CAST(p.initial_stock AS DOUBLE) AS stock, p.base_price AS p0, p.cost_price / (1.0 - p.min_gross_margin) AS minp,
+              b.stage, b.base_rate FROM plans p JOIN br b ON b.store_code = p.store_code AND b.product_code = p.product_code),
+ge AS (SELECT plan_id, stock, p0, minp, stage,
+              list_transform([{cands}], lambda c: CASE WHEN greatest(p0 * (1 - c), minp) > 0
+                   THEN greatest(0.0, base_rate * (p0 / greatest(p0 * (1 - c), minp)) * 0.5) ELSE 0.0 END) AS e
+       FROM gp),
+g0 AS (SELECT plan_id, stock, p0, minp, {", ".join(f"max(e) FILTER (WHERE stage = {k}) AS e{k}" for k in range(4))}
+       FROM ge GROUP BY ALL),
+gs4 AS (SELECT *, 0.0 + {" + ".join(e(k, 1) for k in range(4))} AS cum, 1 AS c0, 1 AS c1, 1 AS c2, 1 AS c3 FROM g0)"""]
+    prev = "gs4"
+    for k in (3, 2, 1, 0):
+        pos = (f"coalesce(list_position(list_transform(range(2, {n + 1}), lambda j: cum - {e(k, 1)} + e{k}[j] >= stock), true), 0)")
+        j = f"CASE WHEN {pos} > 0 THEN {pos} + 1 ELSE {n} END"
+        parts.append(f"""gs{k} AS (SELECT * REPLACE (
+    CASE WHEN cum >= stock THEN cum ELSE cum - {e(k, 1)} + e{k}[{j}] END AS cum,
+    CASE WHEN cum >= stock THEN c{k} ELSE {j} END AS c{k}) FROM {prev})""")
+        prev = f"gs{k}"
+    union = " UNION ALL ".join(
+        f"SELECT plan_id, {k} AS stage, [{cands}][c{k}] AS discount, greatest(p0 * (1 - [{cands}][c{k}]), minp) AS price, "
+        f"e{k}[c{k}] AS expected_sales FROM gs0" for k in range(4))
+    parts.append(f"greedy AS ({union})")
+    return ",\n".join(parts)
+
+
+@register("greedy_clearing_plan", "D8 D3 D4 A32", sql=with_(*PLANS_SQL, _greedy_sql()) + f"SELECT {out_sql(GREEDY_SPEC)} FROM greedy")
+def q_greedy_clearing_plan(spark, d):
+    return PR.greedy_clearing(greedy_inputs(spark, d), stages=4, candidates=GREEDY_CANDS).select(*out_cols(GREEDY_SPEC))
+
+
+# ---- D9 ------------------------------------------------------------------------------
+
+RULE_SPEC = "plan_id:s hour:i remaining:l discount:f2"
+
+
+@register("rule_discount_grid", "D9", sql=with_(*PLANS_SQL) + f"""
+SELECT {out_sql(RULE_SPEC)} FROM (
+  SELECT plan_id, h AS hour, r AS remaining,
+         greatest(greatest(0.95 - 1.2 * (1 - sqrt((24 - h) / 24.0)) - 0.8 * (r / initial_stock), cost_price / base_price), 0.5) AS discount
+  FROM plans, (SELECT unnest(range(18, 24)) AS h) hh,
+       (SELECT 1 AS part) x, LATERAL (SELECT unnest([initial_stock, CAST(ceil(initial_stock / 2) AS BIGINT)]) AS r) rr)
+""")
+def q_rule_discount_grid(spark, d):
+    p = plan_requests(spark, d)
+    g = p.select("plan_id", "initial_stock", "base_price", "cost_price",
+                 F.explode(F.sequence(F.lit(18), F.lit(23))).alias("hour"))
+    g = g.select("*", F.explode(F.array(F.col("initial_stock"), F.ceil(F.col("initial_stock") / 2).cast("long"))).alias("remaining"))
+    g = g.withColumn("discount", PR.rule_discount(F.col("hour"), F.col("initial_stock"), F.col("remaining"),
+                                                  F.col("base_price"), F.col("cost_price")))
+    return g.select(*out_cols(RULE_SPEC))
+
+
+# ---- D10 / D12 / D16 -------------------------------------------------------------------
+
+MET_SPEC = ("plan_id:s total_expected_sales:l total_expected_revenue:f total_expected_profit:f clearance_rate:f "
+            "avg_discount:f avg_gross_margin:f remaining_inventory:l can_clear_inventory:i meets_margin_requirement:i "
+            "reasonable_pricing_strategy:i customer_acceptance_likely:i recommendation:s")
+
+METRICS_SQL = f"""sr AS (SELECT plan_id, t, discount, round((1 - discount) * 100, 1) AS discount_percentage, sold,
+                 base_price * discount * sold AS revenue, (base_price * discount - cost_price) * sold AS profit FROM stag),
+sc AS (SELECT *, abs(discount_percentage - lag(discount_percentage) OVER (PARTITION BY plan_id ORDER BY t)) AS chg FROM sr),
+sm AS (SELECT plan_id, sum(sold) AS tes, sum(revenue) AS ter, sum(profit) AS tep,
+              sum(sold * (1 - discount_percentage / 100)) AS w, max(chg) AS max_change, count(*) AS nseg FROM sc GROUP BY ALL),
+met AS (
+  SELECT sm.plan_id, tes AS total_expected_sales, ter AS total_expected_revenue, tep AS total_expected_profit,
+         CASE WHEN p.initial_stock > 0 THEN tes / p.initial_stock ELSE 0.0 END AS clearance_rate,
+         round((1 - CASE WHEN tes > 0 THEN w / tes ELSE 0.0 END) * 100, 2) AS avg_discount,
+         CASE WHEN ter > 0 THEN tep / ter ELSE 0.0 END AS avg_gross_margin,
+         greatest(0, p.initial_stock - tes) AS remaining_inventory,
+         CASE WHEN nseg > 1 THEN coalesce(max_change <= 20.0, true) ELSE true END AS reasonable, p.min_gross_margin
+  FROM sm JOIN plans p ON p.plan_id = sm.plan_id),
+metf AS (
+  SELECT *, CAST(clearance_rate >= 0.95 AS INT) AS can_clear_inventory,
+         CAST(avg_gross_margin >= min_gross_margin AS INT) AS meets_margin_requirement,
+         CAST(reasonable AS INT) AS reasonable_pricing_strategy, CAST(avg_discount <= 50 AS INT) AS customer_acceptance_likely,
+         CASE WHEN NOT clearance_rate >= 0.95 THEN 'increase_discount_or_extend_window'
+              WHEN NOT avg_gross_margin >= min_gross_margin THEN 'margin_not_met'
+              WHEN NOT reasonable THEN 'smooth_discount_steps' ELSE 'feasible' END AS recommendation FROM met)"""
+
+
+def staggered_metrics(spark, d):
+    plans = plan_requests(spark, d)
+    return PR.plan_metrics(PR.staggered_plan(plans), plans), plans
+
+
+@register("plan_metrics_feasibility", "D10 D12", sql=with_(*PLANS_SQL, _stagger_paths_sql(), METRICS_SQL) +
+          f"SELECT {out_sql(MET_SPEC)} FROM metf")
+def q_plan_metrics_feasibility(spark, d):
+    m, _ = staggered_metrics(spark, d)
+    return m.select(*out_cols(MET_SPEC))
+
+
+BATCH_SPEC = "total_products:l successful:l success_rate:f total_expected_profit:f avg_clearance_rate:f"
+
+
+@register("batch_plan_report", "D16", sql=with_(*PLANS_SQL, _stagger_paths_sql(), METRICS_SQL) + f"""
+SELECT {out_sql(BATCH_SPEC)} FROM (
+  SELECT count(*) AS total_products, count(m.total_expected_sales) AS successful,
+         count(m.total_expected_sales) / count(*) AS success_rate,
+         coalesce(sum(m.total_expected_profit), 0.0) AS total_expected_profit, avg(m.clearance_rate) AS avg_clearance_rate
+  FROM plans p LEFT JOIN metf m ON m.plan_id = p.plan_id)
+""")
+def q_batch_plan_report(spark, d):
+    m, plans = staggered_metrics(spark, d)
+    return PR.batch_report(m, plans).select(*out_cols(BATCH_SPEC))
+
+
+# ---- D11 / D15 / D18 ---------------------------------------------------------------------
+
+EVAL_SPEC = ("plan_id:s total_expected_sales:l total_revenue:f total_profit:f remaining_stock:l sell_out_probability:f "
+             "profit_margin:f average_discount:f stock_clearance_rate:f recommendation:s confidence:f "
+             "sellout_advice:s confidence_advice:s")
+
+
+def _eval_sql(src: str = "sdstaged", name: str = "ev") -> str:
+    return f"""{name}0 AS (SELECT plan_id, sum(sold) AS tes, sum(base_price * discount * sold) AS tr,
+                  sum((base_price * discount - cost_price) * sold) AS tp, avg(discount) AS average_discount
+           FROM {src} GROUP BY plan_id),
+{name} AS (
+  SELECT e.plan_id, tes AS total_expected_sales, tr AS total_revenue, tp AS total_profit,
+         greatest(0, p.initial_stock - tes) AS remaining_stock,
+         CASE WHEN p.initial_stock > 0 THEN least(1.0, tes / p.initial_stock) ELSE 0.0 END AS sell_out_probability,
+         CASE WHEN tr > 0 THEN tp / tr ELSE 0.0 END AS profit_margin, average_discount,
+         CASE WHEN p.initial_stock > 0 THEN tes / p.initial_stock ELSE 0.0 END AS stock_clearance_rate,
+         p.total_transactions, p.recent_transaction_days, p.hist_avg_sales, p.hist_sales_std, p.price_elasticity
+  FROM {name}0 e JOIN plans p ON p.plan_id = e.plan_id)"""
+
+
+@register("schedule_evaluation_confidence", "D11 D15 D18 D14", sql=with_(*PLANS_SQL, _staged_paths_sql(), _eval_sql()) + f"""
+, c AS (
+  SELECT *, CASE WHEN sell_out_probability < 0.7 THEN CASE WHEN profit_margin < 0.1 THEN 'high_risk' ELSE 'sell_out_risk' END
+                 WHEN sell_out_probability < 0.9 THEN CASE WHEN profit_margin > 0.2 THEN 'good_balance' ELSE 'acceptable' END
+                 ELSE CASE WHEN profit_margin > 0.15 THEN 'excellent' ELSE 'conservative' END END AS recommendation,
+         least(greatest(least(total_transactions / 200, recent_transaction_days / 30, 1.0) * 0.25
+              + (CAST(hist_avg_sales IS NOT NULL AS INT) + CAST(hist_sales_std IS NOT NULL AS INT)
+                 + CAST(price_elasticity IS NOT NULL AS INT)) / 3 * 0.25
+              + 0.5 * 0.30 + greatest(1.0 - abs(sell_out_probability - 0.8) * 2, 0.0) * 0.20, 0.1), 0.95) AS confidence
+  FROM ev)
+SELECT {out_sql(EVAL_SPEC)} FROM (
+  SELECT *, CASE WHEN sell_out_probability > 0.9 THEN 'raise_price_or_stock' WHEN sell_out_probability > 0.7
+                 THEN 'keep_pricing' ELSE 'deepen_discount' END AS sellout_advice,
+            CASE WHEN confidence > 0.8 THEN 'execute' WHEN confidence > 0.6 THEN 'execute_and_monitor'
+                 ELSE 'execute_with_fallback' END AS confidence_advice FROM c)
+""")
+def q_schedule_evaluation_confidence(spark, d):
+    plans = plan_requests(spark, d)
+    ev = PR.schedule_evaluation(PR.staged_plan(plans), plans)
+    ev = ev.join(plans.select("plan_id", "total_transactions", "recent_transaction_days", "hist_avg_sales",
+                              "hist_sales_std", "price_elasticity"), "plan_id")
+    return PR.strategy_advice(PR.confidence_score(ev)).select(*out_cols(EVAL_SPEC))
+
+
+# ---- D17 --------------------------------------------------------------------------------
+
+ALT_SPEC = "plan_id:s time_segments:i total_profit:f sell_out_probability:f rank:i"
+
+
+def alternatives(spark, d, options=(4, 6, 2)):
+    """The staged plan with 4 / 6 / 2 segments for every request, compared by profit."""
+    plans = plan_requests(spark, d)
+    alt = (plans.drop("time_segments").select("*", F.explode(F.array(*[F.lit(n) for n in options])).alias("time_segments"))
+                .withColumnRenamed("plan_id", "base_plan_id")
+                .withColumn("plan_id", F.concat_ws("#", "base_plan_id", F.col("time_segments").cast("string"))))
+    ev = PR.schedule_evaluation(PR.staged_plan(alt.drop("base_plan_id")), alt)
+    ev = ev.join(alt.select("plan_id", "base_plan_id", "time_segments"), "plan_id")
+    from pyspark.sql import Window
+    # profits equal up to float noise of the summation order tie -> fewer segments first
+    from ..functions.expr import rnd
+    w = Window.partitionBy("base_plan_id").orderBy(F.desc(rnd("total_profit", 6)), F.asc("time_segments"))
+    return ev.select(F.col("base_plan_id").alias("plan_id"), "time_segments", "total_profit", "sell_out_probability",
+                     F.row_number().over(w).alias("rank"))
+
+
+@register("alternative_strategies", "D17 D6 D11", sql=with_(
+        *PLANS_SQL, _staged_paths_sql(4, px="a4"), _staged_paths_sql(6, px="a6"), _staged_paths_sql(2, px="a2"),
+        _eval_sql("a4staged", "e4"), _eval_sql("a6staged", "e6"), _eval_sql("a2staged", "e2")) + f"""
+, u AS (SELECT plan_id, 4 AS time_segments, total_profit, sell_out_probability FROM e4
+        UNION ALL SELECT plan_id, 6, total_profit, sell_out_probability FROM e6
+        UNION ALL SELECT plan_id, 2, total_profit, sell_out_probability FROM e2)
+SELECT {out_sql(ALT_SPEC)} FROM (
+  SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY floor(total_profit * 1000000 + 0.500001) / 1000000 DESC,
+                                time_segments) AS rank FROM u)
+""")
+def q_alternative_strategies(spark, d):
+    return alternatives(spark, d).select(*out_cols(ALT_SPEC))
