@@ -1 +1,228 @@
-"""Queries."""
+"""Evaluation queries (E1-E9, V6, J7, J8, T5, T7, W11-W13) and model queries.
+
+Evaluation reports are checked on deterministic moving-average forecasts of
+the daily product series (so DuckDB can reproduce them); MLlib fits are
+rows-only queries in ``ml_queries``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import evaluate as EV
+from .registry import register
+from .sales import DAILY_SQL, daily_product_sales
+from .sqlparts import out_cols, out_sql, r, tx_cte, with_
+
+NAIVE = {"last_value": (1, 1), "ma7": (7, 1), "ma14": (14, 1), "ma30": (30, 1)}
+W = "PARTITION BY product_code ORDER BY sale_date"
+
+
+def naive_predictions(spark, d):
+    """Moving-average forecasts of the daily product series: prediction for a day =
+    mean of the previous n days' rows (rows with no history are dropped)."""
+    daily = daily_product_sales(spark, d).select("product_code", "sale_date", F.col("qty").alias("actual"))
+    w = Window.partitionBy("product_code").orderBy("sale_date")
+    parts = []
+    for name, (n, _) in NAIVE.items():
+        p = daily.withColumn("predicted", F.avg("actual").over(w.rowsBetween(-n, -1)))
+        parts.append(p.where(F.col("predicted").isNotNull()).withColumn("model", F.lit(name)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+NAIVE_SQL = "pred AS (" + " UNION ALL ".join(
+    f"SELECT * FROM (SELECT '{m}' AS model, product_code, sale_date, qty AS actual, "
+    f"avg(qty) OVER ({W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS predicted FROM daily) WHERE predicted IS NOT NULL"
+    for m, (n, _) in NAIVE.items()) + ")"
+ERR_SQL = """errs AS (SELECT *, actual - predicted AS error, abs(actual - predicted) AS abs_error,
+                 (actual - predicted) / CASE WHEN actual <> 0 THEN actual ELSE 1.0 END * 100 AS rel_error_pct,
+                 least(greatest((actual - predicted) / CASE WHEN actual <> 0 THEN actual ELSE 1.0 END * 100, -100.0), 100.0)
+                   AS rel_error_clipped FROM pred)"""
+BASE = [tx_cte(), DAILY_SQL, NAIVE_SQL, ERR_SQL]
+
+
+def errors(spark, d, model=None):
+    p = naive_predictions(spark, d)
+    if model:
+        p = p.where(F.col("model") == model)
+    return EV.row_errors(p)
+
+
+ROW_SPEC = ("model:s product_code:s sale_date:d actual:f predicted:f error:f abs_error:f rel_error_pct:f "
+            "rel_error_clipped:f key_mean_actual:f key_mean_predicted:f")
+
+
+@register("forecast_error_rows", "E3 J8", sql=with_(*BASE) + f"""
+SELECT {out_sql(ROW_SPEC)} FROM (
+  SELECT e.*, m.key_mean_actual, m.key_mean_predicted FROM errs e
+  JOIN (SELECT model, product_code, avg(actual) AS key_mean_actual, avg(predicted) AS key_mean_predicted
+        FROM errs GROUP BY ALL) m ON m.model = e.model AND m.product_code = e.product_code)
+""")
+def q_forecast_error_rows(spark, d):
+    return EV.with_key_means(errors(spark, d), ["model", "product_code"]).select(*out_cols(ROW_SPEC))
+
+
+MET_SPEC = "n:l mse:f mae:f rmse:f r2:f mape:f mape_nonzero:f smape:f rating:s quality_warning:s"
+
+
+def metrics_sql(keys: str) -> str:
+    return f"""SELECT {out_sql(keys + ' ' + MET_SPEC)} FROM (
+  SELECT *, CASE WHEN r2 > 0.8 THEN 'excellent' WHEN r2 > 0.6 THEN 'good' WHEN r2 > 0 THEN 'needs_improvement'
+                 ELSE 'negative_r2' END AS rating,
+            CASE WHEN n < 10 THEN 'too_few_samples' WHEN close THEN 'identical_predictions' WHEN r2 < 0 THEN 'negative_r2'
+                 WHEN r2 < 0.3 THEN 'low_r2' END AS quality_warning
+  FROM (
+    SELECT {keys.replace(':s', '').replace(' ', ', ')}, count(*) AS n, avg((actual - predicted) * (actual - predicted)) AS mse,
+           avg(abs(actual - predicted)) AS mae, sqrt(avg((actual - predicted) * (actual - predicted))) AS rmse,
+           CASE WHEN var_pop(actual) > 0 THEN 1 - sum((actual - predicted) * (actual - predicted)) / (var_pop(actual) * count(*)) END AS r2,
+           avg(abs((actual - predicted) / CASE WHEN actual <> 0 THEN actual ELSE 1.0 END)) * 100 AS mape,
+           coalesce(avg(abs((actual - predicted) / actual)) FILTER (WHERE actual <> 0) * 100, 0.0) AS mape_nonzero,
+           coalesce(avg(abs(predicted - actual) / (abs(actual) + abs(predicted))) FILTER (WHERE abs(actual) + abs(predicted) <> 0) * 200, 0.0) AS smape,
+           bool_and(abs(actual - predicted) <= 1e-8 + 1e-5 * abs(predicted)) AS close
+    FROM pred GROUP BY ALL))"""
+
+
+@register("forecast_metrics_by_model", "E1 E2 E9 V6", sql=with_(*BASE) + metrics_sql("model:s"))
+def q_forecast_metrics_by_model(spark, d):
+    return EV.regression_metrics(naive_predictions(spark, d), ["model"]).select(*out_cols("model:s " + MET_SPEC))
+
+
+@register("forecast_metrics_by_product", "E1 E2 V6", sql=with_(*BASE) + metrics_sql("model:s product_code:s"))
+def q_forecast_metrics_by_product(spark, d):
+    return EV.regression_metrics(naive_predictions(spark, d), ["model", "product_code"]) \
+             .select(*out_cols("model:s product_code:s " + MET_SPEC))
+
+
+BAND_SPEC = ("model:s within_10:f within_20:f within_30:f over_prediction:f under_prediction:f perfect:f "
+             "band_10_20:f band_20_50:f band_over_50:f")
+
+
+@register("accuracy_bands", "E4 E5", sql=with_(*BASE) + f"""
+SELECT {out_sql(BAND_SPEC)} FROM (
+  SELECT model, {", ".join(f"avg(CAST({c} AS DOUBLE)) * 100 AS {n}" for n, c in [
+      ("within_10", "abs(rel_error_pct) <= 10"), ("within_20", "abs(rel_error_pct) <= 20"),
+      ("within_30", "abs(rel_error_pct) <= 30"), ("over_prediction", "error < 0"), ("under_prediction", "error > 0"),
+      ("perfect", "error = 0"), ("band_10_20", "abs(rel_error_pct) > 10 AND abs(rel_error_pct) <= 20"),
+      ("band_20_50", "abs(rel_error_pct) > 20 AND abs(rel_error_pct) <= 50"), ("band_over_50", "abs(rel_error_pct) > 50")])}
+  FROM errs GROUP BY model)
+""")
+def q_accuracy_bands(spark, d):
+    return EV.accuracy_bands(errors(spark, d), ["model"]).select(*out_cols(BAND_SPEC))
+
+
+ACC_SPEC = "model:s product_code:s samples:l mean_actual:f mean_predicted:f mae:f mean_rel_error:f accuracy:f"
+ACC_SQL = """acc AS (SELECT model, product_code, count(*) AS samples, avg(actual) AS mean_actual, avg(predicted) AS mean_predicted,
+                avg(abs_error) AS mae, avg(abs(rel_error_pct)) AS mean_rel_error,
+                least(greatest(1 - avg(abs_error) / CASE WHEN avg(actual) > 0 THEN avg(actual) ELSE 1.0 END, 0.0), 1.0) AS accuracy
+         FROM errs GROUP BY ALL)"""
+
+
+@register("product_accuracy", "E6", sql=with_(*BASE, ACC_SQL) + f"SELECT {out_sql(ACC_SPEC)} FROM acc")
+def q_product_accuracy(spark, d):
+    return EV.key_accuracy(errors(spark, d), ["model", "product_code"]).select(*out_cols(ACC_SPEC))
+
+
+@register("most_accurate_products", "T5 E6", sql=with_(*BASE, ACC_SQL) + f"""
+SELECT {out_sql(ACC_SPEC)} FROM (
+  SELECT * FROM (SELECT * FROM acc WHERE model = 'ma7' AND samples >= 5 ORDER BY samples DESC, product_code LIMIT 10)
+  ORDER BY accuracy DESC, product_code LIMIT 3)
+""")
+def q_most_accurate_products(spark, d):
+    acc = EV.key_accuracy(errors(spark, d, "ma7"), ["model", "product_code"])
+    return EV.best_keys(acc).select(*out_cols(ACC_SPEC))
+
+
+LEVEL_SPEC = "model:s level:i mean_actual:f mean_predicted:f mean_error:f"
+
+
+@register("sales_level_bins", "E7", sql=with_(*BASE) + f"""
+, st AS (SELECT model, quantile_cont(actual, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q, min(actual) AS lo, max(actual) AS hi,
+                count(DISTINCT actual) AS nd FROM errs GROUP BY model),
+j AS (SELECT e.*, st.q, st.lo, st.hi, st.nd FROM errs e JOIN st USING (model)),
+b AS (SELECT *, CAST(CASE WHEN len(list_distinct(q)) = 6 THEN len(list_filter(q[2:5], lambda x: x < actual))
+                     WHEN nd >= 5 THEN CASE WHEN actual > lo THEN least(ceil((actual - lo) / ((hi - lo) / 5)) - 1, 4) END
+                     WHEN nd >= 2 THEN least(ceil((actual - (lo - 0.1)) / ((hi + 0.1 - (lo - 0.1)) / nd)) - 1, nd - 1)
+                END AS INT) AS level FROM j),
+g AS (SELECT model, level, avg(actual) AS mean_actual, avg(predicted) AS mean_predicted, avg(error) AS mean_error
+      FROM b WHERE level IS NOT NULL GROUP BY ALL)
+SELECT {out_sql(LEVEL_SPEC)} FROM g WHERE model IN (SELECT model FROM g GROUP BY model HAVING count(*) > 1)
+""")
+def q_sales_level_bins(spark, d):
+    return EV.level_bins(errors(spark, d), ["model"]).select(*out_cols(LEVEL_SPEC))
+
+
+HIST_SPEC = "model:s bin:i count:l"
+
+
+@register("error_histogram", "E8", sql=with_(*BASE) + f"""
+, st AS (SELECT model, CASE WHEN max(error) = min(error) THEN min(error) - 0.5 ELSE min(error) END AS lo,
+                (CASE WHEN max(error) = min(error) THEN max(error) + 0.5 ELSE max(error) END
+                 - CASE WHEN max(error) = min(error) THEN min(error) - 0.5 ELSE min(error) END) / 30 AS w
+         FROM errs GROUP BY model)
+SELECT {out_sql(HIST_SPEC)} FROM (
+  SELECT e.model, least(floor((error - lo) / w), 29) AS bin, count(*) AS count FROM errs e JOIN st USING (model) GROUP BY ALL)
+""")
+def q_error_histogram(spark, d):
+    return EV.error_histogram(errors(spark, d), ["model"]).select(*out_cols(HIST_SPEC))
+
+
+CUM_SPEC = "model:s product_code:s sale_date:d abs_error:f cum_share:f"
+
+
+@register("cumulative_accuracy_curve", "W13", sql=with_(*BASE) + f"""
+SELECT {out_sql(CUM_SPEC)} FROM (
+  SELECT model, product_code, sale_date, abs_error,
+         row_number() OVER (PARTITION BY model, product_code ORDER BY abs_error, sale_date)
+           / count(*) OVER (PARTITION BY model, product_code) AS cum_share FROM errs)
+""")
+def q_cumulative_accuracy_curve(spark, d):
+    return EV.cumulative_accuracy(errors(spark, d), ["model", "product_code"]).select(*out_cols(CUM_SPEC))
+
+
+RANK_SPEC = "model:s rmse:f mae:f mape:f r2:f " + " ".join(f"{m}_rank:f {m}_score:f" for m in EV.METRIC_DIRECTION)
+
+
+@register("model_comparison", "T7 W11 W12 M9", sql=with_(*BASE) + f"""
+, m AS (SELECT model, sqrt(avg((actual - predicted) * (actual - predicted))) AS rmse, avg(abs(actual - predicted)) AS mae,
+               avg(abs((actual - predicted) / CASE WHEN actual <> 0 THEN actual ELSE 1.0 END)) * 100 AS mape,
+               CASE WHEN var_pop(actual) > 0 THEN 1 - sum((actual - predicted) * (actual - predicted)) / (var_pop(actual) * count(*)) END AS r2
+        FROM pred GROUP BY model)
+SELECT {out_sql(RANK_SPEC)} FROM (
+  SELECT *, {", ".join(
+      f"rank() OVER (ORDER BY {mm} {'ASC' if dd == 'low' else 'DESC'}) + (count(*) OVER (PARTITION BY {mm}) - 1) / 2.0 AS {mm}_rank, "
+      f"CASE WHEN max({mm}) OVER () = min({mm}) OVER () THEN 0.5 ELSE "
+      + (f"1 - ({mm} - min({mm}) OVER ()) / (max({mm}) OVER () - min({mm}) OVER ())" if dd == 'low'
+         else f"({mm} - min({mm}) OVER ()) / (max({mm}) OVER () - min({mm}) OVER ())") + f" END AS {mm}_score"
+      for mm, dd in EV.METRIC_DIRECTION.items())}
+  FROM m)
+""")
+def q_model_comparison(spark, d):
+    m = EV.regression_metrics(naive_predictions(spark, d), ["model"]).select("model", "rmse", "mae", "mape", "r2")
+    return EV.rank_models(m).select(*out_cols(RANK_SPEC))
+
+
+SAMPLE_SPEC = "product_code:s sale_date:d actual:f predicted:f"
+
+
+@register("nearest_date_sample", "J7", sql=with_(*BASE) + f"""
+, e AS (SELECT * FROM pred WHERE model = 'ma7'),
+st AS (SELECT product_code, min(sale_date) AS d0, count(*) AS n FROM e GROUP BY product_code),
+tg AS (SELECT product_code, CAST(unnest(generate_series(d0, CAST(d0 + 99 AS DATE), INTERVAL 1 DAY)) AS DATE) AS t
+       FROM st WHERE n > 100),
+pick AS (SELECT DISTINCT tg.product_code,
+           (SELECT e2.sale_date FROM e e2 WHERE e2.product_code = tg.product_code
+            ORDER BY abs(date_diff('day', tg.t, e2.sale_date)), e2.sale_date LIMIT 1) AS sale_date FROM tg)
+SELECT {out_sql(SAMPLE_SPEC)} FROM (
+  SELECT e.* FROM e JOIN st USING (product_code) WHERE st.n <= 100
+  UNION ALL SELECT e.* FROM e JOIN pick ON pick.product_code = e.product_code AND pick.sale_date = e.sale_date)
+""")
+def q_nearest_date_sample(spark, d):
+    p = naive_predictions(spark, d).where(F.col("model") == "ma7").drop("model")
+    return EV.nearest_date_sample(p, ["product_code"]).select(*out_cols(SAMPLE_SPEC))
+
+
+__all__ = ["naive_predictions", "r"]
