@@ -226,3 +226,146 @@ def q_nearest_date_sample(spark, d):
 
 
 __all__ = ["naive_predictions", "r"]
+
+
+# ---- model preparation (SQL-checked) and fits (rows-only) ---------------------------------------
+
+from ..operators import ml as ML  # noqa: E402
+from ..session import cut_lineage, ensure_checkpoint_dir  # noqa: E402
+from .features import FEATURE_SQL, daily_features  # noqa: E402
+
+PREP_NUM = ["qty_lag1", "qty_mean7", "discount_rate"]
+PREP_SPEC = ("product_code:s sale_date:d season_idx:i temp_band_idx:i qty_lag1:f qty_mean7:f discount_rate:f "
+             "position:l n_rows:l is_train:i block:i")
+
+
+def training_matrix(spark, d):
+    """M1 + M2 + M3 + M4 on the daily feature table."""
+    f = daily_features(spark, d).select("product_code", "sale_date", "qty", "season", "temp_band", *PREP_NUM)
+    f, _ = ML.label_encode(f, ["season", "temp_band"])
+    f = ML.clip_standardize(f, PREP_NUM)
+    f = ML.fold_blocks(ML.time_split(ML.time_positions(f)))
+    return f
+
+
+_FEAT_BODY = FEATURE_SQL[:FEATURE_SQL.rindex("SELECT ")]
+
+
+@register("training_matrix_prep", "M1 M2 M3 M4 P33 P34", sql=_FEAT_BODY + f"""
+, base AS (SELECT product_code, sale_date, qty, season, temp_band, {", ".join(f"coalesce(CASE WHEN isnan(CAST({c} AS DOUBLE)) OR isinf(CAST({c} AS DOUBLE)) THEN NULL ELSE CAST({c} AS DOUBLE) END, 0.0) AS {c}" for c in PREP_NUM)} FROM f2),
+q AS (SELECT {", ".join(f"quantile_cont({c}, 0.01) AS lo_{c}, quantile_cont({c}, 0.99) AS hi_{c}" for c in PREP_NUM)} FROM base),
+cl AS (SELECT base.* REPLACE ({", ".join(f"least(greatest({c}, lo_{c}), hi_{c}) AS {c}" for c in PREP_NUM)}) FROM base, q),
+st AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in PREP_NUM)} FROM cl),
+sc AS (SELECT cl.* REPLACE ({", ".join(f"({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1.0 END AS {c}" for c in PREP_NUM)}) FROM cl, st),
+enc AS (SELECT sc.*, dense_rank() OVER (ORDER BY season) - 1 AS season_idx, dense_rank() OVER (ORDER BY temp_band) - 1 AS temp_band_idx,
+               row_number() OVER (ORDER BY sale_date, product_code) AS position, count(*) OVER () AS n_rows FROM sc)
+SELECT {out_sql(PREP_SPEC)} FROM (
+  SELECT *, CAST(position <= floor(n_rows * 0.8) AS INT) AS is_train,
+         CAST(floor((position - 1) / greatest(floor(n_rows / 5), 1)) AS INT) AS block FROM enc)
+""")
+def q_training_matrix_prep(spark, d):
+    return training_matrix(spark, d).select(*out_cols(PREP_SPEC))
+
+
+def model_matrix(spark, d):
+    """Assembled matrix for the fits: every P34 feature of the daily feature table
+    (categoricals label-encoded), label = daily quantity."""
+    f = daily_features(spark, d)
+    num, cat = ML.feature_columns(f, exclude=["product_code", "sale_date"])
+    f, _ = ML.label_encode(f, cat)
+    cols = num + [f"{c}_idx" for c in cat]
+    f = ML.clip_standardize(f, num)
+    f = ML.fold_blocks(ML.time_split(ML.time_positions(f)))
+    m = ML.assemble(f, cols, "qty").select("product_code", "sale_date", "features", "label", "is_train", "block")
+    # one materialisation in the shared checkpoint folder; every fit and score reads it
+    return cut_lineage(m), cols
+
+
+@register("model_training_metrics", "M5 M6 M7 M8 M9 E1 T7 P35")
+def q_model_training_metrics(spark, d):
+    """Fit linear / ridge / lasso / forest / boosting on the first 80 % (time order),
+    evaluate on the rest; one metrics row per model, best (lowest RMSE) flagged."""
+    m, _ = model_matrix(spark, d)
+    metrics, _ = ML.train_models(m.where("is_train = 1"), m.where("is_train = 0"))
+    best = F.min_by("model", "rmse").over(Window.partitionBy(F.lit(1)))
+    return metrics.withColumn("is_best", (F.col("model") == best).cast("int"))
+
+
+@register("ensemble_predictions", "M10 M11 U2")
+def q_ensemble_predictions(spark, d):
+    """Every model's prediction and the floored mean ensemble for the test rows."""
+    m, _ = model_matrix(spark, d)
+    _, models = ML.train_models(m.where("is_train = 1"), m.where("is_train = 0"),
+                                names=["linear_regression", "ridge", "gbt"])
+    return ML.ensemble_predict(models, m.where("is_train = 0"), ["product_code", "sale_date"])
+
+
+@register("feature_importance_top10", "T6 M8")
+def q_feature_importance_top10(spark, d):
+    m, cols = model_matrix(spark, d)
+    model = ML.model_specs()["gbt"].fit(m.where("is_train = 1"))
+    return ML.feature_importance(model, cols, spark)
+
+
+@register("hyperparameter_search", "M12 M4 S12")
+def q_hyperparameter_search(spark, d):
+    """Ridge grid scored by mean fold RMSE; results written as a table under the
+    shared checkpoint folder (S12) and read back."""
+    m, _ = model_matrix(spark, d)
+    res = ML.tune(m.select("features", "label", "block"), "ridge")
+    path = ensure_checkpoint_dir(spark).rstrip("/") + "/tuning_results"
+    res.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+@register("model_persistence", "S11 M11")
+def q_model_persistence(spark, d):
+    """Fit encoder + assembler + boosting as one pipeline, save it under the shared
+    checkpoint folder, load it back and score the test rows with the loaded model."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    f = ML.time_split(ML.time_positions(daily_features(spark, d)))
+    num, cat = ML.feature_columns(f, exclude=["product_code", "sale_date", "position", "n_rows", "is_train"])
+    f = cut_lineage(f.fillna(0.0, subset=num).fillna("", subset=cat))
+    stages = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetAsc", handleInvalid="keep")
+              for c in cat]
+    stages.append(VectorAssembler(inputCols=num + [f"{c}_idx" for c in cat], outputCol="features", handleInvalid="keep"))
+    stages.append(ML.model_specs(label="qty")["gbt"].setMaxIter(20))
+    model = Pipeline(stages=stages).fit(f.where("is_train = 1").withColumn("qty", F.col("qty").cast("double")))
+    path = ensure_checkpoint_dir(spark).rstrip("/") + "/best_model"
+    ML.save_pipeline(model, path)
+    loaded = ML.load_pipeline(path)
+    return loaded.transform(f.where("is_train = 0")).select("product_code", "sale_date", "qty", "prediction")
+
+
+def dense_with_holidays(spark, d):
+    """Dense daily product series with a +-2 day legal-holiday window flag."""
+    from ..sources.dims import calendar_years_from
+    from .calendar import year_range_dates
+    from .reports import dense_daily
+    cal = calendar_years_from(year_range_dates(spark, d)).select(F.col("ds").alias("sale_date"), "holiday_legal")
+    w = Window.orderBy("sale_date").rowsBetween(-2, 2)   # calendar: one row per day
+    cal = cal.select("sale_date", F.max("holiday_legal").over(w).cast("double").alias("holiday_window"))
+    return dense_daily(spark, d).select("product_code", "sale_date", "qty").join(F.broadcast(cal), "sale_date", "left") \
+        .fillna(0.0, subset=["holiday_window"])
+
+
+@register("seasonal_forecast", "M13 A41")
+def q_seasonal_forecast(spark, d):
+    """Next 7 days per product with a 95 % interval (per-series ridge, applyInPandas)."""
+    return ML.per_series(dense_with_holidays(spark, d)).groupBy("product_code").applyInPandas(
+        ML.seasonal_forecast_fn(), ML.FORECAST_SCHEMA)
+
+
+@register("seasonal_backtest", "M15 E1")
+def q_seasonal_backtest(spark, d):
+    """Rolling-origin backtest per product (initial 180 d, period 15 d, horizon 7 d)."""
+    return ML.per_series(dense_with_holidays(spark, d)).groupBy("product_code").applyInPandas(
+        ML.backtest_fn(), ML.BACKTEST_SCHEMA)
+
+
+@register("lof_outlier_cleaning", "M17")
+def q_lof_outlier_cleaning(spark, d):
+    """Daily quantities per product with LOF score, outlier flag, median-filled and z-scored value."""
+    daily = daily_product_sales(spark, d).select("product_code", "sale_date", "qty")
+    return ML.per_series(daily).groupBy("product_code").applyInPandas(ML.lof_fn(), ML.LOF_SCHEMA)
