@@ -31,5 +31,5 @@ def register(name: str, ids: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     # Importing the modules registers their queries.
-    from . import sales, reports, features, calendar, profiles, patterns, history, models, pricing, live  # noqa: F401
+    from . import sales, reports, features, calendar, profiles, patterns, history, models, pricing, live, exports  # noqa: F401
     return REGISTRY
