@@ -58,11 +58,16 @@ def read_tx_csv(spark: SparkSession, path: str, columns: Sequence[str], tolerant
     if not tolerant:
         return df.toDF(*columns), None
     # quarantine keeps a second column: Spark refuses scans referencing only the corrupt column
-    bad = df.where(F.col(CORRUPT).isNotNull()).select(schema.fields[0].name, CORRUPT)
+    bad = df.where(F.col(CORRUPT).isNotNull()).select(F.struct(schema.fields[0].name, CORRUPT).alias("record"))
     good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT).toDF(*columns)
     return good, bad
 
 
+def count_rows(bad: DataFrame) -> int:
+    """Row count of a quarantine frame (aggregates the whole record, never the corrupt column alone)."""
+    return bad.agg(F.count("record")).first()[0]
+
+
 def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
     """Write by suffix (.csv -> csv with header, anything else parquet), optionally partitioned."""
     w = df.write.mode("overwrite")
