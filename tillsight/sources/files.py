@@ -45,10 +45,12 @@ def write_tx_csv(tx: DataFrame, path: str) -> str:
     return path
 
 
-def read_tx_csv(spark: SparkSession, path: str, columns: Sequence[str], tolerant: bool = True):
-    """S1 + S3: read the till export with an explicit schema; with ``tolerant`` malformed
-    rows are kept aside (PERMISSIVE + corrupt-record column) and returned separately.
-    Returns (clean canonical frame, quarantined raw rows)."""
+def read_tx_csv(spark: SparkSession, path: str, columns: Sequence[str], tolerant: bool = True,
+                staging: str | None = None):
+    """S1 + S3: read the till export with an explicit schema. With ``tolerant`` the
+    CSV is parsed once in PERMISSIVE mode into a parquet staging table (corrupt
+    record column included) under ``staging``; clean rows and quarantined raw
+    records are then split from that table. Returns (clean frame, quarantine)."""
     schema = tx_csv_schema(columns)
     if tolerant:
         schema = schema.add(T.StructField(CORRUPT, T.StringType(), True))
@@ -57,15 +59,17 @@ def read_tx_csv(spark: SparkSession, path: str, columns: Sequence[str], tolerant
           .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
     if not tolerant:
         return df.toDF(*columns), None
-    # quarantine keeps a second column: Spark refuses scans referencing only the corrupt column
-    bad = df.where(F.col(CORRUPT).isNotNull()).select(F.struct(schema.fields[0].name, CORRUPT).alias("record"))
-    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT).toDF(*columns)
+    staging = staging or path.rstrip("/") + "_parsed"
+    df.write.mode("overwrite").parquet(staging)
+    parsed = spark.read.parquet(staging)
+    good = parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT).toDF(*columns)
+    bad = parsed.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
     return good, bad
 
 
 def count_rows(bad: DataFrame) -> int:
     """Row count of a quarantine frame (aggregates the whole record, never the corrupt column alone)."""
-    return bad.agg(F.count("record")).first()[0]
+    return bad.count()
 
 
 def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
