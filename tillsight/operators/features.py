@@ -413,3 +413,25 @@ def interaction_features(df: DataFrame, rate: str = "discount_rate", value: str
     if "bad_weather" in df.columns:
         out = out.withColumn("weather_promo", inter("bad_weather"))
     return out
+
+
+def slot_feature_vector(buckets: DataFrame, ts: str = "bucket_start", promo_start: int = 20,
+                        promo_end: int = 22) -> DataFrame:
+    """Demand-model features of a 30-minute bucket: clock parts, promo flag, hours
+    to the promo end (>= 0), cyclic hour / weekday, rush flags, price, discount rate,
+    discount flag and price ratio 1/d (1 when d <= 0)."""
+    t = F.col(ts)
+    h, dow = F.hour(t), F.weekday(t)
+    d = F.coalesce(F.col("discount_rate"), F.lit(1.0))
+    return buckets.select(
+        "*", F.year(t).alias("year"), h.alias("hour"), F.minute(t).alias("minute"), dow.alias("day_of_week"),
+        F.month(t).alias("month"), F.dayofmonth(t).alias("day_of_month"), (dow >= 5).cast("int").alias("weekend"),
+        ((h >= promo_start) & (h < promo_end)).cast("int").alias("in_promotion"),
+        F.greatest(F.lit(0.0), promo_end - h - F.minute(t) / 60.0).alias("time_to_promo_end"),
+        F.sin(h * (TWO_PI / 24)).alias("hour_sin"), F.cos(h * (TWO_PI / 24)).alias("hour_cos"),
+        F.sin(dow * (TWO_PI / 7)).alias("day_sin"), F.cos(dow * (TWO_PI / 7)).alias("day_cos"),
+        ((h >= 7) & (h < 9)).cast("int").alias("is_morning_rush"), ((h >= 11) & (h < 13)).cast("int").alias("is_lunch_time"),
+        ((h >= 17) & (h < 19)).cast("int").alias("is_evening_rush"), ((h >= 22) | (h < 6)).cast("int").alias("is_night"),
+        F.coalesce(F.col("discounted_price"), F.lit(100.0)).alias("price"), d.alias("rate"),
+        (d < 1).cast("int").alias("has_discount"),
+        F.when(d > 0, 1.0 / d).otherwise(F.lit(1.0)).alias("price_ratio"))

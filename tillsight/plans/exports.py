@@ -187,7 +187,7 @@ ROW_SPEC_COLS = ("store_code, product_code, a.as_of, hist_avg_sales, hist_sales_
                  "discount_frequency, price_elasticity, promo_avg_sales, promo_ratio")
 
 
-@register("asof_feature_row", "J12 P16 P6", sql=f"""
+@register("asof_feature_row", "J12 P6", sql=f"""
 WITH a AS ({REGISTRY['asof_history_features'].sql}), b AS ({REGISTRY['price_features'].sql}),
 c AS ({REGISTRY['promo_hours_performance'].sql})
 SELECT {ROW_SPEC_COLS} FROM a JOIN b USING (store_code, product_code) LEFT JOIN c USING (store_code, product_code)

@@ -365,3 +365,32 @@ def q_recent_window_means(spark, d):
         F.avg(F.when(F.col("rn") <= 30, F.col("qty"))).alias("last30_mean"),
         F.max("sale_date").alias("last_date"))
     return g.select(*out_cols(LN_SPEC))
+
+
+SFV_SPEC = ("store_code:s product_code:s bucket_start:t qty:f year:i hour:i minute:i day_of_week:i month:i "
+            "day_of_month:i weekend:i in_promotion:i time_to_promo_end:f hour_sin:f hour_cos:f day_sin:f day_cos:f "
+            "is_morning_rush:i is_lunch_time:i is_evening_rush:i is_night:i price:f rate:f has_discount:i price_ratio:f")
+
+
+@register("slot_feature_vector", "P16 A5", sql=with_(hx_cte()) + f"""
+, h AS (SELECT *, CASE WHEN gross_amount > 0 THEN 1 - discount_amount / gross_amount END AS discount_rate FROM hx),
+b AS (SELECT store_code, product_code, time_bucket(INTERVAL 30 MINUTE, sale_ts) AS bucket_start, sum(qty) AS qty,
+             avg(discount_rate) AS discount_rate, avg(list_price * discount_rate) AS discounted_price FROM h GROUP BY ALL),
+v AS (SELECT *, coalesce(discount_rate, 1.0) AS d FROM b)
+SELECT {out_sql(SFV_SPEC)} FROM (
+  SELECT store_code, product_code, bucket_start, qty, year(bucket_start) AS year, hour(bucket_start) AS hour,
+         minute(bucket_start) AS minute, isodow(bucket_start) - 1 AS day_of_week, month(bucket_start) AS month,
+         day(bucket_start) AS day_of_month, CAST(isodow(bucket_start) >= 6 AS INT) AS weekend,
+         CAST(hour(bucket_start) >= 20 AND hour(bucket_start) < 22 AS INT) AS in_promotion,
+         greatest(0.0, 22 - hour(bucket_start) - minute(bucket_start) / 60.0) AS time_to_promo_end,
+         {_cyc('hour(bucket_start)', 24, 'hour')}, {_cyc('(isodow(bucket_start) - 1)', 7, 'day')},
+         CAST(hour(bucket_start) >= 7 AND hour(bucket_start) < 9 AS INT) AS is_morning_rush,
+         CAST(hour(bucket_start) >= 11 AND hour(bucket_start) < 13 AS INT) AS is_lunch_time,
+         CAST(hour(bucket_start) >= 17 AND hour(bucket_start) < 19 AS INT) AS is_evening_rush,
+         CAST(hour(bucket_start) >= 22 OR hour(bucket_start) < 6 AS INT) AS is_night,
+         coalesce(discounted_price, 100.0) AS price, d AS rate, CAST(d < 1 AS INT) AS has_discount,
+         CASE WHEN d > 0 THEN 1.0 / d ELSE 1.0 END AS price_ratio FROM v)
+""")
+def q_slot_feature_vector(spark, d):
+    b = half_hour_buckets(base_fields(hourly_transactions(spark, d)))
+    return FT.slot_feature_vector(b).select(*out_cols(SFV_SPEC))

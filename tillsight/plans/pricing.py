@@ -13,6 +13,7 @@ from ..operators import pricing as PR
 from .features import SLOT_AGG_SQL, hourly_slots
 from .patterns import ENRICHED_SQL, KEYS, elasticity_sql, enriched_hourly
 from .registry import register
+from ..session import cut_lineage
 from .sqlparts import out_cols, out_sql, with_
 
 WINDOW = ("20:00", "22:00")
@@ -40,7 +41,7 @@ def plan_requests(spark, d):
     hist = PT.asof_history(rows, PT.latest_asof(rows, KEYS), KEYS).drop("as_of", "last_week_sales", "recent_3h_sales")
     el = PT.price_elasticity(rows, KEYS, bins=4, min_rows=20)
     fresh = F.coalesce(F.col("category_code").startswith("20"), F.lit(False))
-    return (g.join(rate, KEYS, "left").join(hist, KEYS, "left").join(el, KEYS, "left")
+    req = (g.join(rate, KEYS, "left").join(hist, KEYS, "left").join(el, KEYS, "left")
              .select(F.concat_ws("-", *KEYS).alias("plan_id"), *KEYS, "initial_stock", "base_price", "cost_price",
                      F.coalesce("sales_rate", F.lit(5.0)).alias("sales_rate"), "total_transactions",
                      "recent_transaction_days", "hist_avg_sales", "hist_sales_std", "hist_promo_sales_ratio",
@@ -49,6 +50,9 @@ def plan_requests(spark, d):
                      F.lit(WINDOW[0]).alias("promotion_start"), F.lit(WINDOW[1]).alias("promotion_end"),
                      F.lit(0.4).alias("min_discount"), F.lit(0.9).alias("max_discount"), F.lit(4).alias("time_segments"),
                      F.lit(0.1).alias("min_gross_margin")))
+    # One row per plan, read by the grid, the search and the reports: materialised once in
+    # the shared checkpoint folder instead of being re-derived from the fact rows by each.
+    return cut_lineage(req.repartition("plan_id"))
 
 
 _PROMO = "hour(sale_ts) >= 20 AND hour(sale_ts) < 22"
