@@ -88,13 +88,19 @@ def base_fields(df: DataFrame, gap_minutes: int = 60, rate_variant: str = "amoun
     return out
 
 
-def day_index(df: DataFrame, keys: Iterable[str], date_col: str = "sale_date") -> DataFrame:
+def day_index(df: DataFrame, keys: Iterable[str], date_col: str = "sale_date", aggregated: bool = False) -> DataFrame:
     """1-based day number from the key's first date.
 
-    The first date comes from a grouped (map-side combined) min joined back on the
-    key, so a hot key never becomes one window partition of raw rows.
+    On raw rows the first date is a grouped (map-side combined) min joined back,
+    so a hot key never becomes one window partition of raw rows. On per-day
+    aggregates (``aggregated=True``, bounded by days per key) it is a window that
+    shares the exchange of the other series windows on the same key.
     """
     keys = list(keys)
+    if aggregated:
+        from pyspark.sql import Window
+        first = F.min(date_col).over(Window.partitionBy(*keys))
+        return df.withColumn("day_index", F.datediff(F.col(date_col), first) + 1)
     first = df.groupBy(*keys).agg(F.min(date_col).alias("_first_date"))
     return (df.join(first, keys, "left")
               .withColumn("day_index", F.datediff(F.col(date_col), F.col("_first_date")) + 1)

@@ -36,7 +36,7 @@ def daily_features(spark, d):
     daily = daily_product_sales(spark, d)
     daily = daily.withColumn("discount_rate", F.coalesce(
         F.when(F.col("gross_amount") > 0, 1 - F.col("discount_amount") / F.col("gross_amount")), F.lit(1.0)))
-    daily = FT.daily_time_features(day_index(daily, K))
+    daily = FT.daily_time_features(day_index(daily, K, aggregated=True))
     daily = FT.lag_features(daily, K, O)
     daily = FT.rolling_features(daily, K, O)
     daily = FT.trend_features(daily, K, O)
