@@ -130,6 +130,11 @@ def slot_grid(slots: DataFrame, product_col: str = "product_code", date_col: str
     cross join. Within (product, date) price fields are forward- then
     backward-filled over slots; remaining gaps take the product mean; qty and
     gross fill with 0, promo share with 0.
+
+    Plan: spine and slot rows are hash-partitioned by (product, date) once, so the
+    join and both fill windows (forward, and backward as a reversed running
+    window) reuse that partitioning; the product mean is a window over one
+    product's grid (bounded by days x slots).
     """
     from pyspark.sql import Window
     days = slots.select(date_col).distinct()
@@ -140,17 +145,16 @@ def slot_grid(slots: DataFrame, product_col: str = "product_code", date_col: str
              .select(product_col, F.explode(F.sequence("_d0", "_d1")).alias(date_col), "_s0", "_s1")
              .join(F.broadcast(days), date_col, "left_semi")
              .select(product_col, date_col, F.explode(F.sequence("_s0", "_s1")).alias(slot_col)))
-    full = spine.join(slots, [product_col, date_col, slot_col], "left")
-    w = Window.partitionBy(product_col, date_col).orderBy(slot_col)
-    fwd = w.rowsBetween(Window.unboundedPreceding, 0)
-    bwd = w.rowsBetween(0, Window.unboundedFollowing)
+    part = [product_col, date_col]
+    full = spine.repartition(*part).join(slots.repartition(*part), [product_col, date_col, slot_col], "left")
+    fwd = Window.partitionBy(*part).orderBy(slot_col).rowsBetween(Window.unboundedPreceding, 0)
+    bwd = Window.partitionBy(*part).orderBy(F.desc(slot_col)).rowsBetween(Window.unboundedPreceding, 0)
     for c in fill_cols:
         if c in full.columns:
-            full = full.withColumn(c, F.coalesce(F.last(c, True).over(fwd), F.first(c, True).over(bwd)))
-    means = full.groupBy(product_col).agg(*[F.avg(c).alias(f"_m_{c}") for c in mean_cols])
-    full = full.join(means, product_col, "left")
+            full = full.withColumn(c, F.coalesce(F.last(c, True).over(fwd), F.last(c, True).over(bwd)))
+    prod = Window.partitionBy(product_col)
     for c in mean_cols:
-        full = full.withColumn(c, F.coalesce(F.col(c), F.col(f"_m_{c}"))).drop(f"_m_{c}")
+        full = full.withColumn(c, F.coalesce(F.col(c), F.avg(c).over(prod)))
     return (full.withColumn("qty", F.coalesce("qty", F.lit(0.0)))
                 .withColumn("gross_amount", F.coalesce("gross_amount", F.lit(0.0)))
                 .withColumn("promo_share", F.coalesce("promo_share", F.lit(0.0))))
