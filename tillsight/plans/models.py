@@ -270,11 +270,12 @@ def q_training_matrix_prep(spark, d):
 def model_matrix(spark, d):
     """Assembled matrix for the fits: every P34 feature of the daily feature table
     (categoricals label-encoded), label = daily quantity."""
-    f = daily_features(spark, d)
+    # materialised once: the encoders' fits and the quantile / moment aggregates all read it
+    f = cut_lineage(daily_features(spark, d))
     num, cat = ML.feature_columns(f, exclude=["product_code", "sale_date"])
     f, _ = ML.label_encode(f, cat)
     cols = num + [f"{c}_idx" for c in cat]
-    f = ML.clip_standardize(f, num)
+    f = ML.clip_standardize(f, num, exact=False)
     f = ML.fold_blocks(ML.time_split(ML.time_positions(f)))
     m = ML.assemble(f, cols, "qty").select("product_code", "sale_date", "features", "label", "is_train", "block")
     # one materialisation in the shared checkpoint folder; every fit and score reads it

@@ -64,6 +64,13 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` to the reliable checkpoint dir (survives executor loss)."""
+    """Materialise ``df`` to the reliable checkpoint dir (survives executor loss).
+
+    The frame is persisted while the checkpoint is written, so the plan runs once
+    (an unpersisted eager checkpoint computes it twice), then released."""
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
