@@ -3,14 +3,15 @@
 Words are compared by their common subsequences, where each letter in between costs a factor, so an
 insult stays near its landmark when letters are inserted or marks are strewn in. Nyström landmarks
 turn the kernel into short vectors; a linear machine is trained on labelled sentences, each
-represented by its most suspicious word, which is chosen anew after each round (a sentence of a
-toxic text is only toxic for some word in it). A document scores as its worst word.
+represented by its words; of a toxic text's sentences only those with marked words count, because a
+toxic text is toxic for some of its sentences. A document scores as its worst word.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +19,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import whole_texts
 
-SAMPLE = 3000           # labelled documents of each class that the machine is trained on, at most
-LANDMARKS = 64
+SAMPLE = 1500           # labelled documents of each class that the machine is trained on, at most
+LANDMARKS = 32          # a quarter of them are common words of clean texts
 ORDER = 3               # length of the subsequences compared
 DECAY = 0.6             # factor for each place that a subsequence spans
-WORD = 24               # letters of a unit; longer words give overlapping units
+WORD = 8                # letters of a unit; longer words give overlapping units
 THRESHOLD = 0.7
 KEPT_WORDS = 300_000
-_SIZE = 1 << 14         # units scored in one matrix
+_SIZE = 1 << 10         # units compared with the landmarks in one matrix
 _SWAPPED = str.maketrans("013457@$!", "oieastasi")
 _NOT_LETTERS = re.compile(r"[\W_]+")
 _SPACED = re.compile(r"(?<!\S)(?:\w[^\w\s]*\s+){2,}\w(?!\w)")
@@ -37,7 +38,7 @@ def units(word: str) -> list[str]:
     w = _NOT_LETTERS.sub("", word.translate(_SWAPPED))
     if len(w) <= WORD:
         return [w] if len(w) >= ORDER else []
-    return [w[i:i + WORD] for i in range(0, len(w) - WORD // 2, WORD // 2)]
+    return [w[i:i + WORD] for i in range(0, len(w) - WORD, 2)] + [w[-WORD:]]
 
 
 def text_words(text: str) -> set[str]:
@@ -48,59 +49,41 @@ def text_words(text: str) -> set[str]:
     return found
 
 
-def _codes(strings: list[str], width: int) -> np.ndarray:
-    out = np.zeros((len(strings), width), np.int32)
-    for i, s in enumerate(strings):
-        out[i, :len(s)] = np.frombuffer(s[:width].encode("utf-32-le"), np.int32)
-    return out
+def _symbol(c: str) -> int:
+    """a-z are 1 to 26, all other characters share 37 more symbols; 0 is no letter."""
+    return ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 37
+
 
+# places of the letters of a subsequence in a unit, and its weight by the places that it spans
+_PLACES = np.array(list(combinations(range(WORD), ORDER)))
+_WEIGHTS = (DECAY ** (_PLACES[:, -1] - _PLACES[:, 0] + 1)).astype(np.float32)
+_DIMENSIONS = 64 ** ORDER
 
-def subsequence_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Gap-weighted kernel of order ORDER between rows of two code matrices (0 = no letter)."""
-    n, s = a.shape
-    m, t = b.shape
-    weight = np.float32(DECAY)
-    same = (a[:, None, :, None] == b[None, :, None, :]) & (a[:, None, :, None] != 0)
-    partial = np.ones((n, m, s + 1, t + 1), np.float32)
-    for p in range(1, ORDER + 1):
-        ended = same * partial[:, :, :s, :t] * (weight * weight)     # subsequences of p letters ending at both places
-        if p == ORDER:
-            return ended.sum(axis=(2, 3))
-        partial = np.zeros((n, m, s + 1, t + 1), np.float32)
-        for i in range(s):
-            run = np.zeros((n, m), np.float32)
-            for j in range(t):
-                run = weight * run + ended[:, :, i, j]
-                partial[:, :, i + 1, j + 1] = weight * partial[:, :, i, j + 1] + run
-    raise AssertionError
-
-
-def _self_kernel(codes: np.ndarray) -> np.ndarray:
-    out = np.empty(len(codes), np.float32)
-    for a in range(0, len(codes), 2048):
-        part = codes[a:a + 2048]
-        out[a:a + 2048] = _paired(part, part)
+
+def _codes(strings: list[str]) -> np.ndarray:
+    out = np.zeros((len(strings), WORD), np.int64)
+    for i, s in enumerate(strings):
+        out[i, :len(s)] = [_symbol(c) for c in s]
     return out
 
 
-def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Kernel of row i of a with row i of b."""
-    n, s = a.shape
-    t = b.shape[1]
-    weight = np.float32(DECAY)
-    same = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] != 0)
-    partial = np.ones((n, s + 1, t + 1), np.float32)
-    for p in range(1, ORDER + 1):
-        ended = same * partial[:, :s, :t] * (weight * weight)
-        if p == ORDER:
-            return ended.sum(axis=(1, 2))
-        partial = np.zeros((n, s + 1, t + 1), np.float32)
-        for i in range(s):
-            run = np.zeros(n, np.float32)
-            for j in range(t):
-                run = weight * run + ended[:, i, j]
-                partial[:, i + 1, j + 1] = weight * partial[:, i, j + 1] + run
-    raise AssertionError
+def subsequence_weights(codes: np.ndarray):
+    """(subsequence numbers, weights, norms) of units: the kernel of two units is the sum over common
+    subsequences of the products of their weights, so this is its feature map, written sparsely."""
+    letters = codes[:, _PLACES]                                   # unit, subsequence, letter
+    number = letters[:, :, 0]
+    for i in range(1, ORDER):
+        number = number * 64 + letters[:, :, i]
+    weight = np.where((letters > 0).all(axis=2), _WEIGHTS, np.float32(0))
+    # norm: equal subsequences of a unit add up before they are squared
+    order = np.argsort(number, axis=1, kind="stable")
+    n, w = np.take_along_axis(number, order, 1), np.take_along_axis(weight, order, 1).astype(np.float64)
+    first = np.ones(n.shape, bool)
+    first[:, 1:] = n[:, 1:] != n[:, :-1]
+    sums = np.add.reduceat(w.ravel(), np.flatnonzero(first.ravel())) if len(n) else np.empty(0)
+    rows = np.repeat(np.arange(len(n)), first.sum(axis=1))
+    norm = np.sqrt(np.bincount(rows, sums ** 2, minlength=len(n)))
+    return number, weight, np.maximum(norm, 1e-9)
 
 
 class SubsequenceMachine:
@@ -108,37 +91,48 @@ class SubsequenceMachine:
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        self.codes = _codes(landmarks, max(map(len, landmarks)))
-        self.own = np.sqrt(_self_kernel(self.codes))
-        k = subsequence_kernel(self.codes, self.codes) / np.outer(self.own, self.own)
-        value, vector = np.linalg.eigh(k.astype(np.float64))
-        keep = value > 1e-4
+        number, weight, norm = subsequence_weights(_codes(landmarks))
+        self.dense = np.zeros((_DIMENSIONS, len(landmarks)), np.float32)
+        np.add.at(self.dense, (number, np.arange(len(landmarks))[:, None]), weight / norm[:, None])
+        value, vector = np.linalg.eigh(self.similarities(landmarks).astype(np.float64))
+        keep = value > 1e-3
         self.to_features = vector[:, keep] / np.sqrt(value[keep])
-        self.weight, self.bias = np.zeros(int(keep.sum())), 0.0
         self.slope, self.shift = 4.0, 0.0
         self.margins: dict[str, float] = {}
-
-    def similarities(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        for width in (6, 10, 16, WORD):
-            own = [i for i, w in enumerate(words) if len(w) <= width and len(w) > {6: 0, 10: 6, 16: 10, WORD: 16}[width]]
-            step = max(1, _SIZE * 16 // (width * self.codes.shape[1] * len(self.landmarks)) * 4)
-            for a in range(0, len(own), step):
-                part = own[a:a + step]
-                codes = _codes([words[i] for i in part], width)
-                k = subsequence_kernel(codes, self.codes)
-                length = np.sqrt(np.maximum(_self_kernel(codes), 1e-12))
-                out[part] = k / np.outer(length, self.own)
+        self.set_weights(np.zeros(int(keep.sum())), 0.0)
+
+    def set_weights(self, weight: np.ndarray, bias: float):
+        """The machine as one weight for each subsequence: landmarks are no longer needed to score."""
+        self.weight, self.bias, self.margins = weight, bias, {}
+        self.scorer = (self.dense @ (self.to_features @ weight)).astype(np.float32)
+
+    def similarities(self, strings: list[str]) -> np.ndarray:
+        """Normalised kernel of each unit with each landmark."""
+        out = np.zeros((len(strings), self.dense.shape[1]), np.float32)
+        for a in range(0, len(strings), _SIZE):
+            number, weight, norm = subsequence_weights(_codes(strings[a:a + _SIZE]))
+            out[a:a + _SIZE] = np.einsum("us,usl->ul", weight / norm[:, None], self.dense[number])
         return out
 
-    def features(self, words: list[str]) -> np.ndarray:
-        return self.similarities(words).astype(np.float64) @ self.to_features
+    def features(self, strings: list[str]) -> np.ndarray:
+        return self.similarities(strings).astype(np.float64) @ self.to_features
+
+    def unit_margins(self, strings: list[str]) -> np.ndarray:
+        out = np.empty(len(strings))
+        for a in range(0, len(strings), 4 * _SIZE):
+            number, weight, norm = subsequence_weights(_codes(strings[a:a + 4 * _SIZE]))
+            out[a:a + 4 * _SIZE] = (weight * self.scorer[number]).sum(axis=1) / norm
+        return out + self.bias
 
-    def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 60, penalty: float = 0.002):
-        """Linear machine by dual coordinate descent; both classes weigh the same."""
+    def forget_training(self):
+        """Leaves only what scoring needs, so that little is broadcast."""
+        self.dense, self.margins = None, {}
+
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 30, penalty: float = 0.001):
+        """Linear machine by dual coordinate descent; ``weight`` is what each example's slack costs."""
         n = len(x)
         x = np.hstack([x, np.ones((n, 1))])
-        cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) / penalty
+        cost = weight / penalty
         alpha, w, q = np.zeros(n), np.zeros(x.shape[1]), (x ** 2).sum(axis=1)
         rng = np.random.default_rng(3)
         for _ in range(rounds):
@@ -148,8 +142,7 @@ class SubsequenceMachine:
                 if new != alpha[i]:
                     w += (new - alpha[i]) * y[i] * x[i]
                     alpha[i] = new
-        self.weight, self.bias = w[:-1], float(w[-1])
-        self.margins = {}
+        self.set_weights(w[:-1], float(w[-1]))
 
     def margin(self, words: set[str]) -> float:
         """The worst margin among the words."""
@@ -161,7 +154,7 @@ class SubsequenceMachine:
             self.margins, new = {}, list(words)
         own = [units(w) for w in new]
         every = sorted(set().union(*map(set, own))) if own else []
-        score = dict(zip(every, (self.features(every) @ self.weight + self.bias).tolist())) if every else {}
+        score = dict(zip(every, self.unit_margins(every).tolist()))
         self.margins.update((w, max((score[u] for u in us), default=-2.0)) for w, us in zip(new, own))
 
     def score(self, margin: float) -> float:
@@ -184,48 +177,47 @@ def train(sample: list[tuple[str, int]]) -> SubsequenceMachine | None:
         have.update(_pieces(text_words(t)))
     for t in clean:
         lack.update(_pieces(text_words(t)))
-    least = max(2, len(toxic) // 200) if len(toxic) > 3 else 1
-    marks = {p: have[p] / len(toxic) - 4 * (lack[p] / len(clean)) for p in have if have[p] >= least}
-    marks = {p: g for p, g in marks.items() if g > 0 and lack[p] * len(toxic) < 0.1 * have[p] * len(clean) + 1e-9}
-    # landmarks: pieces that explain texts which no landmark explains yet, longer ones first among equals
-    held = [_pieces(text_words(t)) & marks.keys() for t in toxic]
-    index: dict[str, set[int]] = {}
-    for i, h in enumerate(held):
-        for p in h:
-            index.setdefault(p, set()).add(i)
-    met, landmarks = Counter(), []
-    gain = dict(index)
-    while gain and len(landmarks) < LANDMARKS // 2:
-        best = max(gain, key=lambda p: (sum(0.3 ** met[i] for i in gain[p]), len(p), p))
-        if sum(0.3 ** met[i] for i in gain[best]) < 0.05 * least:
+    # a piece counts if toxic texts hold it 50 times as often as clean ones, and so often that not one
+    # of all the pieces would do so by chance, nor by one text with many copies
+    share = len(toxic) / len(docs)
+    least = max(0.03 * len(toxic), np.log(20 * max(1, len(have.keys() | lack.keys()))) / np.log(1 / share))
+    marks = {p: n for p, n in have.items() if n >= least and lack[p] * len(toxic) * 50 <= n * len(clean)}
+    # landmarks: piece by piece the most frequent one in words that no landmark explains yet
+    open_ = [[own for w in text_words(t) if (own := _pieces({w}) & marks.keys())] for t in toxic]
+    landmarks: list[str] = []
+    while len(landmarks) < LANDMARKS * 3 // 4:
+        have = Counter(p for words in open_ for p in set().union(*words))
+        best = max(have, key=lambda p: (have[p] * (0.6 + 0.1 * len(p)), p), default=None)
+        if best is None or have[best] < least:
             break
         landmarks.append(best)
-        met.update(gain[best])
-        gain = {p: d for p, d in gain.items() if p not in best and best not in p}
+        open_ = [[own for own in words if best not in own] for words in open_]
     if not landmarks:
         return None
-    # the other half: common clean words, so that the features can tell them apart
+    # the rest: common clean words, so that the features can tell them apart
     usual = Counter(u for t in clean for w in text_words(t) for u in units(w))
     landmarks += [u for u, _ in sorted(usual.items(), key=lambda x: (-x[1], x[0])) if not any(p in u for p in landmarks)][:LANDMARKS - len(landmarks)]
     machine = SubsequenceMachine(landmarks)
 
+    # sentences of toxic texts that hold a marked word, by those words; a word that clean texts use is
+    # no reason. Sentences of clean texts count by all their words, the ones that look worst first
     sentences = [(text_words(s), label) for text, label in docs for s in re.split(r"[.!?\n]+", text)]
-    marked = set(landmarks) & marks.keys()
-    bags = [{u for w in ws for u in units(w)} for ws, label in sentences if label]
-    bags = [b for b in bags if any(p in u for u in b for p in marked)]      # sentences of toxic texts that show why
-    negatives = sorted({u for ws, label in sentences if not label for w in ws for u in units(w)},
-                       key=lambda u: (-max((len(p) if p in u else 0) for p in marked), -usual[u], u))[:20_000]
-    vectors = machine.features(negatives)
-    chosen = sorted({max(b, key=lambda u: (max((marks[p] for p in marked if p in u), default=0), u)) for b in bags})
-    hard = np.arange(min(len(negatives), 2000))
-    for _ in range(3):
-        x = np.vstack([machine.features(chosen), vectors[hard]])
-        machine.fit(x, np.concatenate([np.ones(len(chosen)), -np.ones(len(hard))]))
-        margin = vectors @ machine.weight + machine.bias
-        hard = np.union1d(hard, np.argsort(-margin)[:1000])                # clean words that look worst
-        every = sorted(set().union(*bags))
-        score = dict(zip(every, (machine.features(every) @ machine.weight + machine.bias).tolist()))
-        chosen = sorted({max(b, key=lambda u: (score[u], u)) for b in bags})
+    marked = [p for p in landmarks if p in marks]
+    positives = sorted({u for ws, label in sentences if label for w in ws for u in units(w)
+                        if usual[u] == 0 and any(p in u for p in marked)})
+    if not positives:
+        return None
+    negatives = sorted({u for ws, label in sentences if not label for w in ws for u in units(w)}, key=lambda u: (-usual[u], u))
+    good, vectors = machine.features(positives), machine.features(negatives[:2000])
+    # every marked piece weighs the same, however many words it is part of, and so do the classes
+    kind = [next(p for p in marked if p in u) for u in positives]
+    alike = Counter(kind)
+    weight = np.array([1 / (len(alike) * alike[k]) for k in kind])
+    for _ in range(4):
+        machine.fit(np.vstack([good, vectors]), np.concatenate([np.ones(len(good)), -np.ones(len(vectors))]),
+                    np.concatenate([weight, np.full(len(vectors), 1 / len(vectors))]) / 2)
+        worst = np.argsort(-machine.unit_margins(negatives), kind="stable")[:1000]
+        vectors = np.vstack([vectors, machine.features([negatives[i] for i in worst])])
     # margins to scores: halfway between what the classes reach lies at the threshold
     worst = {0: [], 1: []}
     for text, label in docs:
@@ -234,7 +226,7 @@ def train(sample: list[tuple[str, int]]) -> SubsequenceMachine | None:
         worst[label].append(machine.margin(words))
     cut = _best_cut(np.array(worst[0]), np.array(worst[1]))
     machine.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - machine.slope * cut)
-    machine.margins = {}
+    machine.forget_training()
     return machine
 
 
