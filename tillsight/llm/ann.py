@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from .blocked_search import flat_vectors, rank_best, search_blocks
 
-PROJECTIONS = 48
-THRESHOLD = 0.55        # share of the projections in which a vector must collide
-VERIFY_SHARE = 0.04     # share of a block that is verified before the windows stop growing
+PROJECTIONS = 64
+THRESHOLD = 0.5         # share of the projections in which a vector must collide
+VERIFY_SHARE = 0.28     # share of a block that is verified before the windows stop growing
 VERIFY_LEAST = 400      # and so many vectors at least
-FIRST_WINDOW = 0.25     # half width of the first window in standard deviations of the projections
-GROWTH = 1.35
+FIRST_WINDOW = 0.6      # half width of the first window in standard deviations of the projections
+GROWTH = 1.12
 
 
 def usable_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
