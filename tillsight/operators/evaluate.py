@@ -131,25 +131,30 @@ def cumulative_accuracy(errs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def nearest_date_sample(df: DataFrame, keys: Sequence[str], date_col: str = "sale_date", n: int = 100) -> DataFrame:
-    """For keys with more than n rows, the rows nearest to each of the n days
-    from the key's first date (earlier row on ties); keys with <= n rows are kept whole.
+    """For keys with more than n rows, the rows nearest to each of n targets spread
+    evenly from the key's first to its last date (earlier row on ties); keys with <= n rows
+    are kept whole. A target is a time of day between two dates, counted in seconds.
 
     An as-of lookup without a range join: the n target days are exploded per key,
     unioned with the key's dates, and the previous / next real date come from
     ``last``/``first(ignorenulls)`` windows inside the key."""
     keys = list(keys)
-    st = df.groupBy(*keys).agg(F.min(date_col).alias("_d0"), F.count("*").alias("_n"))
+    st = df.groupBy(*keys).agg(F.min(date_col).alias("_d0"), F.max(date_col).alias("_d1"), F.count("*").alias("_n"))
     big = st.where(F.col("_n") > n)
-    targets = big.select(*keys, F.explode(F.sequence("_d0", F.date_add("_d0", n - 1))).alias("_t"))
-    real = df.join(big.select(*keys), keys, "left_semi").select(*keys, F.col(date_col).alias("_t"),
+    # whole numbers: days since the epoch times (n - 1)
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long") * (n - 1)
+    targets = big.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (
+        day(F.col("_d0")) + i * F.datediff("_d1", "_d0")))).alias("_t"))
+    real = df.join(big.select(*keys), keys, "left_semi").select(*keys, day(F.col(date_col)).alias("_t"),
                                                                   F.col(date_col).alias("_real"))
     u = targets.withColumn("_real", F.lit(None).cast("date")).unionByName(real)
-    w = Window.partitionBy(*keys).orderBy("_t", F.col("_real").asc_nulls_first())
+    # among equal times the real date stands first, so that it is the previous one of its target
+    w = Window.partitionBy(*keys).orderBy("_t", F.col("_real").asc_nulls_last())
     prev = F.last("_real", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     nxt = F.first("_real", True).over(w.rowsBetween(0, Window.unboundedFollowing))
     pick = (u.select(*keys, "_t", "_real", prev.alias("_p"), nxt.alias("_x")).where(F.col("_real").isNull())
               .select(*keys, F.when(F.col("_p").isNull(), F.col("_x")).when(F.col("_x").isNull(), F.col("_p"))
-                      .when(F.datediff("_t", "_p") <= F.datediff("_x", "_t"), F.col("_p")).otherwise(F.col("_x"))
+                      .when(F.col("_t") - day(F.col("_p")) <= day(F.col("_x")) - F.col("_t"), F.col("_p")).otherwise(F.col("_x"))
                       .alias(date_col)).distinct())
     small = df.join(st.where(F.col("_n") <= n).select(*keys), keys, "left_semi")
     return small.unionByName(df.join(pick, keys + [date_col], "left_semi"))

@@ -210,12 +210,11 @@ SAMPLE_SPEC = "product_code:s sale_date:d actual:f predicted:f"
 
 @register("nearest_date_sample", "J7", sql=with_(*BASE) + f"""
 , e AS (SELECT * FROM pred WHERE model = 'ma7'),
-st AS (SELECT product_code, min(sale_date) AS d0, count(*) AS n FROM e GROUP BY product_code),
-tg AS (SELECT product_code, CAST(unnest(generate_series(d0, CAST(d0 + 99 AS DATE), INTERVAL 1 DAY)) AS DATE) AS t
-       FROM st WHERE n > 100),
+st AS (SELECT product_code, min(sale_date) AS d0, max(sale_date) AS d1, count(*) AS n FROM e GROUP BY product_code),
+tg AS (SELECT product_code, d0, date_diff('day', d0, d1) * i AS t FROM st, range(100) r(i) WHERE n > 100),
 pick AS (SELECT DISTINCT tg.product_code,
            (SELECT e2.sale_date FROM e e2 WHERE e2.product_code = tg.product_code
-            ORDER BY abs(date_diff('day', tg.t, e2.sale_date)), e2.sale_date LIMIT 1) AS sale_date FROM tg)
+            ORDER BY abs(date_diff('day', tg.d0, e2.sale_date) * 99 - tg.t), e2.sale_date LIMIT 1) AS sale_date FROM tg)
 SELECT {out_sql(SAMPLE_SPEC)} FROM (
   SELECT e.* FROM e JOIN st USING (product_code) WHERE st.n <= 100
   UNION ALL SELECT e.* FROM e JOIN pick ON pick.product_code = e.product_code AND pick.sale_date = e.sale_date)

@@ -192,7 +192,7 @@ def _stagger_paths_sql(slots: int = 4) -> str:
   WHERE rk = 1)""")
     union = " UNION ALL ".join(f"SELECT plan_id, base_price, cost_price, {t} AS t, d{t} AS discount, x{t} AS sold, "
                                f"pr{last} AS total_profit FROM best" for t in range(slots))
-    ctes.append(f"stag AS ({union})")
+    ctes.append(f"stag AS MATERIALIZED ({union})")
     return ",\n".join(ctes)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,14 +88,15 @@ def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> st
 def append_new_days(spark: SparkSession, stored_path: str, fresh: DataFrame, date_col: str = "date") -> DataFrame:
     """Incremental append: rows of ``fresh`` newer than the stored high-water mark
     (``max(date)``; every row when nothing is stored) are appended; returns the table."""
+    hwm = None
     try:
         stored = spark.read.parquet(stored_path)
+    except AnalysisException as e:      # only a missing table means that nothing is stored yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
         hwm = stored.agg(F.max(date_col)).first()[0]
-    except Exception:  # noqa: BLE001 - nothing stored yet
-        stored, hwm = None, None
     new = fresh if hwm is None else fresh.where(F.col(date_col) > F.lit(hwm))
-    if stored is not None:
-        new = new.join(stored.select(date_col), date_col, "left_anti")
     new.write.mode("append").parquet(stored_path)
     return spark.read.parquet(stored_path)
 
