@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 from typing import Iterable
 
 from pyspark.sql import DataFrame
@@ -31,27 +33,52 @@ def filter_sales(df: DataFrame, store_code: str | None = None, product_code: str
     return out.drop(*drop) if drop else out
 
 
-def keep_positive(df: DataFrame) -> DataFrame:
+def is_positive():
     """positive gross amount and quantity."""
-    return df.where((F.col("gross_amount") > 0) & (F.col("qty") > 0))
+    return (F.col("gross_amount") > 0) & (F.col("qty") > 0)
 
 
-def keep_priced(df: DataFrame) -> DataFrame:
+def is_priced():
     """quantity, gross and list price all positive."""
-    return df.where((F.col("qty") > 0) & (F.col("gross_amount") > 0) & (F.col("list_price") > 0))
+    return is_positive() & (F.col("list_price") > 0)
+
+
+def is_return():
+    """return rows; null quantities are neither sales nor returns."""
+    return F.col("qty") < 0
+
+
+def is_complete(cols: Iterable[str]):
+    """no null in ``cols``."""
+    return reduce(and_, (F.col(c).isNotNull() for c in cols))
+
+
+def keep_positive(df: DataFrame) -> DataFrame:
+    """F2 as a filter."""
+    return df.where(is_positive())
+
+
+def keep_priced(df: DataFrame) -> DataFrame:
+    """F3 as a filter."""
+    return df.where(is_priced())
 
 
 def split_returns(df: DataFrame):
     """(sales rows with qty >= 0, return rows with qty < 0)."""
-    return df.where(F.col("qty") >= 0), df.where(F.col("qty") < 0)
+    return df.where(~is_return()), df.where(is_return())
 
 
-def filter_hours(df: DataFrame, start_hour: int, end_hour: int, ts: str = "sale_ts") -> DataFrame:
-    """hour range [start, end] with midnight wrap when start > end."""
+def hour_in_range(ts, start_hour: int, end_hour: int):
+    """hour within [start, end] (wraps past midnight)."""
     h = F.hour(ts)
     if start_hour <= end_hour:
-        return df.where((h >= start_hour) & (h <= end_hour))
-    return df.where((h >= start_hour) | (h <= end_hour))
+        return (h >= start_hour) & (h <= end_hour)
+    return (h >= start_hour) | (h <= end_hour)
+
+
+def filter_hours(df: DataFrame, start_hour: int, end_hour: int, ts: str = "sale_ts") -> DataFrame:
+    """F6 as a filter."""
+    return df.where(hour_in_range(ts, start_hour, end_hour))
 
 
 def filter_dates(df: DataFrame, start, end, date_col: str = "sale_date") -> DataFrame:

@@ -24,14 +24,9 @@ def naive_predictions(spark, d):
     mean of the previous n days' rows (rows with no history are dropped)."""
     daily = daily_product_sales(spark, d).select("product_code", "sale_date", F.col("qty").alias("actual"))
     w = Window.partitionBy("product_code").orderBy("sale_date")
-    parts = []
-    for name, (n, _) in NAIVE.items():
-        p = daily.withColumn("predicted", F.avg("actual").over(w.rowsBetween(-n, -1)))
-        parts.append(p.where(F.col("predicted").isNotNull()).withColumn("model", F.lit(name)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    wide = daily.select("*", *(F.avg("actual").over(w.rowsBetween(-n, -1)).alias(name) for name, (n, _) in NAIVE.items()))
+    long = wide.unpivot(["product_code", "sale_date", "actual"], list(NAIVE), "model", "predicted")
+    return long.where(F.col("predicted").isNotNull())
 
 
 NAIVE_SQL = "pred AS (" + " UNION ALL ".join(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import profile as PF
-from ..operators.clean import clock_in_range, filter_dates, filter_hours, keep_positive, keep_priced, split_returns
+from ..operators.clean import clock_in_range, filter_dates, hour_in_range, is_complete, is_positive, is_priced, is_return
 from ..sources.starschema import hourly_transactions, transactions
 from .registry import register
 from .sales import DAILY_SQL, daily_product_sales
@@ -105,19 +105,12 @@ SELECT {out_sql(ROWS_SPEC)} FROM (
 def q_row_filters_by_product(spark, d):
     tx = transactions(spark, d, orders=True).select(*TX_COLS[:15])
     tx = tx.withColumn("qty", PF.to_number(F.col("qty").cast("string")))
-    k = ["product_code"]
-    base = tx.groupBy(*k).agg(F.count("*").alias("rows"))
-    pos = keep_positive(tx).groupBy(*k).agg(F.count("*").alias("positive_rows"))
-    priced = keep_priced(tx).groupBy(*k).agg(F.count("*").alias("priced_rows"))
-    sales, returns = split_returns(tx)
-    s = sales.groupBy(*k).agg(F.count("*").alias("sale_rows"))
-    r = returns.groupBy(*k).agg(F.count("*").alias("return_rows"), F.sum("qty").alias("return_qty"))
-    comp = PF.drop_incomplete(tx).groupBy(*k).agg(F.count("*").alias("complete_rows"))
-    out = base
-    for part in (pos, priced, s, r, comp):
-        out = out.join(part, k, "left")
-    out = out.na.fill(0, subset=["positive_rows", "priced_rows", "sale_rows", "return_rows", "complete_rows"]) \
-             .na.fill(0.0, subset=["return_qty"])
+    out = tx.groupBy("product_code").agg(
+        F.count("*").alias("rows"), F.count_if(is_positive()).alias("positive_rows"),
+        F.count_if(is_priced()).alias("priced_rows"), F.count_if(~is_return()).alias("sale_rows"),
+        F.count_if(is_return()).alias("return_rows"),
+        F.coalesce(F.sum(F.when(is_return(), F.col("qty"))), F.lit(0.0)).alias("return_qty"),
+        F.count_if(is_complete(TX_COLS[:15])).alias("complete_rows"))
     return out.select(*out_cols(ROWS_SPEC))
 
 
@@ -134,12 +127,10 @@ SELECT {out_sql(WIN_SPEC)} FROM (
 """)
 def q_hour_window_filters(spark, d):
     hx = hourly_transactions(spark, d)
-    k = ["product_code"]
-    base = hx.groupBy(*k).agg(F.count("*").alias("rows"),
-                              F.count_if(clock_in_range(F.col("sale_ts"), "21:30", "01:15")).alias("clock_rows"))
-    night = filter_hours(hx, 22, 2).groupBy(*k).agg(F.count("*").alias("night_rows"))
-    day = filter_hours(hx, 8, 20).groupBy(*k).agg(F.count("*").alias("day_rows"))
-    out = base.join(night, k, "left").join(day, k, "left").na.fill(0, subset=["night_rows", "day_rows"])
+    out = hx.groupBy("product_code").agg(
+        F.count("*").alias("rows"), F.count_if(hour_in_range("sale_ts", 22, 2)).alias("night_rows"),
+        F.count_if(hour_in_range("sale_ts", 8, 20)).alias("day_rows"),
+        F.count_if(clock_in_range(F.col("sale_ts"), "21:30", "01:15")).alias("clock_rows"))
     return out.select(*out_cols(WIN_SPEC))
 
 

@@ -17,7 +17,7 @@ ONLINE = "1-URGENT"   # the driver data's channel standing in for "online"
 
 
 def _tx(spark, d):
-    return transactions(spark, d, orders=True, part=True)
+    return transactions(spark, d, part=True)
 
 
 TXF = tx_cte(orders=True, part=True)
@@ -34,7 +34,7 @@ SELECT {r('s')} AS total_sales, {r('dsc')} AS total_discount, {r('n')} AS total_
 FROM tot, days
 """)
 def q_kpi_overview(spark, d):
-    return R.kpi_overview(_tx(spark, d))
+    return R.kpi_overview(transactions(spark, d))
 
 
 @register("orders_per_day", "A11", sql=with_(tx_cte()) + """
