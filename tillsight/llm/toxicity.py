@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -35,7 +36,7 @@ _SPACED = re.compile(r"(?<!\S)(?:\w[^\w\s]*\s+){2,}\w(?!\w)")
 def units(word: str) -> list[str]:
     """A lower-cased word as the strings that are compared: look-alike digits read as letters, marks
     left out, long ones in overlapping windows."""
-    w = _NOT_LETTERS.sub("", word.translate(_SWAPPED))
+    w = word if word.isalpha() else _NOT_LETTERS.sub("", word.translate(_SWAPPED))
     if len(w) <= WORD:
         return [w] if len(w) >= ORDER else []
     return [w[i:i + WORD] for i in range(0, len(w) - WORD, 2)] + [w[-WORD:]]
@@ -49,41 +50,40 @@ def text_words(text: str) -> set[str]:
     return found
 
 
-def _symbol(c: str) -> int:
-    """a-z are 1 to 26, all other characters share 37 more symbols; 0 is no letter."""
-    return ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 37
-
-
-# places of the letters of a subsequence in a unit, and its weight by the places that it spans
-_PLACES = np.array(list(combinations(range(WORD), ORDER)))
-_WEIGHTS = (DECAY ** (_PLACES[:, -1] - _PLACES[:, 0] + 1)).astype(np.float32)
+# places of the letters of a subsequence in a unit of so many letters, and its span in places
+_PLACES = {n: np.array(list(combinations(range(n), ORDER))) for n in range(ORDER, WORD + 1)}
+_SPANS = {n: p[:, -1] - p[:, 0] + 1 for n, p in _PLACES.items()}
+_WEIGHTS = np.array([0.0, *(DECAY ** n for n in range(1, WORD + 1))], np.float32)     # by span; 0 is no subsequence
 _DIMENSIONS = 64 ** ORDER
 
 
 def _codes(strings: list[str]) -> np.ndarray:
-    out = np.zeros((len(strings), WORD), np.int64)
-    for i, s in enumerate(strings):
-        out[i, :len(s)] = [_symbol(c) for c in s]
-    return out
+    """A row for each unit, as long as the longest one: a-z are 1 to 26, all other characters share 37
+    more symbols; 0 is no letter."""
+    width = max(ORDER, max(map(len, strings), default=ORDER))
+    raw = np.frombuffer("".join(s.ljust(width, "\0") for s in strings).encode("utf-32-le", "surrogatepass"), np.uint32)
+    raw = raw.reshape(len(strings), width).astype(np.int32)
+    return np.where((raw >= 97) & (raw <= 122), raw - 96, np.where(raw == 0, 0, 27 + raw % 37))
 
 
 def subsequence_weights(codes: np.ndarray):
     """(subsequence numbers, weights, norms) of units: the kernel of two units is the sum over common
     subsequences of the products of their weights, so this is its feature map, written sparsely."""
-    letters = codes[:, _PLACES]                                   # unit, subsequence, letter
-    number = letters[:, :, 0]
+    places, spans = _PLACES[codes.shape[1]], _SPANS[codes.shape[1]].astype(np.int32)
+    number = codes[:, places[:, 0]]
     for i in range(1, ORDER):
-        number = number * 64 + letters[:, :, i]
-    weight = np.where((letters > 0).all(axis=2), _WEIGHTS, np.float32(0))
+        number = number * 64 + codes[:, places[:, i]]
+    # letters stand before the filling, so a subsequence is whole if its last letter is one
+    key = number * 16 + np.where(codes[:, places[:, -1]] > 0, spans, 0)
+    key.sort(axis=1)
+    n, w = key >> 4, _WEIGHTS[key & 15]
     # norm: equal subsequences of a unit add up before they are squared
-    order = np.argsort(number, axis=1, kind="stable")
-    n, w = np.take_along_axis(number, order, 1), np.take_along_axis(weight, order, 1).astype(np.float64)
     first = np.ones(n.shape, bool)
     first[:, 1:] = n[:, 1:] != n[:, :-1]
-    sums = np.add.reduceat(w.ravel(), np.flatnonzero(first.ravel())) if len(n) else np.empty(0)
+    sums = np.add.reduceat(w.ravel().astype(np.float64), np.flatnonzero(first.ravel())) if len(n) else np.empty(0)
     rows = np.repeat(np.arange(len(n)), first.sum(axis=1))
     norm = np.sqrt(np.bincount(rows, sums ** 2, minlength=len(n)))
-    return number, weight, np.maximum(norm, 1e-9)
+    return n, w, np.maximum(norm, 1e-9)
 
 
 class SubsequenceMachine:
@@ -146,44 +146,50 @@ class SubsequenceMachine:
 
     def margin(self, words: set[str]) -> float:
         """The worst margin among the words."""
-        return max((self.margins[w] for w in words), default=-2.0)
+        return max(map(self.margins.__getitem__, words), default=-2.0)
 
     def learn_words(self, words: set[str]):
-        new = [w for w in words if w not in self.margins]
+        new = list(words.difference(self.margins))
         if len(self.margins) + len(new) > KEPT_WORDS:
             self.margins, new = {}, list(words)
         own = [units(w) for w in new]
-        every = sorted(set().union(*map(set, own))) if own else []
+        every = sorted(set().union(*own), key=len)      # units of one length share a narrow matrix
         score = dict(zip(every, self.unit_margins(every).tolist()))
-        self.margins.update((w, max((score[u] for u in us), default=-2.0)) for w, us in zip(new, own))
+        self.margins.update((w, max(map(score.__getitem__, us), default=-2.0)) for w, us in zip(new, own))
 
     def score(self, margin: float) -> float:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30))))
 
 
+@lru_cache(1 << 16)
+def _word_pieces(word: str) -> frozenset[str]:
+    return frozenset(u[i:i + n] for u in units(word) for n in (4, 5, 6) for i in range(len(u) - n + 1))
+
+
 def _pieces(words: set[str]) -> set[str]:
-    return {u[i:i + n] for w in words for u in units(w) for n in (4, 5, 6) for i in range(len(u) - n + 1)}
+    return set().union(*map(_word_pieces, words))
 
 
 def train(sample: list[tuple[str, int]]) -> SubsequenceMachine | None:
     """The machine for labelled texts (text, 0 or 1), or None unless both classes are there."""
     docs = [(text, label) for text, label in sample if label in (0, 1)]
-    toxic, clean = [t for t, l in docs if l], [t for t, l in docs if not l]  # noqa: E741
+    toxic, clean = [text_words(t) for t, l in docs if l], [text_words(t) for t, l in docs if not l]  # noqa: E741
     if not toxic or not clean:
         return None
     # pieces of words that mark toxic texts, by how much more of them hold the piece
     have, lack = Counter(), Counter()
     for t in toxic:
-        have.update(_pieces(text_words(t)))
+        have.update(_pieces(t))
     for t in clean:
-        lack.update(_pieces(text_words(t)))
+        lack.update(_pieces(t))
     # a piece counts if toxic texts hold it 50 times as often as clean ones, and so often that not one
     # of all the pieces would do so by chance, nor by one text with many copies
     share = len(toxic) / len(docs)
     least = max(0.03 * len(toxic), np.log(20 * max(1, len(have.keys() | lack.keys()))) / np.log(1 / share))
     marks = {p: n for p, n in have.items() if n >= least and lack[p] * len(toxic) * 50 <= n * len(clean)}
+    marked_pieces = frozenset(marks)
     # landmarks: piece by piece the most frequent one in words that no landmark explains yet
-    open_ = [[own for w in text_words(t) if (own := _pieces({w}) & marks.keys())] for t in toxic]
+    open_ = [[own for w in t if (own := _word_pieces(w) & marked_pieces)] for t in toxic]
     landmarks: list[str] = []
     while len(landmarks) < LANDMARKS * 3 // 4:
         have = Counter(p for words in open_ for p in set().union(*words))
@@ -195,19 +201,22 @@ def train(sample: list[tuple[str, int]]) -> SubsequenceMachine | None:
     if not landmarks:
         return None
     # the rest: common clean words, so that the features can tell them apart
-    usual = Counter(u for t in clean for w in text_words(t) for u in units(w))
+    usual = Counter()
+    for w, n in Counter(w for t in clean for w in t).items():
+        for u in units(w):
+            usual[u] += n
     landmarks += [u for u, _ in sorted(usual.items(), key=lambda x: (-x[1], x[0])) if not any(p in u for p in landmarks)][:LANDMARKS - len(landmarks)]
     machine = SubsequenceMachine(landmarks)
 
     # sentences of toxic texts that hold a marked word, by those words; a word that clean texts use is
     # no reason. Sentences of clean texts count by all their words, the ones that look worst first
-    sentences = [(text_words(s), label) for text, label in docs for s in re.split(r"[.!?\n]+", text)]
+    words = {label: set().union(*(text_words(s) for text, l in docs if l == label for s in re.split(r"[.!?\n]+", text))) for label in (0, 1)}  # noqa: E741
     marked = [p for p in landmarks if p in marks]
-    positives = sorted({u for ws, label in sentences if label for w in ws for u in units(w)
+    positives = sorted({u for w in words[1] for u in units(w)
                         if usual[u] == 0 and any(p in u for p in marked)})
     if not positives:
         return None
-    negatives = sorted({u for ws, label in sentences if not label for w in ws for u in units(w)}, key=lambda u: (-usual[u], u))
+    negatives = sorted({u for w in words[0] for u in units(w)}, key=lambda u: (-usual[u], u))
     good, vectors = machine.features(positives), machine.features(negatives[:2000])
     # every marked piece weighs the same, however many words it is part of, and so do the classes
     kind = [next(p for p in marked if p in u) for u in positives]
@@ -220,10 +229,9 @@ def train(sample: list[tuple[str, int]]) -> SubsequenceMachine | None:
         vectors = np.vstack([vectors, machine.features([negatives[i] for i in worst])])
     # margins to scores: halfway between what the classes reach lies at the threshold
     worst = {0: [], 1: []}
-    for text, label in docs:
-        words = text_words(text)
-        machine.learn_words(words)
-        worst[label].append(machine.margin(words))
+    machine.learn_words(set().union(*toxic, *clean))
+    for label, texts in ((1, toxic), (0, clean)):
+        worst[label] = [machine.margin(t) for t in texts]
     cut = _best_cut(np.array(worst[0]), np.array(worst[1]))
     machine.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - machine.slope * cut)
     machine.forget_training()
