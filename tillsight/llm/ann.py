@@ -7,6 +7,8 @@ enough vectors collide with it in enough arrays, and those are verified with the
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -19,6 +21,7 @@ VERIFY_SHARE = 0.28     # share of a block that is verified before the windows s
 VERIFY_LEAST = 400      # and so many vectors at least
 FIRST_WINDOW = 0.6      # half width of the first window in standard deviations of the projections
 GROWTH = 1.12
+QUERIES_AT_ONCE = 128   # queries whose collision counts are held at a time
 
 
 def usable_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -42,48 +45,67 @@ class WindowIndex:
         places = np.hstack([vectors, rest[:, None]]) @ directions
         order = np.argsort(places, axis=0, kind="stable")
         self.sorted = np.take_along_axis(places, order, 0).T.copy()
-        self.order = order.T.copy().ravel()
+        self.order = order.T.copy()
         self.directions, self.n, self.vectors, self.longest = directions[:dim], n, vectors, longest
         self.spread = float(places.std()) or 1.0
-
-    def _verify(self, query, ids):
-        return (self.vectors[ids] * query).sum(axis=1)
-
-    def search(self, query: np.ndarray, k: int):
-        """(indices, inner products) of all verified vectors, at least k if the block has them."""
-        length = float(np.sqrt((query ** 2).sum()))
-        centre = (query * (self.longest / length)) @ self.directions       # the query as long as the vectors
+        # single precision sorts out most of the vectors that collide, where lengths leave room for it
+        self.short = vectors.astype(np.float32) if longest ** 2 < 1e30 else vectors
+        self.unsure = 4 * dim * float(np.finfo(self.short.dtype).eps) * longest
+
+    def _verify(self, query: np.ndarray, hit: np.ndarray, k: int):
+        """(indices, exact products) of the colliding vectors that can be among the k best."""
+        if len(hit) > k:
+            rough = self.short[hit] @ query.astype(self.short.dtype)
+            kth = np.partition(rough, len(rough) - k)[len(rough) - k]
+            hit = hit[rough >= kth - self.unsure * np.sqrt((query ** 2).sum())]
+        return hit, (self.vectors[hit] * query).sum(axis=1)
+
+    def _bounds(self, values: np.ndarray, side: str) -> np.ndarray:
+        """Places of ``values`` (projection, query) in the sorted arrays."""
+        return np.stack([np.searchsorted(row, v, side) for row, v in zip(self.sorted, values)])
+
+    def search(self, queries: np.ndarray, k: int):
+        """For each row of ``queries`` (its place, indices, inner products): the verified vectors that can
+        be among the k best, at least k if the block has them."""
         need = int(np.ceil(THRESHOLD * PROJECTIONS))
         enough = min(self.n, max(k, VERIFY_LEAST, int(VERIFY_SHARE * self.n)))
-        half, base = FIRST_WINDOW * self.spread, np.arange(PROJECTIONS) * self.n
-        counts = np.zeros(self.n, np.int32)
-        left = right = np.array([np.searchsorted(self.sorted[p], centre[p]) for p in range(PROJECTIONS)])
-        while True:
-            lo = np.array([np.searchsorted(self.sorted[p], centre[p] - half) for p in range(PROJECTIONS)])
-            hi = np.array([np.searchsorted(self.sorted[p], centre[p] + half, "right") for p in range(PROJECTIONS)])
-            for a, b in ((lo, left), (right, hi)):       # only what the wider window adds on either side
-                n = np.maximum(b - a, 0)
-                at = np.repeat(base + a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                counts += np.bincount(self.order[at], minlength=self.n).astype(np.int32)
-            left, right = lo, hi
-            hit = np.flatnonzero(counts >= need)
-            if len(hit) >= enough or (lo == 0).all() and (hi == self.n).all():
-                return hit, self._verify(query, hit)
-            half *= GROWTH
+        for start in range(0, len(queries), QUERIES_AT_ONCE):
+            some = queries[start:start + QUERIES_AT_ONCE]
+            length = np.sqrt((some ** 2).sum(axis=1))
+            centre = ((some * (self.longest / length)[:, None]) @ self.directions).T    # queries as long as the vectors
+            counts = np.zeros((len(some), self.n), np.uint8)
+            open_, half = np.arange(len(some)), FIRST_WINDOW * self.spread
+            left = right = self._bounds(centre, "left")
+            while len(open_):
+                lo, hi = self._bounds(centre[:, open_] - half, "left"), self._bounds(centre[:, open_] + half, "right")
+                left, right = np.maximum(left, lo), np.minimum(right, hi)
+                more = np.ones(len(open_), bool)
+                for i, q in enumerate(open_):
+                    new = [row[a:b] for row, a, b in zip(self.order, lo[:, i], left[:, i])]     # what the wider window adds
+                    new += [row[a:b] for row, a, b in zip(self.order, right[:, i], hi[:, i])]
+                    counts[q] += np.bincount(np.concatenate(new), minlength=self.n).astype(np.uint8)
+                    hit = np.flatnonzero(counts[q] >= need)
+                    if len(hit) >= enough or (lo[:, i] == 0).all() and (hi[:, i] == self.n).all():
+                        more[i] = False
+                        yield start + q, *self._verify(some[q], hit, k)
+                open_, left, right = open_[more], lo[:, more], hi[:, more]
+                half *= GROWTH
 
 
 def _searcher(dim: int, longest: float, k: int):
     def run(queries, rows):
         q, v, s = [], [np.empty(0, np.int64)], [np.empty(0)]
         if queries.num_rows and rows.num_rows:
-            ids = rows.column("vec_id").to_numpy()
+            ids, asked = rows.column("vec_id").to_numpy(), queries.column("query_id").to_numpy()
             index = WindowIndex(flat_vectors(rows.column("v"), dim), longest)
-            for qid, x in zip(queries.column("query_id").to_pylist(), flat_vectors(queries.column("v"), dim)):
-                at, score = index.search(x, k + 1)          # one more: the query itself may be there
-                other = ids[at] != qid
+            # repeated ids with other vectors are other rows; all of the query's own id may be in its way
+            own = Counter(ids[np.isin(ids, asked)].tolist())
+            most = k + max(own.values(), default=0)
+            for i, at, score in index.search(flat_vectors(queries.column("v"), dim), most):
+                other = ids[at] != asked[i]
                 at, score = at[other], score[other]
                 best = np.lexsort((ids[at], -score))[:k]
-                q.extend([qid] * len(best))
+                q.extend([asked[i]] * len(best))
                 v.append(ids[at[best]])
                 s.append(score[best])
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(np.concatenate(v)), "score": pa.array(np.concatenate(s))})
