@@ -93,3 +93,16 @@ def test_trend_is_pct_change_of_rolling_mean(spark):
     ma = np.array([np.mean(qty[max(0, i - 6): i + 1]) for i in range(len(qty))])
     want = [0.0] * 7 + [ma[i] / ma[i - 7] - 1 for i in range(7, len(qty))]
     assert np.allclose(got, want)
+
+
+def test_demand_follows_weather_and_calendar(spark):
+    cases = [(26.0, 0, 0, 0, 0, 0, 1.0), (31.0, 0, 0, 0, 0, 0, 0.9), (22.0, 0, 0, 0, 0, 0, 1.1), (26.0, 1, 0, 0, 0, 0, 1.2),
+             (26.0, 1, 1, 0, 0, 0, 0.8), (26.0, 0, 0, 1, 0, 0, 1.3), (26.0, 0, 0, 0, 1, 0, 1.2), (26.0, 0, 0, 0, 0, 1, 1.5),
+             (31.0, 1, 0, 1, 1, 1, 0.9 * 1.2 * 1.3 * 1.2 * 1.5), (None, None, 0, None, None, None, 1.0)]
+    df = spark.createDataFrame(cases, "temperature double, is_rainy int, is_fresh int, is_holiday int, is_weekend int, "
+                                      "is_shopping_day int, factor double") \
+              .select("*", F.lit(10.0).alias("hist_avg_sales"), F.lit(1.2).alias("price_elasticity"),
+                      F.lit(1.0).alias("hist_promo_sales_ratio"), F.lit(0.0).alias("sales_trend"), F.lit(48).alias("shelf_life_hours"))
+    args = F.lit(0.8), F.lit(1.0), F.lit(1000.0)
+    got = df.select("factor", PR.heuristic_demand(*args, day=PR.PLAN_DAY).alias("d"), PR.heuristic_demand(*args).alias("plain")).collect()
+    assert all(math.isclose(r.d, r.plain * r.factor, rel_tol=1e-12) for r in got)

@@ -248,12 +248,17 @@ def clean_calendar(cal: DataFrame) -> DataFrame:
                       F.when(h == 1, "法定节假日").otherwise("普通日").alias("holiday_kind"))
 
 
-def holiday_impact(cal: DataFrame, date_col: str = "date") -> DataFrame:
-    """0 no name; 4 type holiday; 3 recess; 2 shopping festival; else 1."""
-    d = F.col(date_col)
+def shopping_day(d) -> F.Column:
+    """True on the fixed shopping festivals."""
     shop = F.lit(False)
     for m, day in SHOPPING_DAYS:
         shop = shop | ((F.month(d) == m) & (F.dayofmonth(d) == day))
+    return shop
+
+
+def holiday_impact(cal: DataFrame, date_col: str = "date") -> DataFrame:
+    """0 no name; 4 type holiday; 3 recess; 2 shopping festival; else 1."""
+    shop = shopping_day(F.col(date_col))
     name = F.col("holiday_name")
     score = (F.when(name.isNull() | (name == ""), 0).when(F.col("holiday_type") == "holiday", 4)
              .when(F.col("holiday_type") == "recess", 3).when(shop, 2).otherwise(1))
@@ -263,10 +268,7 @@ def holiday_impact(cal: DataFrame, date_col: str = "date") -> DataFrame:
 def calendar_features(df: DataFrame, date_col: str = "sale_date") -> DataFrame:
     """Shopping-day, payday flags, ISO week (holiday fields come from J2)."""
     d = F.col(date_col)
-    shop = F.lit(False)
-    for m, day in SHOPPING_DAYS:
-        shop = shop | ((F.month(d) == m) & (F.dayofmonth(d) == day))
-    return df.select("*", shop.cast("int").alias("is_shopping_day"),
+    return df.select("*", shopping_day(d).cast("int").alias("is_shopping_day"),
                      F.dayofmonth(d).isin(*PAYDAYS).cast("int").alias("is_payday"),
                      F.weekofyear(d).alias("week_of_year"))
 

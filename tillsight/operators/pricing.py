@@ -19,7 +19,7 @@ Demand is deterministic (the source system's random noise is omitted).
 from __future__ import annotations
 
 import math
-from typing import Sequence
+from typing import Collection, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +30,8 @@ from ..session import cut_lineage
 STAGGER_LADDER = [1.0, 0.9, 0.8, 0.7, 0.6, 0.5]
 PERCEPTION_WEIGHT = 0.3
 MAX_DISCOUNT_CHANGE_PCT = 20.0
+# Weather and calendar of a plan's day that demand reacts to (M16); absent ones are neutral.
+PLAN_DAY = ("temperature", "is_rainy", "is_holiday", "is_weekend", "is_shopping_day")
 
 
 # ---- D1 / D2 / D3 ---------------------------------------------------------------
@@ -93,11 +95,14 @@ def discount_units(rate_per_hour, discount, minutes) -> F.Column:
 
 def heuristic_demand(discount, tau, stock, hist_avg="hist_avg_sales", elasticity="price_elasticity",
                      promo_ratio="hist_promo_sales_ratio", trend="sales_trend", fresh="is_fresh",
-                     shelf_life="shelf_life_hours") -> F.Column:
+                     shelf_life="shelf_life_hours", day: Collection[str] = ()) -> F.Column:
     """Multi-factor demand, clamped to [0.1, 0.8 * stock] (no random factor).
 
     price (1/d)^e, time e^{3(1-tau)}, stock 1 + 2/(1 + e^{-5(s - 0.5)}) with
-    s = stock / max(3 * hist, 10), promo 1 + (r - 1)(1 - tau), product
+    s = stock / max(3 * hist, 10), promo 1 + (r - 1)(1 - tau), weather (above 30
+    degrees 0.9, 20 to 25: 1.1; rain 0.8 for fresh goods, else 1.2), calendar
+    (holiday 1.3, weekend 1.2, shopping day 1.5), both from the PLAN_DAY columns
+    named in ``day``; a column not named or null there is neutral, product
     (fresh: 1 + 2(1 - tau); shelf life < 24 h: x1.5), trend 1 + trend."""
     base = F.coalesce(F.col(hist_avg), F.lit(10.0))
     pf = F.pow(1.0 / discount, F.coalesce(F.col(elasticity), F.lit(1.2)))
@@ -108,7 +113,15 @@ def heuristic_demand(discount, tau, stock, hist_avg="hist_avg_sales", elasticity
     prod = (F.when(F.col(fresh) == 1, 1.0 + (1.0 - tau) * 2.0).otherwise(1.0)
             * F.when(F.col(shelf_life) < 24, 1.5).otherwise(1.0))
     tr = 1.0 + F.coalesce(F.col(trend), F.lit(0.0))
-    d = base * pf * tf * sf * prf * prod * tr
+
+    def given(name):
+        return F.col(name) if name in day else F.lit(None).cast("double")
+    temp = given("temperature")
+    weather = (F.when(temp > 30, 0.9).when((temp >= 20) & (temp <= 25), 1.1).otherwise(1.0)
+               * F.when(given("is_rainy") == 1, F.when(F.col(fresh) == 1, 0.8).otherwise(1.2)).otherwise(1.0))
+    calendar = (F.when(given("is_holiday") == 1, 1.3).otherwise(1.0) * F.when(given("is_weekend") == 1, 1.2).otherwise(1.0)
+                * F.when(given("is_shopping_day") == 1, 1.5).otherwise(1.0))
+    d = base * pf * tf * sf * prf * weather * calendar * prod * tr
     return F.greatest(F.lit(0.1), F.least(d, stock * 0.8))
 
 
@@ -244,12 +257,13 @@ def staged_plan(plans: DataFrame, levels: int = 5) -> DataFrame:
     """Max-profit stepped plan over the D1 segments with M16 demand (the stock term
     is applied inside the search, so demand follows the stock left)."""
     feats = ["hist_avg_sales", "price_elasticity", "hist_promo_sales_ratio", "sales_trend", "is_fresh", "shelf_life_hours"]
-    grid = staged_grid(plans, levels).drop("units").join(plans.select("plan_id", *feats), "plan_id")
+    day = [c for c in PLAN_DAY if c in plans.columns]
+    grid = staged_grid(plans, levels).drop("units").join(plans.select("plan_id", *feats, *day), "plan_id")
     grid = grid.withColumn("units", F.lit(0.0))
     # loop bound: the largest segment count of any plan (a one-row aggregate)
     n = segment_frame(plans).agg(F.max("n_segments")).first()[0] or 0
     pl = plans.select("plan_id", "initial_stock", "base_price", "cost_price")
-    plan = stepped_plan(pl, grid, n, units_expr=lambda stock: heuristic_demand(F.col("discount"), F.col("time_remaining"), stock))
+    plan = stepped_plan(pl, grid, n, units_expr=lambda stock: heuristic_demand(F.col("discount"), F.col("time_remaining"), stock, day=day))
     seg = segment_frame(plans).select("plan_id", "t", "start_time", "end_time")
     return plan.join(seg, ["plan_id", "t"], "left")
 

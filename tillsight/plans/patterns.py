@@ -21,7 +21,7 @@ def enriched_hourly(spark, d):
     """Section 3.2 step 2: till rows + P4/P5/P8 fields + weather (J1) + calendar."""
     hx = base_fields(hourly_transactions(spark, d))
     dates = hx.select(F.col("sale_date").alias("date")).distinct()
-    w = weather_from_dates(dates).select("date", "code_day", "high")
+    w = weather_from_dates(dates).select("date", "code_day", "high", "low")
     c = calendar_from_dates(dates).select("date", "holiday_legal", "weekend")
     return FT.join_calendar(FT.join_weather(hx, w), c)
 
@@ -31,7 +31,7 @@ ENRICHED_SQL = [hx_cte(), "dates AS (SELECT DISTINCT sale_date AS date FROM hx)"
                 f"""er AS (
   SELECT hx.*, CASE WHEN gross_amount > 0 THEN 1 - discount_amount / gross_amount END AS discount_rate,
          net_amount / nullif(qty, 0) AS avg_price, CAST(discount_type <> '{NO_DISCOUNT}' AS INT) AS is_promo,
-         weather.code_day, weather.high, cal.holiday_legal, cal.weekend
+         weather.code_day, weather.high, weather.low, cal.holiday_legal, cal.weekend
   FROM hx LEFT JOIN weather ON weather.date = hx.sale_date LEFT JOIN cal ON cal.date = hx.sale_date),
 lb AS (
   SELECT er.* FROM er JOIN (SELECT store_code, product_code, max(sale_ts) AS lt FROM er GROUP BY ALL) m

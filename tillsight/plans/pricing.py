@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import features as FT
 from ..operators import patterns as PT
 from ..operators import pricing as PR
+from ..schema import SHOPPING_DAYS, WEATHER_TYPE_CODES
 from .features import SLOT_AGG_SQL, hourly_slots
-from .patterns import ENRICHED_SQL, KEYS, elasticity_sql, enriched_hourly
+from .patterns import _RAINY, ENRICHED_SQL, KEYS, elasticity_sql, enriched_hourly
 from .registry import register
 from ..session import cut_lineage
 from .sqlparts import out_cols, out_sql, with_
@@ -27,20 +29,23 @@ def plan_requests(spark, d):
     """D13/D14 inputs: one markdown request per (store, product) of the hourly feed.
 
     stock = ceil(units per sale day); base price = latest list price; cost = A37;
-    sales rate = A31 promo-hour mean; history = A28; elasticity = A29 (4 bins)."""
+    sales rate = A31 promo-hour mean; history = A28; elasticity = A29 (4 bins);
+    weather and calendar of the day of the latest sale (M16)."""
     rows = enriched_hourly(spark, d)
     g = rows.groupBy(*KEYS).agg(
         F.max_by("list_price", F.struct("sale_ts", "order_id")).alias("base_price"),
         F.ceil(F.sum("qty") / F.count_distinct("sale_date")).cast("long").alias("initial_stock"),
         F.avg(F.col("list_price") * F.col("discount_rate")).alias("_m"),
         F.count("*").alias("total_transactions"), F.count_distinct("sale_date").alias("recent_transaction_days"),
-        F.min("category_code").alias("category_code"))
+        F.min("category_code").alias("category_code"),
+        F.max_by(F.struct("sale_date", "high", "low", "code_day", "holiday_legal", "weekend"), "sale_ts").alias("day"))
     g = g.withColumn("cost_price", F.least(F.greatest(F.col("_m") * 0.3, F.col("_m") * 0.1), F.col("_m") * 0.9)).drop("_m")
     rate = PT.sales_rate_profile(hourly_slots(spark, d).withColumn("hour", F.col("slot") - 1), KEYS) \
              .select(*KEYS, F.col("avg_rate").alias("sales_rate"))
     hist = PT.asof_history(rows, PT.latest_asof(rows, KEYS), KEYS).drop("as_of", "last_week_sales", "recent_3h_sales")
     el = PT.price_elasticity(rows, KEYS, bins=4, min_rows=20)
     fresh = F.coalesce(F.col("category_code").startswith("20"), F.lit(False))
+    rainy = F.lpad("day.code_day", 2, "0").isin(*WEATHER_TYPE_CODES["is_rainy"])
     req = (g.join(rate, KEYS, "left").join(hist, KEYS, "left").join(el, KEYS, "left")
              .select(F.concat_ws("-", *KEYS).alias("plan_id"), *KEYS, "initial_stock", "base_price", "cost_price",
                      F.coalesce("sales_rate", F.lit(5.0)).alias("sales_rate"), "total_transactions",
@@ -49,15 +54,24 @@ def plan_requests(spark, d):
                      fresh.cast("int").alias("is_fresh"), F.when(fresh, 24).otherwise(168).alias("shelf_life_hours"),
                      F.lit(WINDOW[0]).alias("promotion_start"), F.lit(WINDOW[1]).alias("promotion_end"),
                      F.lit(0.4).alias("min_discount"), F.lit(0.9).alias("max_discount"), F.lit(4).alias("time_segments"),
-                     F.lit(0.1).alias("min_gross_margin")))
+                     F.lit(0.1).alias("min_gross_margin"),
+                     ((F.col("day.high") + F.col("day.low")) / 2).alias("temperature"),
+                     F.coalesce(rainy, F.lit(False)).cast("int").alias("is_rainy"),
+                     F.coalesce("day.holiday_legal", F.lit(0)).alias("is_holiday"),
+                     F.coalesce("day.weekend", F.lit(0)).alias("is_weekend"),
+                     FT.shopping_day(F.col("day.sale_date")).cast("int").alias("is_shopping_day")))
     # One row per plan, read by the grid, the search and the reports: materialised once in
     # the shared checkpoint folder instead of being re-derived from the fact rows by each.
     return cut_lineage(req.repartition("plan_id"))
 
 
+_SHOP = " OR ".join(f"(month(sale_date) = {m} AND day(sale_date) = {x})" for m, x in SHOPPING_DAYS)
 _PROMO = "hour(sale_ts) >= 20 AND hour(sale_ts) < 22"
 PLANS_SQL = [*ENRICHED_SQL, SLOT_AGG_SQL, elasticity_sql("er", bins=4, min_rows=20, name="el4"), f"""
-lastp AS (SELECT store_code, product_code, list_price AS base_price FROM (
+lastp AS (SELECT store_code, product_code, list_price AS base_price, CAST(high + low AS DOUBLE) / 2 AS temperature,
+                 CAST(coalesce(lpad(code_day, 2, '0') IN {_RAINY}, false) AS INT) AS is_rainy,
+                 coalesce(holiday_legal, 0) AS is_holiday, coalesce(weekend, 0) AS is_weekend,
+                 CAST({_SHOP} AS INT) AS is_shopping_day FROM (
   SELECT *, row_number() OVER (PARTITION BY store_code, product_code ORDER BY sale_ts DESC, order_id DESC) AS rn FROM er)
   WHERE rn = 1),
 pg AS (SELECT store_code, product_code, CAST(ceil(sum(qty) / count(DISTINCT sale_date)) AS BIGINT) AS initial_stock,
@@ -88,13 +102,15 @@ plans AS (
          coalesce(el4.price_elasticity, 1.2) AS price_elasticity,
          CAST(coalesce(starts_with(category_code, '20'), false) AS INT) AS is_fresh,
          CASE WHEN coalesce(starts_with(category_code, '20'), false) THEN 24 ELSE 168 END AS shelf_life_hours,
-         {dbl(0.4)} AS min_discount, {dbl(0.9)} AS max_discount, 4 AS time_segments, {dbl(0.1)} AS min_gross_margin
+         {dbl(0.4)} AS min_discount, {dbl(0.9)} AS max_discount, 4 AS time_segments, {dbl(0.1)} AS min_gross_margin,
+         lastp.temperature, lastp.is_rainy, lastp.is_holiday, lastp.is_weekend, lastp.is_shopping_day
   FROM pg JOIN lastp USING (store_code, product_code) LEFT JOIN rate USING (store_code, product_code)
   LEFT JOIN hist USING (store_code, product_code) LEFT JOIN el4 USING (store_code, product_code))"""]
 
 REQ_SPEC = ("plan_id:s initial_stock:l base_price:f cost_price:f sales_rate:f total_transactions:l "
             "recent_transaction_days:l hist_avg_sales:f hist_sales_std:f hist_promo_sales_ratio:f sales_trend:f "
-            "price_elasticity:f is_fresh:i shelf_life_hours:i")
+            "price_elasticity:f is_fresh:i shelf_life_hours:i temperature:f is_rainy:i is_holiday:i is_weekend:i "
+            "is_shopping_day:i")
 
 
 @register("plan_requests", "D13 D14 A31 A37 A28", sql=with_(*PLANS_SQL) + f"SELECT {out_sql(REQ_SPEC)} FROM plans")
@@ -225,7 +241,12 @@ def _demand_sql(d: str, tau: str, stock: str) -> str:
     prod = (f"((CASE WHEN is_fresh = 1 THEN 1.0 + (1.0 - {tau}) * 2.0 ELSE 1.0 END) * "
             f"(CASE WHEN shelf_life_hours < 24 THEN 1.5 ELSE 1.0 END))")
     tr = "(1.0 + coalesce(sales_trend, 0.0))"
-    dem = f"{base} * {pf} * {tf} * {sf} * {prf} * {prod} * {tr}"
+    one = dbl(1.0)
+    wf = (f"((CASE WHEN temperature > 30 THEN {dbl(0.9)} WHEN temperature BETWEEN 20 AND 25 THEN {dbl(1.1)} ELSE {one} END) * "
+          f"(CASE WHEN is_rainy = 1 THEN CASE WHEN is_fresh = 1 THEN {dbl(0.8)} ELSE {dbl(1.2)} END ELSE {one} END))")
+    cf = (f"((CASE WHEN is_holiday = 1 THEN {dbl(1.3)} ELSE {one} END) * (CASE WHEN is_weekend = 1 THEN {dbl(1.2)} ELSE {one} END)"
+          f" * (CASE WHEN is_shopping_day = 1 THEN {dbl(1.5)} ELSE {one} END))")
+    dem = f"{base} * {pf} * {tf} * {sf} * {prf} * {wf} * {cf} * {prod} * {tr}"
     return f"greatest({dbl(0.1)}, least({dem}, {stock} * {dbl(0.8)}))"
 
 
