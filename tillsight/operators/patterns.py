@@ -197,7 +197,7 @@ def sales_pattern(rows: DataFrame, keys: Sequence[str] = KEYS, lookback_days: in
     for p in parts:
         out = out.join(p, keys, "left")
     return (out.withColumn("price_elasticity", F.coalesce("price_elasticity", F.lit(1.2)))
-               .withColumn("best_hours", F.coalesce("best_hours", F.lit(f"{promo[0]},{promo[1]}")))
+               .withColumn("best_hours", F.coalesce("best_hours", F.lit(",".join(str(h) for h in range(*promo)))))
                .withColumn("worst_hours", F.coalesce("worst_hours", F.lit("2,3,4"))))
 
 

@@ -130,10 +130,16 @@ mon2 AS (SELECT *, CASE WHEN adjustment_needed = 1
                         THEN greatest({MON.EMERGENCY_FLOOR}, discount - {MON.EMERGENCY_INCREMENT} *
                              CASE adjustment_type WHEN 'emergency_discount' THEN 2.0 WHEN 'increase_discount' THEN 1.0
                                   WHEN 'moderate_discount_increase' THEN 0.5 ELSE 0.0 END)
-                        ELSE discount END AS new_discount FROM mon)"""
+                        ELSE discount END AS new_discount,
+              concat_ws(',', CASE WHEN adjustment_needed = 1 OR adjustment_type = 'consider_reducing_discount' THEN adjustment_type
+                                  ELSE 'keep_monitoring' END,
+                        CASE WHEN adjustment_needed = 1 AND time_to_close < 0.5 THEN 'final_clearance' END,
+                        CASE WHEN adjustment_needed = 1 AND time_to_close < 1.0
+                              AND CASE WHEN initial_stock > 0 THEN total_sales / initial_stock ELSE 0.0 END < 0.3
+                             THEN 'staff_purchase_or_donation' END) AS recommendations FROM mon)"""
 MON_SPEC = ("strategy_id:s ts:t event_id:l t:i total_sales:f remaining_stock:f elapsed_hours:f time_to_close:f "
             "sales_rate:f required_rate:f progress_ratio:f status:s time_pressure:f adjustment_needed:i "
-            "adjustment_type:s prior_adjustments:l discount:f new_discount:f")
+            "adjustment_type:s prior_adjustments:l recommendations:s discount:f new_discount:f")
 
 
 @register("live_progress_monitor", "R6 R7 R8", sql=with_(*LIVE_SQL, MON_SQL) + f"SELECT {out_sql(MON_SPEC)} FROM mon2")

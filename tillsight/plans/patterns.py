@@ -177,7 +177,7 @@ PATTERN_SQL = [*ENRICHED_SQL, PROMO_SQL, elasticity_sql("lb"), IMPACT_SQL, trend
          promo.promo_avg_sales, promo.non_promo_avg_sales, promo.promo_ratio,
          coalesce(el.price_elasticity, 1.2) AS price_elasticity, wi.rain_impact, wi.hot_impact, wi.cold_impact,
          wi.holiday_boost, wi.weekend_boost, tr.sales_trend,
-         coalesce(bw.best_hours, '20,22') AS best_hours, coalesce(bw.worst_hours, '2,3,4') AS worst_hours
+         coalesce(bw.best_hours, '20,21') AS best_hours, coalesce(bw.worst_hours, '2,3,4') AS worst_hours
   FROM (SELECT store_code, product_code, sum(qty) AS total_sales, sum(gross_amount) AS total_revenue,
                avg(avg_price) AS avg_price, avg(discount_rate) AS avg_discount, avg(is_promo) AS discount_frequency
         FROM lb GROUP BY ALL) b

@@ -111,6 +111,17 @@ def adjustment_history(perf: DataFrame, last: int = 5) -> DataFrame:
                                  lambda x: x.cast("string")), ",").alias("last_stages"))
 
 
+def emergency_recommendations() -> F.Column:
+    """Advice of one update as a comma list: the decision, then what is added when an
+    adjustment is needed and little time (and little cleared) is left."""
+    needed, left = F.col("adjustment_needed") == 1, F.col("time_to_close")
+    cleared = F.when(F.col("initial_stock") > 0, F.col("total_sales") / F.col("initial_stock")).otherwise(0.0)
+    reduce_ = F.col("adjustment_type") == "consider_reducing_discount"
+    return F.concat_ws(",", F.when(needed | reduce_, F.col("adjustment_type")).otherwise("keep_monitoring"),
+                       F.when(needed & (left < 0.5), "final_clearance"),
+                       F.when(needed & (cleared < 0.3) & (left < 1.0), "staff_purchase_or_donation"))
+
+
 def progress_monitor(updates: DataFrame, plan_rows: DataFrame, end_hhmm: str = "22:00",
                      increment: float = EMERGENCY_INCREMENT, floor: float = EMERGENCY_FLOOR,
                      max_adjustments: int = MAX_ADJUSTMENTS) -> DataFrame:
@@ -151,6 +162,7 @@ def progress_monitor(updates: DataFrame, plan_rows: DataFrame, end_hhmm: str = "
     blocked = F.col("prior_adjustments") >= max_adjustments
     u = u.withColumn("adjustment_type", F.when(blocked, "max_adjustments_reached").otherwise(F.col("_kind"))) \
          .withColumn("adjustment_needed", ((~blocked) & (F.col("_need") == 1)).cast("int"))
+    u = u.withColumn("recommendations", emergency_recommendations())
     u = u.join(plan_rows.select("plan_id", "t", "discount"), ["plan_id", "t"], "left")
     mult = F.coalesce(F.element_at(F.create_map(*[x for k, v in STEP_MULTIPLIER.items()
                                                   for x in (F.lit(k), F.lit(v))]), F.col("adjustment_type")), F.lit(0.0))
@@ -158,8 +170,8 @@ def progress_monitor(updates: DataFrame, plan_rows: DataFrame, end_hhmm: str = "
              .otherwise(F.col("discount"))
     return u.select("strategy_id", "ts", "event_id", "t", "total_sales", (init - tot).alias("remaining_stock"),
                     "elapsed_hours", "time_to_close", "sales_rate", "required_rate", "progress_ratio", "status",
-                    "time_pressure", "adjustment_needed", "adjustment_type", "prior_adjustments", "discount",
-                    new_d.alias("new_discount"))
+                    "time_pressure", "adjustment_needed", "adjustment_type", "prior_adjustments", "recommendations",
+                    "discount", new_d.alias("new_discount"))
 
 
 def monitoring_summary(monitor: DataFrame) -> DataFrame:
