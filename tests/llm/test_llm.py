@@ -175,6 +175,29 @@ def test_packing(spark):
     assert len(packing.best_fit(sizes, [64], lambda c: c)[1]) == len(bins)
 
 
+def test_packing_by_model_tokens(docs, spark):
+    import corpus_pipeline as cp
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(P.path("piece_bpe_32k.model")))
+    unspaced = "".join(chr(0x4E00 + 37 * i % 5000) for i in range(9000))
+    texts = [(20, unspaced), (21, unspaced[:700] + " " + "QUJD" * 900)]
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(texts, "doc_id long, text string"))
+    want = {}
+    for i, t in TEXTS + texts:
+        if n := len(sp.encode(t or "")):
+            want[i] = want.get(i, 0) + n
+    assert want[20] > 4096
+    for packed in (packing.pack_tokens(more, str(P.path("piece_bpe_32k.model"))), cp.pack_sequences(spark, more, SF)):
+        got, per, used = packed.collect(), {}, {}
+        for r in got:
+            per[r.doc_id] = per.get(r.doc_id, 0) + r.n_tokens
+            used[r.shard, r.sequence, r.capacity] = used.get((r.shard, r.sequence, r.capacity), 0) + r.n_tokens
+        assert per == want and all(n <= key[2] for key, n in used.items())
+        assert sorted(r.start for r in got if r.doc_id == 20) == list(range(0, want[20], 4096))
+    total = sum(len(sp.encode(r.text or "")) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    assert sum(r.n_tokens for r in queries.op9_best_fit_packing(spark, SF).collect()) == total
+
+
 def brute_components(texts, k, num, den):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))

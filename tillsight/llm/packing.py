@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .token_counts import count_tokens
+
 LENGTHS = (512, 1024, 2048, 4096)
 SEQUENCE_COST = 64      # cost of a sequence beyond its length, in tokens
 PIECES = 200_000        # pieces packed together, at most: bounds a task's memory
@@ -55,13 +57,21 @@ def best_fit(sizes, lengths, cost):
     return place, caps
 
 
+def pack_tokens(docs: DataFrame, model_path: str, lengths=LENGTHS, sequence_cost: float = SEQUENCE_COST) -> DataFrame:
+    """``pack`` by the tokens of the SentencePiece model at ``model_path``: n_tokens and start count its
+    tokens of the whole text, so no sequence holds more of them than its capacity. The counts come
+    from ``count_tokens`` in the same scan, without a shuffle."""
+    return pack(count_tokens(docs, model_path), lengths, sequence_cost, tokens_col="n_tokens")
+
+
 def pack(docs: DataFrame, lengths=LENGTHS, sequence_cost: float = SEQUENCE_COST, id_col: str = "doc_id", text_col: str = "text",
          tokens_col: str | None = None) -> DataFrame:
     """A row for each piece: doc_id, piece (from 0), start (its first token in the document), n_tokens,
     shard and sequence (together the packed sequence), capacity (its length), offset (the piece's
     place in it).
 
-    Tokens are counted by ``tokens_col`` or else as words: runs without ASCII white space. Documents
+    Tokens are counted by ``tokens_col`` or else as words: runs without ASCII white space, of which a
+    tokenizer makes several tokens each (see ``pack_tokens`` for real counts). Documents
     longer than the longest length are cut into whole pieces of that length and a rest; no token is
     dropped. Null, empty and blank texts have no token, take no room and give no row. Repeated rows are packed
     each on its own; null ids stay; an empty table gives no row; other columns are not read. Only

@@ -53,7 +53,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack_tokens(table(spark, sf_dir, "documents"), str(_tokenizers().path("piece_bpe_32k.model")))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
