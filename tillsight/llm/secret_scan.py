@@ -93,10 +93,19 @@ BASE_RULES = [
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]+", 0, 32),
 ]
+# A PEM key: from BEGIN to its END, with whatever stands between but no other line of five dashes;
+# where END is missing, the header lines and the body, which are long base64 chunks in any wrapping
+# and whole lines of base64. As no choice in a loop is taken back, Java's loops can be possessive.
+_PEM_LINE = r"[ \t\r]*\n[ \t]*"
+_PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+)*-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_PEM_LINE}(?:[A-Z][A-Za-z]*-[A-Za-z-]+|Comment):[^\n]*)*"
+    rf"""(?:(?:\\[nr]|[ \t\r\n"'>|#*,])*[A-Za-z0-9+/]{{20,}}={{0,2}}"""
+    rf"|(?:\\r)?\\n[A-Za-z0-9+/]+={{0,2}}|{_PEM_LINE}[A-Za-z0-9+/]+={{0,2}}[ \t\r]*(?m:$))*)")
 # Rules that the method adds to the base ones; their spans come after the base kinds at the same start.
 MORE_RULES = [
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
+    Rule("private_key", _PRIVATE_KEY, 0, 27),
     Rule("slack", r"xox[abpr]-[A-Za-z0-9-]+", 0, 20),
 ]
 
@@ -107,7 +116,11 @@ def _quoted(s: str) -> str:
 
 def _search_pattern(rule: Rule) -> str:
     # a run of one class shorter than asked for can't become a match from a later start
-    return f"[0-9a-f]{{{rule.least},}}" if rule.kind == "hex" else rule.pattern
+    if rule.kind == "hex":
+        return f"[0-9a-f]{{{rule.least},}}"
+    if rule.kind == "private_key":      # Java's greedy loops take stack for each turn, its $ knows more line ends
+        return rule.pattern.replace(")*", ")*+").replace("(?m:$)", "(?dm:$)")
+    return rule.pattern
 
 
 _SPAN = "array<struct<start:int,ord:int,end:int>>"
