@@ -278,6 +278,26 @@ def test_jaccard_components(spark, monkeypatch, k, num, den):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], "doc_id long, text string"), k, num, den).count() == 0
 
 
+def test_near_copies_by_row(spark):
+    import corpus_pipeline as cp
+    rng = random.Random(11)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    a, b, c, d, e, f = (text() for _ in range(6))
+    own = [(5, " ".join(a)), (5, " ".join(b)), (5, " ".join(b)), (3, near(a)),          # 5 with a copy of 3 and with a text of its own
+           (None, " ".join(c)), (None, near(c)), (None, near(a)),                       # copies without an id
+           (None, " ".join(d)), (8, near(d)), (8, " ".join(e)), (9, near(e)), (9, " ".join(e).upper()),
+           (None, " ".join(f)), (None, " ".join(f)), (20, None), (20, ""), (None, " \n"), (21, "x")]
+    docs = spark.createDataFrame(own, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("kept", F.lit("k"))
+    one = cp.drop_near_copies(spark, docs, SF)
+    got = [(r.doc_id, r.text) for r in one.collect()]
+    assert one.columns == docs.columns and set(got) <= set(own)
+    exact = {(3, near(a)), (5, " ".join(b)), (8, near(d)), (8, " ".join(e)), (None, " ".join(f)), (20, None), (20, ""), (None, " \n"), (21, "x")}
+    rest = [r for r in got if r not in exact]
+    assert len(got) == len(exact) + 1 and exact < set(got) and rest[0] in {(None, " ".join(c)), (None, near(c))}
+    assert cp.drop_near_copies(spark, docs.limit(0), SF).count() == 0
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice(["the", "an", "er", "ion", "st", "re", "ou"]) for _ in range(rng.randrange(1, 4)))
