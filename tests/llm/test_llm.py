@@ -154,6 +154,21 @@ def test_hamming_topk(spark):
     assert same(got, want)
 
 
+def test_hamming_topk_repeated_ids(spark):
+    rng = random.Random(3)
+    at = rng.getrandbits(62)
+    codes = [(i, rng.getrandbits(62)) for i in range(1, 400) if i % 50]
+    codes += [(100, at ^ (1 << j)) for j in range(12)] + [(150, at)]                   # a query id with 12 close codes
+    codes += [(401, at ^ (3 << 20)), (402, at ^ (7 << 30)), (402, at ^ (7 << 33)), (403, at ^ (15 << 40))]  # 402: two codes, one distance
+    codes += [(200, 77)] + [(i, 77) for i in range(300, 320)] + [(202, 77), (250, 5), (250, ~5)]
+    got = rows(hamming.hamming_topk(spark.createDataFrame(codes * 2, "vec_id long, code long"), k=4))
+    own, want = set(codes), []
+    for q in {i for i, _ in own if i % 50 == 0}:
+        best = sorted((((c ^ d) & (2**64 - 1)).bit_count(), i) for p, c in own if p == q for i, d in own if i != q)[:4]
+        want += [(q, n + 1, i, x) for n, (x, i) in enumerate(best)]
+    assert same(got, want) and sum(r[0] == 150 and r[2] == 100 for r in got) == 4
+
+
 def test_inner_product_topk(spark):
     rng = np.random.default_rng(2)
     own = [(i, [float(x) for x in rng.standard_normal(16)]) for i in range(400)] + [(i, [1.0] * 16) for i in range(400, 440)]

@@ -51,7 +51,7 @@ class SegmentIndex:
 
     def search(self, query: np.uint64, holds: np.ndarray, k: int):
         """(indices, distances) of codes that together hold the k nearest rows, all codes at the kth
-        distance included; ``holds`` is how many rows each code stands for."""
+        distance included; ``holds`` is how many rows each code stands for, 0 if none of them counts."""
         self.masks = self.masks or _masks(self.segment)
         seen = np.zeros(len(self.codes), bool)
         found, dist, k = np.empty(0, np.int64), np.empty(0, np.int64), min(k, int(holds.sum()))
@@ -81,8 +81,10 @@ def hamming_topk(codes: DataFrame, k: int = 10, every: int = 50) -> DataFrame:
     Hamming distance, ties to the smaller id; all others if fewer than k.
 
     ``codes``: vec_id, code (long). Null ids or codes take no part; repeated rows count once, and a row
-    with the query's id is never its answer. Rows with one code are one entry of the index, which
-    carries their ids, the smallest k + 1 of them: no more of one code can be among the k nearest.
+    with the query's id is never its answer: the search leaves the rows of that id out, however many
+    codes it has. An id with several codes is several rows, as a query and as an answer: each pair of
+    codes counts. Rows with one code are one entry of the index, which carries their ids, the smallest
+    k + 1 of them: a code lists the query's id once at most, so k others are left to each query.
     An empty table gives no row; other columns are not read."""
     own = codes.filter("vec_id is not null and code is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("code").cast("long").alias("code")).distinct()
     first = (own.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))).groupBy("code", "salt")
@@ -94,17 +96,23 @@ def hamming_topk(codes: DataFrame, k: int = 10, every: int = 50) -> DataFrame:
         index = SegmentIndex(rows.column("code").to_numpy().view(np.uint64))
         lists = rows.column("ids").combine_chunks() if isinstance(rows.column("ids"), pa.ChunkedArray) else rows.column("ids")
         ids, holds = lists.to_pylist(), np.diff(lists.offsets.to_numpy())
-        q, v, d = [], [], []
+        flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(holds)), holds)
+        by_id = np.argsort(flat, kind="stable")
+        flat, owner = flat[by_id], owner[by_id]
+        nearest: dict[int, list] = {}
         for qid, code in zip(queries.column("query_id").to_pylist(), queries.column("code").to_numpy().view(np.uint64)):
-            at, dist = index.search(code, holds, k + 1)         # one more: the query itself may be there
-            best = sorted((x, i) for a, x in zip(at.tolist(), dist.tolist()) for i in ids[a] if i != qid)[:k]
-            q.extend([qid] * len(best))
-            v.extend(i for _, i in best)
-            d.extend(x for x, _ in best)
+            own = owner[np.searchsorted(flat, qid, "left"):np.searchsorted(flat, qid, "right")]
+            holds[own] -= 1                                     # the query's own rows are no answers
+            at, dist = index.search(code, holds, k)
+            holds[own] += 1
+            new = ((x, i) for a, x in zip(at.tolist(), dist.tolist()) for i in ids[a] if i != qid)
+            nearest[qid] = sorted([*nearest.get(qid, ()), *new])[:k]
+        q = [qid for qid, best in nearest.items() for _ in best]
+        d, v = ([x[j] for best in nearest.values() for x in best] for j in (0, 1))
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(d, pa.int64())})
 
     found = search_blocks(classes.withColumn("deal", F.col("code")), queries, run, "query_id long, vec_id long, score long")
-    return rank_best(found.distinct(), k, F.col("score")).withColumnRenamed("score", "distance")
+    return rank_best(found, k, F.col("score")).withColumnRenamed("score", "distance")
 
 
 def oracle(k: int = 10, every: int = 50) -> str:
