@@ -68,6 +68,22 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs.limit(0), licenses.known_licenses(spark)).count() == 0
 
 
+def test_whole_licenses(spark):
+    duckdb = pytest.importorskip("duckdb")
+    want = ["Apache-2.0", "Artistic-1.0-Perl", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-3-Clause-UC"]
+    texts = [(i, dict(KNOWN)[n]) for i, n in enumerate(want)]
+    texts += [(100 + i, " ".join(t.upper().split())) for i, t in texts if "opyright (c)" not in t.lower()]        # on one line
+    texts += [(200, texts[0][1] + "and more"), (201, "Licensed under the Apache License, Version 2.0.\nA line of a longer text.")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = rows(licenses.scan_licenses(docs, licenses.known_licenses(spark)))
+    assert {i: n for i, _, n in got if i < 100} == dict(enumerate(want))
+    assert {n for i, _, n in got if i >= 200} == {None}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    assert same(got, con.execute(licenses.oracle()).fetchall())
+
+
 SECRETS = [(1, "é password: token=abcdefgh 🎉 SECRET='AAAAAAAA1' AKIA" + "Z" * 16 + " " + "0f" * 20), (2, None), (3, ""),
            (4, "password=token: abcdefghij"), (5, "api_key=\"12345678\"" * 3), (5, "api_key=\"12345678\"" * 3), (None, "passwd=x"),
            (7, "ghp_" + "a" * 40 + " token=" + "c" * 64)]

@@ -1,4 +1,7 @@
-"""Texts of widely used short licences and licence notices, as published."""
+"""Texts of widely used licences and licence notices, as published; the longer ones are
+in ``license_full_texts``."""
+
+from .license_full_texts import FULL
 
 _AS_IS = ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO '
           "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
@@ -49,3 +52,4 @@ KNOWN = [
     ("notice-GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("notice-MIT", "Released under the MIT License."),
 ]
+KNOWN += FULL
