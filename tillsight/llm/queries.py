@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, hamming, jaccard_join, licenses, packing, secret_scan, token_counts, toxicity, url_filter
+from . import (ann, byte_bpe, conversation_repair, hamming, jaccard_join, licenses, packing, period_runs, secret_scan,
+               source_mixing, token_counts, toxicity, url_filter)
 from .common import table
 
 # The filter entries (verdict, host, path).
@@ -60,9 +61,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), shingle=3, num=9, den=10)
 
 
+def op11_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_token_counts, op3_secret_scan, op4_hamming_topk, op5_byte_bpe, op6_toxicity,
-    op7_inner_product_topk, op8_url_filter, op9_best_fit_packing, op10_jaccard_join)}
+    op7_inner_product_topk, op8_url_filter, op9_best_fit_packing, op10_jaccard_join,
+    op11_period_runs, op12_conversation_repair, op13_source_mixing)}
 
 SQL = {
     "op1_license_scan": licenses.oracle(),
