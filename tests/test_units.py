@@ -141,24 +141,6 @@ def test_progress_monitor_caps_adjustments(spark):
     assert all(r.new_discount >= MON.EMERGENCY_FLOOR for r in m)
 
 
-def test_state_handler_drops_late_duplicates():
-    fn = MON_STATE = None  # noqa: F841
-    from tillsight.streaming.stream import progress_state_fn
-
-    class S:
-        exists, get = False, None
-
-        def update(self, v):
-            self.v = v
-    st = S()
-    ts = pd.Timestamp("2024-01-01 20:00:00")
-    batch = pd.DataFrame({"ts": [ts + pd.Timedelta(minutes=10), ts, ts], "event_id": [2, 1, 1],
-                          "quantity_sold": [2.0, 1.0, 1.0]})
-    out = pd.concat(list(progress_state_fn()(("k",), iter([batch]), st)))
-    assert out.total_sales.tolist() == [1.0, 3.0]     # sorted by time, duplicate dropped
-    assert st.v[3] == 3.0
-
-
 def test_discount_ladder_has_no_float_drift(spark):
     from tillsight.operators.scenario import discount_ladder
     got = spark.range(1).select(discount_ladder()).first()[0]

@@ -1,20 +1,19 @@
-"""Live monitoring queries (R1-R11, J13): batch twins with SQL oracles, plus the
-Structured Streaming runs (rows-only)."""
+"""Live monitoring queries (R1-R11, J13): batch twins and Structured Streaming runs, checked by the
+same SQL oracles. The streams read the events as files that arrive out of event order."""
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import functions as F
 
 from ..operators import patterns as PT
 from ..operators import pricing as PR
-from ..sources.starschema import hourly_transactions
+from ..session import cut_lineage
+from ..sources.starschema import hourly_transactions, read_table
 from ..streaming import monitor as MON
 from ..streaming import stream as ST
 from .pricing import PLANS_SQL, _stagger_paths_sql, plan_requests
 from .registry import register
-from .sqlparts import out_cols, out_sql, with_
+from .sqlparts import hx_cte, out_cols, out_sql, with_
 
 
 def live_inputs(spark, d):
@@ -163,11 +162,7 @@ def q_live_monitoring_summary(spark, d):
     return MON.monitoring_summary(MON.progress_monitor(upd, plan_rows)).select(*out_cols(SUM_SPEC))
 
 
-SMOOTH_SPEC = "plan_id:s t:i days:l base_rate:f smoothed_rate:f"
-
-
-@register("live_rate_smoothing", "R10 A32", sql=with_(*LIVE_SQL) + f"""
-, bsh(stage, hour, n_hours) AS (VALUES (0, 20, 1), (1, 20, 2), (1, 21, 2), (2, 21, 1), (3, 21, 2), (3, 22, 2)),
+SMOOTH_SQL = """bsh(stage, hour, n_hours) AS (VALUES (0, 20, 1), (1, 20, 2), (1, 21, 2), (2, 21, 1), (3, 21, 2), (3, 22, 2)),
 bspan AS (SELECT date_diff('day', min(sale_date), max(sale_date)) + 1 AS days FROM hx),
 bq AS (SELECT store_code, product_code, stage, sum(qty) AS q FROM hx JOIN bsh ON bsh.hour = hour(hx.sale_ts) GROUP BY ALL),
 bnh AS (SELECT DISTINCT stage, n_hours FROM bsh),
@@ -180,7 +175,11 @@ base AS (SELECT p.plan_id, bsp.stage AS t,
          JOIN bnh ON bnh.stage = bsp.stage JOIN plans p ON p.store_code = bsp.store_code AND p.product_code = bsp.product_code,
          bspan),
 obs AS (SELECT plan_id, t, sale_date, sum(quantity_sold) / 0.5 AS obs FROM upd GROUP BY ALL),
-g AS (SELECT plan_id, t, count(*) AS days, list(obs ORDER BY sale_date) AS xs FROM obs GROUP BY ALL)
+g AS (SELECT plan_id, t, count(*) AS days, list(obs ORDER BY sale_date) AS xs FROM obs GROUP BY ALL)"""
+SMOOTH_SPEC = "plan_id:s t:i days:l base_rate:f smoothed_rate:f"
+
+
+@register("live_rate_smoothing", "R10 A32", sql=with_(*LIVE_SQL, SMOOTH_SQL) + f"""
 SELECT {out_sql(SMOOTH_SPEC)} FROM (
   SELECT g.plan_id, g.t, days, coalesce(base.base_rate, 1.0) AS base_rate,
          list_reduce(list_prepend(coalesce(base.base_rate, 1.0), xs), lambda acc, x: x * 0.4 + acc * 0.6) AS smoothed_rate
@@ -188,10 +187,13 @@ SELECT {out_sql(SMOOTH_SPEC)} FROM (
 """)
 def q_live_rate_smoothing(spark, d):
     plans, _, upd = live_inputs(spark, d)
-    base = PT.stage_baseline(hourly_transactions(spark, d), ["store_code", "product_code"]) \
-             .join(plans.select("store_code", "product_code", "plan_id"), ["store_code", "product_code"]) \
-             .select("plan_id", F.col("stage").alias("t"), "base_rate")
-    return MON.smoothed_base_rates(upd, base).select(*out_cols(SMOOTH_SPEC))
+    return MON.smoothed_base_rates(upd, stage_base_rates(spark, d, plans)).select(*out_cols(SMOOTH_SPEC))
+
+
+def stage_base_rates(spark, d, plans):
+    return (PT.stage_baseline(hourly_transactions(spark, d), ["store_code", "product_code"])
+              .join(plans.select("store_code", "product_code", "plan_id"), ["store_code", "product_code"])
+              .select("plan_id", F.col("stage").alias("t"), "base_rate"))
 
 
 WIN_SPEC = "kind:s strategy_id:s window_start:t updates:l units:f"
@@ -213,21 +215,70 @@ def q_live_window_metrics(spark, d):
              .select(*out_cols(WIN_SPEC)))
 
 
-def _tag(sf_dir: str) -> str:
-    return hashlib.sha1(sf_dir.encode()).hexdigest()[:10]
+ORDER_SPEC = "strategy_id:s seq:l ts:t event_id:l quantity_sold:f total_sales:f"
+
+
+@register("stream_ordered_updates", "R1", sql=with_(*PLANS_SQL, UPD_SQL) + f"""
+SELECT {out_sql(ORDER_SPEC)} FROM (
+  SELECT strategy_id, row_number() OVER w AS seq, ts, event_id, quantity_sold, sum(quantity_sold) OVER w AS total_sales
+  FROM upd WINDOW w AS (PARTITION BY strategy_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+""")
+def q_stream_ordered_updates(spark, d):
+    """Two deliveries out of event order -> keyed buffer with event-time timers -> updates in event order."""
+    plans = plan_requests(spark, d)
+    out = ST.run_deliveries(ST.arrivals(read_table(spark, d, "events")), "ordered_updates", lambda s: ST.ordered_updates(s, plans))
+    return out.select(*out_cols(ORDER_SPEC))
+
 
+STREAM_WIN_SPEC = "product_code:s window_start:t window_end:t updates:l units:f"
 
-@register("stream_window_sales", "R1 R11")
+
+@register("stream_window_sales", "R1 R11", sql=with_(hx_cte()) + f"""
+SELECT {out_sql(STREAM_WIN_SPEC)} FROM (
+  SELECT product_code, time_bucket(INTERVAL 5 MINUTE, sale_ts) AS window_start,
+         time_bucket(INTERVAL 5 MINUTE, sale_ts) + INTERVAL 5 MINUTE AS window_end, count(*) AS updates, sum(qty) AS units
+  FROM hx GROUP BY ALL)
+""")
 def q_stream_window_sales(spark, d):
-    """Structured Streaming: events file -> watermark 10 min -> 5-minute windows per
-    product (append; windows close as the watermark passes) -> parquet sink."""
-    path = ST.run_to_sink(ST.windowed_sales(ST.read_update_stream(spark, d)), f"window_sales_{_tag(d)}")
-    return spark.read.parquet(path)
+    """Two deliveries out of event order -> watermark 10 min -> 5-minute windows per product; a closing
+    heartbeat closes the last ones."""
+    out = ST.run_deliveries(ST.arrivals(read_table(spark, d, "events")), "window_sales", ST.windowed_sales)
+    return out.select(*out_cols(STREAM_WIN_SPEC))
 
 
-@register("stream_progress_state", "R1 R6 R7")
+@register("stream_progress_state", "R1 R6 R7 R8", sql=with_(*LIVE_SQL, MON_SQL) + f"SELECT {out_sql(MON_SPEC)} FROM mon2")
 def q_stream_progress_state(spark, d):
-    """Structured Streaming with keyed state (applyInPandasWithState): running progress
-    per strategy, late / duplicate updates dropped, restartable from its checkpoint."""
-    path = ST.run_to_sink(ST.progress_stream(ST.read_update_stream(spark, d)), f"progress_state_{_tag(d)}")
-    return spark.read.parquet(path)
+    """The monitoring rules of ``live_progress_monitor`` as keyed state over deliveries out of event order; same rows."""
+    plans = plan_requests(spark, d)
+    plan_rows = cut_lineage(PR.staggered_plan(plans))
+    out = ST.run_deliveries(ST.arrivals(read_table(spark, d, "events")), "progress_state",
+                            lambda s: ST.progress_stream(s, plans, plan_rows))
+    return out.select(*out_cols(MON_SPEC))
+
+
+RATES_SPEC = "plan_id:s t:i sale_date:d days:l observed_rate:f smoothed_rate:f"
+_RATES_SQL = with_(*PLANS_SQL, UPD_SQL, SMOOTH_SQL) + f"""
+SELECT {out_sql(RATES_SPEC)} FROM (
+  SELECT plan_id, t, sale_date, days, observed_rate,
+         list_reduce(list_prepend(base_rate, xs[1:days]), lambda acc, x: x * 0.4 + acc * 0.6) AS smoothed_rate
+  FROM (SELECT o.plan_id, o.t, o.sale_date, o.obs AS observed_rate, coalesce(base.base_rate, 1.0) AS base_rate, g.xs,
+               row_number() OVER (PARTITION BY o.plan_id, o.t ORDER BY o.sale_date) AS days
+        FROM obs o JOIN g ON g.plan_id = o.plan_id AND g.t = o.t LEFT JOIN base ON base.plan_id = o.plan_id AND base.t = o.t))
+"""
+
+
+@register("stream_rate_smoothing", "R10", sql=_RATES_SQL)
+def q_stream_rate_smoothing(spark, d):
+    """The recursive rate of each (plan, stage) in keyed state, a row for each closed day."""
+    plans = plan_requests(spark, d)
+    base = cut_lineage(stage_base_rates(spark, d, plans))
+    out = ST.run_deliveries(ST.arrivals(read_table(spark, d, "events")), "rate_smoothing", lambda s: ST.smoothed_rates(s, plans, base))
+    return out.select(*out_cols(RATES_SPEC))
+
+
+@register("live_rate_history", "R10", sql=_RATES_SQL)
+def q_live_rate_history(spark, d):
+    """Batch twin of ``stream_rate_smoothing``."""
+    plans = plan_requests(spark, d)
+    upd = MON.sales_updates(hourly_transactions(spark, d), plans)
+    return MON.smoothed_rate_history(upd, stage_base_rates(spark, d, plans)).select(*out_cols(RATES_SPEC))

@@ -98,9 +98,14 @@ def transactions(spark: SparkSession, sf_dir: str, orders: bool = False,
     return df.drop("l_orderkey", "l_partkey")
 
 
+def as_hourly(events: DataFrame) -> DataFrame:
+    """Canonical hour-grain transactions of event rows, stored or streamed."""
+    return events.select(*_cols(EVENT_EXPRS))
+
+
 def hourly_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical hour-grain transactions from the ``events`` table."""
-    return read_table(spark, sf_dir, "events").select(*_cols(EVENT_EXPRS))
+    return as_hourly(read_table(spark, sf_dir, "events"))
 
 
 # ---- oracle side ---------------------------------------------------------------

@@ -5,8 +5,8 @@ inside the promotion window. The same rules run in two shapes:
 
 * batch twins here (windows over a strategy's own rows / stages, so every
   window is bounded by one strategy's events) - checked against SQL;
-* the streaming form in ``stream.py`` (watermarked windows and
-  ``applyInPandasWithState``), which produces the same rows incrementally.
+* the streaming form in ``stream.py`` (watermarked windows and stateful
+  processors with event-time timers), which produces the same rows incrementally.
 
 Stage lookup (J13) is a range join turned into an equi-join: the stage index is
 computed from the clock minute, then joined on (plan, stage).
@@ -122,6 +122,12 @@ def emergency_recommendations() -> F.Column:
                        F.when(needed & (cleared < 0.3) & (left < 1.0), "staff_purchase_or_donation"))
 
 
+def hours_to_close(ts, end_hhmm: str = "22:00") -> F.Column:
+    """Hours from a timestamp's clock time to the end of the promotion, past midnight if need be."""
+    end = int(end_hhmm[:2]) * 60 + int(end_hhmm[3:])
+    return F.pmod(F.lit(end) - (F.hour(ts) * 60 + F.minute(ts) + F.second(ts) / 60.0), F.lit(1440)) / 60.0
+
+
 def progress_monitor(updates: DataFrame, plan_rows: DataFrame, end_hhmm: str = "22:00",
                      increment: float = EMERGENCY_INCREMENT, floor: float = EMERGENCY_FLOOR,
                      max_adjustments: int = MAX_ADJUSTMENTS) -> DataFrame:
@@ -130,13 +136,11 @@ def progress_monitor(updates: DataFrame, plan_rows: DataFrame, end_hhmm: str = "
     Running total, elapsed hours since the first update, hours to close, required
     rate, progress ratio and status, time pressure; the emergency decision with at
     most ``max_adjustments`` per session and the emergency discount."""
-    eh, em = int(end_hhmm[:2]), int(end_hhmm[3:])
     w = Window.partitionBy("strategy_id").orderBy("ts", "event_id")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     u = updates.select("*", F.sum("quantity_sold").over(run).alias("total_sales"),
                        F.first("ts").over(run).alias("_start"))
-    now_min = F.hour("ts") * 60 + F.minute("ts") + F.second("ts") / 60.0
-    ttc = F.pmod(F.lit(eh * 60 + em) - now_min, F.lit(1440)) / 60.0
+    ttc = hours_to_close(F.col("ts"), end_hhmm)
     elapsed = (F.unix_timestamp("ts") - F.unix_timestamp("_start")) / 3600.0
     u = u.withColumn("elapsed_hours", elapsed).withColumn("time_to_close", ttc)
     init, tot = F.col("initial_stock"), F.col("total_sales")
@@ -198,6 +202,19 @@ def smoothed_base_rates(updates: DataFrame, base: DataFrame, stage_hours: float
                     fold.alias("smoothed_rate"))
 
 
+def smoothed_rate_history(updates: DataFrame, base: DataFrame, stage_hours: float = 0.5,
+                          alpha: float = SMOOTHING_ALPHA) -> DataFrame:
+    """R10 day by day (batch twin of the keyed state): per (plan, stage, day) the observed rate and
+    the rate smoothed up to that day, by ``aggregate`` over the sorted days so far."""
+    obs = updates.groupBy("plan_id", "t", "sale_date").agg((F.sum("quantity_sold") / stage_hours).alias("obs"))
+    g = obs.groupBy("plan_id", "t").agg(F.array_sort(F.collect_list(F.struct("sale_date", "obs"))).alias("_s"))
+    g = g.join(base, ["plan_id", "t"], "left").select("*", F.posexplode("_s").alias("_at", "_day"))
+    fold = F.aggregate(F.slice("_s", F.lit(1), F.col("_at") + 1), F.coalesce(F.col("base_rate"), F.lit(1.0)),
+                       lambda acc, x: x["obs"] * alpha + acc * (1 - alpha))
+    return g.select("plan_id", "t", F.col("_day.sale_date").alias("sale_date"), (F.col("_at") + 1).cast("long").alias("days"),
+                    F.col("_day.obs").alias("observed_rate"), fold.alias("smoothed_rate"))
+
+
 def window_metrics(updates: DataFrame, every: str = "5 minutes", span: str = "30 minutes") -> tuple[DataFrame, DataFrame]:
     """Per strategy, tumbling ``every`` windows and sliding ``span`` windows every ``every``."""
     t = updates.groupBy("strategy_id", F.window("ts", every).alias("w")).agg(

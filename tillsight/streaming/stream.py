@@ -1,99 +1,288 @@
-"""Structured Streaming form of the live monitor.
+"""Structured Streaming form of the live monitor.
 
-Sales updates are read as a stream (here: the driver's events parquet through
-the file source), carry a watermark, and feed
-* windowed sales metrics (R11) in append mode, and
-* a per-strategy state machine (R6/R7) with ``applyInPandasWithState``.
-Both write to sinks under the reliable checkpoint folder, with checkpoints
-there too, so a restarted query resumes from its state store.
-"""
+Sales updates arrive in files, out of event order by up to the watermark's delay. Three stateful
+processors keep their state per key in RocksDB and act on event-time timers only, so what they emit does not
+hang on how updates were cut into files and batches:
+
+* ``OrderedUpdates`` (R1) buffers updates by monitoring slot and releases a slot in event order when
+  the watermark passes its end;
+* ``ProgressMonitor`` (R6, R7, R8) runs the monitoring rules on the released updates of a strategy and drops
+  all state by a timer at the end of the promotion;
+* ``RateSmoother`` (R10) folds each closed day of a (plan, stage) into the recursive rate.
+
+Windowed metrics (R11) run in append mode. A closing heartbeat, an update-free row with a later time, moves
+the watermark past the last window and timer, so nothing stays unemitted. Every run has its own landing, sink
+and checkpoint folder under the shared checkpoint folder. The batch twins are in ``monitor.py``."""
 
 from __future__ import annotations
 
-from typing import Iterator
+import uuid
+from contextlib import contextmanager
+from typing import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import ensure_checkpoint_dir
-from .monitor import MAX_ADJUSTMENTS
-
-EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-
-
-def read_update_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    """The events file as a stream of sales updates (event time = ``ts``)."""
-    raw = (spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet")
-           .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
-    return raw.select(F.lit("0").alias("store_code"), F.col("user_id").cast("string").alias("product_code"),
-                      F.col("event_id"), F.col("ts").cast("timestamp").alias("ts"),
-                      (1 + F.col("event_id") % 5).cast("double").alias("quantity_sold"))
-
-
-def run_to_sink(query_df: DataFrame, name: str, mode: str = "append", fmt: str = "parquet") -> str:
-    """Run a streaming frame to completion (``availableNow``) into a sink under the
-    shared checkpoint folder; returns the sink path."""
-    spark = query_df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/{name}"
-    q = (query_df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", base + "/_checkpoint")
-         .option("path", base + "/data").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return base + "/data"
-
-
-def windowed_sales(updates: DataFrame, watermark: str = "10 minutes", every: str = "5 minutes") -> DataFrame:
-    """R11 streaming: tumbling windows per product, finalised by the watermark."""
-    return (updates.withWatermark("ts", watermark)
-                   .groupBy("product_code", F.window("ts", every).alias("w"))
-                   .agg(F.count("*").alias("updates"), F.sum("quantity_sold").alias("units"))
-                   .select("product_code", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                           "updates", "units"))
-
-
-STATE_SCHEMA = "start_ts timestamp, last_ts timestamp, last_id long, total double, checkpoints long, adjustments long"
-OUT_SCHEMA = ("strategy_id string, ts timestamp, event_id long, total_sales double, checkpoints long, "
-              "elapsed_hours double, sales_rate double, adjustments long")
-
-
-def progress_state_fn(max_adjustments: int = MAX_ADJUSTMENTS):
-    """R6/R7 state handler: rows of one strategy arrive unordered inside a batch, so they
-    are sorted by (event time, id); updates not newer than the stored last one are
-    dropped (late duplicates); the running total, checkpoint count and elapsed time
-    continue from the state. Adjustments are counted for checkpoints whose rate is
-    below half the running mean (capped at ``max_adjustments``)."""
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            start, last_ts, last_id, total, n, adj = state.get
-        else:
-            start, last_ts, last_id, total, n, adj = None, None, -1, 0.0, 0, 0
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
+from ..sources.starschema import as_hourly
+from .monitor import (EMERGENCY_FLOOR, EMERGENCY_INCREMENT, MAX_ADJUSTMENTS, SMOOTHING_ALPHA, STEP_MULTIPLIER,
+                      hours_to_close, sales_updates)
+
+WATERMARK = "10 minutes"
+DELAY_MINUTES = 8           # updates arrive up to this much later than they happened
+SLOT_SECONDS = 300          # R11: monitoring cadence
+HEARTBEAT = -1              # event_id and user_id of a closing heartbeat
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+# ---- arrival of updates in files
+
+def arrivals(events: DataFrame, delay_minutes: int = DELAY_MINUTES) -> tuple[DataFrame, DataFrame]:
+    """The events in two deliveries out of event order: each arrives 0 to ``delay_minutes`` minutes late (by its id), and
+    the cut between the deliveries is 21:00 of the middle day. The second ends with a heartbeat a day after the last event."""
+    late = F.make_dt_interval(mins=F.pmod(F.hash("event_id"), F.lit(delay_minutes + 1)))
+    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    if lo is None:
+        return events, events
+    cut = F.lit((lo + (hi - lo) / 2).replace(hour=21, minute=0, second=0, microsecond=0)).cast(events.schema["ts"].dataType)
+    first = F.col("ts") + late < cut
+    heartbeat = events.agg((F.max("ts") + F.make_dt_interval(days=F.lit(1))).alias("ts"))
+    cols = [F.col("ts") if c == "ts" else F.lit(HEARTBEAT if c in ("event_id", "user_id") else None).cast(t.dataType).alias(c)
+            for c, t in ((c, events.schema[c]) for c in events.columns)]
+    return events.where(first), events.where(~first).unionByName(heartbeat.select(*cols))
+
+
+def update_stream(spark: SparkSession, landing: str, schema, watermark: str = WATERMARK) -> DataFrame:
+    """The landed files as a stream of till rows with a watermark on ``sale_ts``."""
+    return as_hourly(spark.readStream.schema(schema).parquet(landing)).withWatermark("sale_ts", watermark)
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+
+
+def run_deliveries(deliveries, name: str, build: Callable[[DataFrame], DataFrame], progress: list | None = None) -> DataFrame:
+    """Land each delivery, run ``build`` over the stream until it has caught up (``availableNow``; every run resumes from
+    the checkpoint of the one before) and return what the sink holds. ``progress`` collects the runs' progress reports."""
+    spark, schema = deliveries[0].sparkSession, deliveries[0].schema
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    for part in deliveries:
+        part.write.mode("append").parquet(f"{base}/landing")
+        with _rocksdb(spark):
+            out = build(update_stream(spark, f"{base}/landing", schema))
+            query = (out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint")
+                     .option("path", f"{base}/sink").trigger(availableNow=True).start())
+            query.awaitTermination()
+        if progress is not None:
+            progress += query.recentProgress
+    return spark.read.schema(out.schema).parquet(f"{base}/sink")
+
+
+# ---- R11: windows
+
+def windowed_sales(rows: DataFrame, every: str = "5 minutes") -> DataFrame:
+    """R11 streaming: tumbling windows per product, closed by the watermark."""
+    return (rows.groupBy("product_code", F.window("sale_ts", every).alias("w"))
+                .agg(F.count("*").alias("updates"), F.sum("qty").alias("units"))
+                .select("product_code", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "updates", "units"))
+
+
+# ---- R1: event order
+
+class OrderedUpdates(StatefulProcessor):
+    """Updates of a key, released in the order of (event time, id).
+
+    An update waits in the buffer of its slot until the watermark passes the slot's end; by then no earlier update can
+    arrive, as later ones are dropped by the watermark itself. An update delivered twice counts once. ``closes``
+    is the time after which nothing more can come for the key: then its state is removed."""
+
+    carried = "event_id long, qty double, closes long"
+    session_schema = "seq long, total double, closes long"
+    output = "strategy_id string, seq long, ts timestamp, event_id long, quantity_sold double, total_sales double"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        fields = [f.split() for f in self.carried.split(", ")]
+        self.fields = [n for n, _ in fields]
+        self.slots = handle.getMapState("slots", "slot long",
+                                        "us array<bigint>, " + ", ".join(f"{n} array<{t}>" for n, t in fields))
+        self.session = handle.getValueState("session", self.session_schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new: dict = {}
+        for pdf in rows:
+            for r in pdf.itertuples(index=False):
+                end = (int(r.us) // (SLOT_SECONDS * 1_000_000) + 1) * SLOT_SECONDS * 1000
+                new.setdefault(end, {})[int(r.event_id)] = (int(r.us), *(getattr(r, f) for f in self.fields))
+        for end, own in new.items():
+            held = self.slots.getValue((end,)) if self.slots.containsKey((end,)) else None
+            columns = [list(c) for c in held] if held is not None else [[] for _ in range(len(self.fields) + 1)]
+            known = set(columns[1 + self.fields.index("event_id")])
+            for event_id, row in own.items():
+                if event_id not in known:
+                    for column, v in zip(columns, row):
+                        column.append(None if v is None or v != v else v)
+            self.slots.updateValue((end,), tuple(columns))
+            self.handle.registerTimer(end)
+            self.handle.registerTimer(max(columns[1 + self.fields.index("closes")]))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        due = sorted(k[0] for k in self.slots.keys() if k[0] <= at)
+        out: list = []
+        if due:
+            state = self.session.get() if self.session.exists() else None
+            for end in due:
+                for row in sorted(zip(*self.slots.getValue((end,))), key=lambda r: (r[0], r[1 + self.fields.index("event_id")])):
+                    state, emitted = self.step(key, state, row[0], dict(zip(self.fields, row[1:])))
+                    out.append(emitted)
+                self.slots.removeKey((end,))
+            self.session.update(state)
+        if self.session.exists() and self.session.get()[-1] <= at and not any(True for _ in self.slots.keys()):
+            self.session.clear()
+        if out:
+            names = [f.split()[0] for f in self.output.split(", ")]
+            frame = pd.DataFrame(out, columns=names)
+            frame["ts"] = pd.to_datetime(frame["ts"], unit="us")
+            yield frame
+
+    def step(self, key, state, us: int, row: dict):
+        """The session and the output row after one more update; the session's last field is its end."""
+        seq, total, closes = state or (0, 0.0, 0)
+        seq, total, closes = seq + 1, total + row["qty"], max(closes, row["closes"])
+        return (seq, total, closes), (key[0], seq, us, row["event_id"], row["qty"], total)
+
+    def close(self) -> None:
+        pass
+
+
+def _emergency_kind(status: str, ttc: float, pressure: float) -> str:
+    if status == "critical":
+        return "emergency_discount" if ttc < 1.0 else "increase_discount"
+    if status == "behind":
+        return "moderate_discount_increase" if pressure > 0.7 else "monitoring"
+    return "no_adjustment_needed" if status == "on_track" else "consider_reducing_discount"
+
+
+class ProgressMonitor(OrderedUpdates):
+    """R6 + R7 + R8: the rules of ``monitor.progress_monitor`` on the ordered updates of a strategy: running total, required
+    rate, status, time pressure, the emergency decision with at most ``max_adjustments`` a session, the new discount and
+    the recommendations. The session ends with the promotion."""
+
+    carried = ("event_id long, qty double, closes long, t int, initial_stock long, time_to_close double, discount double")
+    session_schema = "start long, total double, needs long, closes long"
+    output = ("strategy_id string, ts timestamp, event_id long, t int, total_sales double, remaining_stock double, "
+              "elapsed_hours double, time_to_close double, sales_rate double, required_rate double, progress_ratio double, "
+              "status string, time_pressure double, adjustment_needed int, adjustment_type string, prior_adjustments long, "
+              "recommendations string, discount double, new_discount double")
+
+    def __init__(self, increment: float = EMERGENCY_INCREMENT, floor: float = EMERGENCY_FLOOR, max_adjustments: int = MAX_ADJUSTMENTS):
+        self.increment, self.floor, self.max_adjustments = increment, floor, max_adjustments
+
+    def step(self, key, state, us, row):
+        start, total, needs, closes = state or (us // 1_000_000, 0.0, 0, 0)
+        total, closes = total + row["qty"], max(closes, row["closes"])
+        stock, ttc, discount = row["initial_stock"], row["time_to_close"], row["discount"]
+        elapsed = (us // 1_000_000 - start) / 3600.0
+        rate = total / elapsed if elapsed > 0 else 0.0
+        required = (stock - total) / ttc if ttc > 0 and stock > total else 0.0
+        ratio = rate / required if required > 0 else 1.0
+        status = "ahead" if ratio >= 1.2 else "on_track" if ratio >= 0.8 else "behind" if ratio >= 0.5 else "critical"
+        pressure = min(1.0, max(0.0, 1 - ttc / elapsed)) if elapsed > 0 else 0.0
+        kind = _emergency_kind(status, ttc, pressure)
+        prior = min(needs, self.max_adjustments)
+        blocked = prior >= self.max_adjustments
+        needed = not blocked and kind in STEP_MULTIPLIER
+        kind_now = "max_adjustments_reached" if blocked else kind
+        advice = [kind_now if needed or kind_now == "consider_reducing_discount" else "keep_monitoring"]
+        if needed and ttc < 0.5:
+            advice.append("final_clearance")
+        if needed and (total / stock if stock > 0 else 0.0) < 0.3 and ttc < 1.0:
+            advice.append("staff_purchase_or_donation")
+        new = discount
+        if needed:          # as in the batch twin, an unknown discount does not get below the floor's reach
+            new = self.floor if discount is None else max(self.floor, discount - self.increment * STEP_MULTIPLIER[kind])
+        out = (key[0], us, row["event_id"], row["t"], total, stock - total, elapsed, ttc, rate, required, ratio, status, pressure,
+               int(needed), kind_now, prior, ",".join(advice), discount, new)
+        return (start, total, needs + (kind in STEP_MULTIPLIER), closes), out
+
+
+def strategy_updates(rows: DataFrame, plans: DataFrame, end_hhmm: str = "22:00") -> DataFrame:
+    """Updates of strategies (R1) as the processors read them: event microseconds, hours to close, end of the promotion."""
+    u = sales_updates(rows, plans, end=end_hhmm)
+    left = F.pmod(F.lit(int(end_hhmm[:2]) * 60 + int(end_hhmm[3:])) - F.hour("ts") * 60 - F.minute("ts") - 1, F.lit(1440)) + 1
+    closes = (F.unix_timestamp(F.date_trunc("minute", F.col("ts"))) + left * 60) * 1000
+    return u.select("*", F.unix_micros("ts").alias("us"), F.col("quantity_sold").alias("qty"),
+                    hours_to_close(F.col("ts"), end_hhmm).alias("time_to_close"), closes.cast("long").alias("closes"))
+
+
+def ordered_updates(rows: DataFrame, plans: DataFrame) -> DataFrame:
+    """R1 streaming: the updates of each strategy in event order with their number and the running total."""
+    u = strategy_updates(rows, plans).select("strategy_id", "us", "event_id", "qty", "closes", "ts")
+    return u.groupBy("strategy_id").transformWithStateInPandas(OrderedUpdates(), OrderedUpdates.output, "Append", "EventTime")
+
+
+def progress_stream(rows: DataFrame, plans: DataFrame, plan_rows: DataFrame) -> DataFrame:
+    """R6 + R7 + R8 streaming: the same rows as ``monitor.progress_monitor``."""
+    u = strategy_updates(rows, plans).join(plan_rows.select("plan_id", "t", "discount"), ["plan_id", "t"], "left")
+    u = u.select("strategy_id", "us", "event_id", "qty", "closes", "t", "initial_stock", "time_to_close", "discount", "ts")
+    return u.groupBy("strategy_id").transformWithStateInPandas(ProgressMonitor(), ProgressMonitor.output, "Append", "EventTime")
+
+
+# ---- R10: smoothed rates
+
+class RateSmoother(StatefulProcessor):
+    """Units of a (plan, stage) are summed by day; when the watermark passes a day's end its observed
+    rate is folded into ``alpha * observed + (1 - alpha) * old``. The rate stays in state, closed days do not."""
+
+    output = "plan_id string, t int, sale_date date, days long, observed_rate double, smoothed_rate double"
+
+    def __init__(self, stage_hours: float = 0.5, alpha: float = SMOOTHING_ALPHA):
+        self.stage_hours, self.alpha = stage_hours, alpha
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.days = handle.getMapState("days", "closes long", "day int, units double")
+        self.rate = handle.getValueState("rate", "rate double, days long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            if not self.rate.exists():
+                self.rate.update((float(pdf["base_rate"].iloc[0]), 0))
+            for (closes, day), units in pdf.groupby(["closes", "day"])["qty"].sum().items():
+                held = self.days.getValue((int(closes),)) if self.days.containsKey((int(closes),)) else (day, 0.0)
+                self.days.updateValue((int(closes),), (int(day), held[1] + float(units)))
+                self.handle.registerTimer(int(closes))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = []
-        for r in rows.itertuples(index=False):
-            ts = pd.Timestamp(r.ts)
-            if last_ts is not None and (ts, r.event_id) <= (pd.Timestamp(last_ts), last_id):
-                continue
-            start = ts if start is None else start
-            total += float(r.quantity_sold)
-            n += 1
-            elapsed = (ts - pd.Timestamp(start)).total_seconds() / 3600.0
-            rate = total / elapsed if elapsed > 0 else 0.0
-            if elapsed > 0 and n > 2 and rate < 0.5 * (total / n) and adj < max_adjustments:
-                adj += 1
-            last_ts, last_id = ts, int(r.event_id)
-            out.append((key[0], ts, int(r.event_id), total, n, elapsed, rate, adj))
-        state.update((pd.Timestamp(start) if start is not None else None, pd.Timestamp(last_ts) if last_ts is not None
-                      else None, last_id, total, n, adj))
-        yield pd.DataFrame(out, columns=["strategy_id", "ts", "event_id", "total_sales", "checkpoints",
-                                         "elapsed_hours", "sales_rate", "adjustments"])
-    return fn
-
-
-def progress_stream(updates: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """R6 streaming: per strategy (product@day) running progress from keyed state."""
-    keyed = updates.withColumn("strategy_id", F.concat_ws("@", F.concat_ws("-", "store_code", "product_code"),
-                                                          F.to_date("ts").cast("string")))
-    return (keyed.withWatermark("ts", watermark).groupBy("strategy_id")
-                 .applyInPandasWithState(progress_state_fn(), OUT_SCHEMA, STATE_SCHEMA, "append",
-                                         GroupStateTimeout.NoTimeout))
+        for closes in sorted(k[0] for k in self.days.keys() if k[0] <= expiredTimerInfo.getExpiryTimeInMs()):
+            day, units = self.days.getValue((closes,))
+            old, n = self.rate.get()
+            observed = units / self.stage_hours
+            self.rate.update((observed * self.alpha + old * (1 - self.alpha), n + 1))
+            out.append((key[0], key[1], pd.Timestamp(day, unit="D").date(), n + 1, observed, self.rate.get()[0]))
+            self.days.removeKey((closes,))
+        if out:
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in self.output.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def smoothed_rates(rows: DataFrame, plans: DataFrame, base: DataFrame) -> DataFrame:
+    """R10 streaming: one row for each closed day of a (plan, stage); ``base`` holds (plan_id, t, base_rate), 1.0 where it is missing."""
+    u = strategy_updates(rows, plans).join(base, ["plan_id", "t"], "left")
+    u = u.select("plan_id", "t", F.unix_date("sale_date").alias("day"), "closes", "qty", F.coalesce("base_rate", F.lit(1.0)).alias("base_rate"), "ts")
+    return u.groupBy("plan_id", "t").transformWithStateInPandas(RateSmoother(), RateSmoother.output, "Append", "EventTime")
