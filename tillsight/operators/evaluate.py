@@ -13,6 +13,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def row_errors(pred: DataFrame) -> DataFrame:
     """error = actual - predicted, absolute error, relative % (0 actual -> /1), clipped +-100."""
@@ -92,10 +94,9 @@ def level_bins(errs: DataFrame, keys: Sequence[str], n: int = 5) -> DataFrame:
     values; else one bin per distinct value. Mean actual / predicted / error per bin;
     keys with a single bin are dropped."""
     keys = list(keys)
-    probs = F.array(*[F.lit(i / n) for i in range(n + 1)])
-    st = errs.groupBy(*keys).agg(F.percentile("actual", probs).alias("_q"), F.min("actual").alias("_lo"),
-                                 F.max("actual").alias("_hi"), F.count_distinct("actual").alias("_nd"))
-    j = errs.join(st, keys)
+    edges = exact_quantiles(errs, "actual", [i / n for i in range(n + 1)], keys).select(*keys, F.col("q").alias("_q"))
+    st = errs.groupBy(*keys).agg(F.min("actual").alias("_lo"), F.max("actual").alias("_hi"), F.count_distinct("actual").alias("_nd"))
+    j = errs.join(st.join(edges, keys), keys)
     a = F.col("actual")
     quant = F.size(F.array_distinct("_q")) == n + 1
     qbin = F.size(F.filter(F.slice("_q", 2, n - 1), lambda e: e < a))

@@ -11,8 +11,9 @@ from ..session import cut_lineage
 _LOCAL = (1 << 33) - 1      # monotonically_increasing_id: partition in the upper bits, row in the lower 33
 
 
-def numbered(df: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
-    """``df`` with ``name``, the 0-based place of each row in the order of ``order`` over the whole frame.
+def numbered(df: DataFrame, *order: Column | str, name: str = "position", total: str | None = None) -> DataFrame:
+    """``df`` with ``name``, the 0-based place of each row in the order of ``order`` over the whole frame, and with the
+    number of all rows as ``total`` if it is named.
 
     The order should be total where the numbers must not hang on the input's order. Only the counts per
     partition (one row for each task) pass through one window; a key that holds many rows is split as
@@ -22,7 +23,9 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "position") -> Dat
     own = cut_lineage(own.select("*", F.shiftright("__at", 33).alias("__part")))
     count = own.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    count = count.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    all_ = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    more = [F.sum("__n").over(all_).alias(total)] if total else []
+    count = count.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"), *more)
     return (own.join(F.broadcast(count), "__part")
                .withColumn(name, F.col("__base") + F.col("__at").bitwiseAND(F.lit(_LOCAL)))
                .drop("__part", "__at", "__base"))
