@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tillsight.functions.expr import rnd, time_slot
@@ -89,11 +90,14 @@ def test_staggered_dp_equals_brute_force(spark):
         assert got[pid].discount == steps[0][1]
 
 
-def test_similar_products_equals_all_pairs(spark):
+@pytest.mark.parametrize("block", [10_000, 3, 7])
+def test_similar_products_equals_all_pairs(spark, block):
     rng = np.random.default_rng(7)
-    prods = [(f"p{i:02d}", f"c{i % 3}", float(rng.integers(1, 6))) for i in range(30)]   # many price ties
+    # many price ties; a hot category, small ones and one of a single product
+    prods = [(f"p{i:02d}", f"c{i % 3 if i % 7 else 0}", float(rng.integers(1, 6))) for i in range(50)] + [("lone", "c9", 2.0)]
     df = spark.createDataFrame(prods, "product_code string, category_code string, avg_price double")
-    got = {(r.product_code, r.rank): r.other for r in PT.similar_products(df, k=3).collect()}
+    got = {(r.product_code, r.rank): r.other for r in PT.similar_products(df, k=3, block=block).collect()}
+    assert "lone" not in {p for p, _ in got}
     pdf = pd.DataFrame(prods, columns=["p", "c", "x"]).sort_values(["c", "x", "p"])
     pdf["pos"] = pdf.groupby("c").cumcount()
     for _, a in pdf.iterrows():

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import rnd
 from ..schema import WEATHER_TYPE_CODES
+from .positions import numbered
 
 KEYS = ("store_code", "product_code")
 
@@ -373,23 +374,31 @@ def product_master(rows: DataFrame, keys: Sequence[str] = ("product_code",)) ->
 # ---- A39 / A40 ------------------------------------------------------------------------
 
 def similar_products(products: DataFrame, k: int = 3, group: str = "category_code", price: str = "avg_price",
-                     key: str = "product_code") -> DataFrame:
+                     key: str = "product_code", block: int = 10_000) -> DataFrame:
     """The k products of the same category nearest in price.
 
     Order: price distance, then distance in the category's (price, code) order,
     then code. Under that order the k nearest always lie within k positions on
     either side (everything between is at least as close in both), so the
-    candidates come from ``lag``/``lead`` over the sorted category (2k per
-    product), never from all pairs of the category."""
-    w = Window.partitionBy(group).orderBy(price, key)
+    candidates come from ``lag``/``lead`` over the sorted products (2k per
+    product), never from all pairs of the category. The sorted products are cut into
+    blocks of ``block`` positions, whatever their category, and the k rows next to a
+    border go to both blocks; no window holds a category."""
+    block = max(block, k)
+    at = numbered(products.select(key, group, price), group, price, key, name="__at")
+    own, place = F.floor(F.col("__at") / block), F.col("__at") % block
+    halo = F.array_compact(F.array(own, F.when(place < k, own - 1), F.when(place >= block - k, own + 1)))
+    blocks = at.select("*", own.alias("__own"), F.explode(halo).alias("__block"))
+    w = Window.partitionBy("__block").orderBy("__at")
     wins, cands = [], []
     for off in range(1, k + 1):
         for name, fn in (("b", F.lag), ("a", F.lead)):
-            wins += [fn(key, off).over(w).alias(f"_{name}{off}"), fn(price, off).over(w).alias(f"_{name}{off}p")]
+            same = fn(F.struct(group), off).over(w) == F.struct(group)     # fields of structs are equal where both are null
+            wins += [F.when(same, fn(key, off).over(w)).alias(f"_{name}{off}"), F.when(same, fn(price, off).over(w)).alias(f"_{name}{off}p")]
             cands.append(F.struct(F.col(f"_{name}{off}").alias("other"), F.col(f"_{name}{off}p").alias("other_price"),
                                   F.lit(off).alias("pos")))
-    x = (products.select(key, group, price, *wins)
-                 .select(key, group, price, F.explode(F.array(*cands)).alias("c")).where(F.col("c.other").isNotNull()))
+    x = (blocks.select(key, group, price, "__own", "__block", *wins).where(F.col("__own") == F.col("__block"))
+               .select(key, group, price, F.explode(F.array(*cands)).alias("c")).where(F.col("c.other").isNotNull()))
     x = x.select(key, group, price, "c.other", "c.other_price", "c.pos",
                  F.abs(F.col("c.other_price") - F.col(price)).alias("distance"))
     r = F.row_number().over(Window.partitionBy(key).orderBy("distance", "pos", "other"))

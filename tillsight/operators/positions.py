@@ -19,13 +19,13 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "position", total:
     partition (one row for each task) pass through one window; a key that holds many rows is split as
     far as the further order columns tell its rows apart."""
     at = F.monotonically_increasing_id()
-    own = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at)
-    own = cut_lineage(own.select("*", F.shiftright("__at", 33).alias("__part")))
-    count = own.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    all_ = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    more = [F.sum("__n").over(all_).alias(total)] if total else []
-    count = count.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"), *more)
-    return (own.join(F.broadcast(count), "__part")
-               .withColumn(name, F.col("__base") + F.col("__at").bitwiseAND(F.lit(_LOCAL)))
-               .drop("__part", "__at", "__base"))
+    own = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__num_id", at)
+    own = cut_lineage(own.select("*", F.shiftright("__num_id", 33).alias("__num_part")))
+    count = own.groupBy("__num_part").agg(F.count("*").alias("__num_n"))
+    before = Window.orderBy("__num_part").rowsBetween(Window.unboundedPreceding, -1)
+    all_ = Window.orderBy("__num_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    more = [F.sum("__num_n").over(all_).alias(total)] if total else []
+    count = count.select("__num_part", F.coalesce(F.sum("__num_n").over(before), F.lit(0)).alias("__num_base"), *more)
+    return (own.join(F.broadcast(count), "__num_part")
+               .withColumn(name, F.col("__num_base") + F.col("__num_id").bitwiseAND(F.lit(_LOCAL)))
+               .drop("__num_part", "__num_id", "__num_base"))
