@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as FT
-from ..sources.dims import calendar_from_dates, calendar_years_from, holiday_sql, weather_from_dates, severity_sql
-from ..sources.starschema import transactions
+from ..sources.dims import calendar_from_dates, calendar_years_from, calendar_years_sql, weather_from_dates, severity_sql
+from ..sources.starschema import hourly_transactions, transactions
 from .registry import register
-from .sqlparts import calendar_cte, dates_cte, out_cols, out_sql, tx_cte, weather_cte, with_
+from .sqlparts import calendar_cte, dates_cte, hx_cte, out_cols, out_sql, tx_cte, weather_cte, with_
 
 
 def fact_dates(spark, d):
@@ -32,34 +32,24 @@ YEARS_SPEC = ("date_int:i ds:d year:i month:i yearweek:i yearday:i week:i weeken
 
 def year_range_dates(spark, d):
     """Every day of the fact's year range: [Jan 1 of first year, Dec 31 of last year]."""
-    y = transactions(spark, d).agg(F.min(F.year("sale_date")).alias("y0"), F.max(F.year("sale_date")).alias("y1"))
+    return year_span(transactions(spark, d))
+
+
+def year_span(rows):
+    y = rows.agg(F.min(F.year("sale_date")).alias("y0"), F.max(F.year("sale_date")).alias("y1"))
     return y.select(F.explode(F.sequence(F.make_date("y0", F.lit(1), F.lit(1)),
                                          F.make_date("y1", F.lit(12), F.lit(31)))).alias("date"))
 
 
-@register("calendar_year_range", "S5 J11", sql=with_(
-    tx_cte(),
-    """yr AS (SELECT min(year(sale_date)) AS y0, max(year(sale_date)) AS y1 FROM tx),
+def _years_sql(rel: str) -> str:
+    """CTE ``days``: every day of the years that ``rel``'s sale dates span."""
+    return f"""yr AS (SELECT min(year(sale_date)) AS y0, max(year(sale_date)) AS y1 FROM {rel}),
 days AS (SELECT CAST(unnest(generate_series(make_date(CAST(y0 AS INT), 1, 1), make_date(CAST(y1 AS INT), 12, 31),
-                                     INTERVAL 1 DAY)) AS DATE) AS date FROM yr)""",
-    holiday_sql("days").strip()) + f"""
-, c AS (
-  SELECT year(d.date) * 10000 + month(d.date) * 100 + day(d.date) AS date_int, d.date AS ds,
-         year(d.date) AS year, year(d.date) * 100 + month(d.date) AS month,
-         year(CAST(d.date + CAST(3 - (isodow(d.date) - 1) AS INTEGER) AS DATE)) * 100 + weekofyear(d.date) AS yearweek,
-         dayofyear(d.date) AS yearday, isodow(d.date) - 1 AS week,
-         CAST(isodow(d.date) >= 6 AS INT) AS weekend,
-         CAST(NOT (isodow(d.date) >= 6 OR legal.legal_name IS NOT NULL) AS INT) AS workday,
-         CAST(legal.legal_name IS NOT NULL AS INT) AS holiday_legal,
-         CASE WHEN hwin.window_name IS NOT NULL THEN 2
-              WHEN NOT (isodow(d.date) >= 6 OR legal.legal_name IS NOT NULL) AND isodow(d.date) >= 6 THEN 1
-              ELSE 0 END AS holiday_recess,
-         coalesce(hwin.window_name, '') AS holiday_name
-  FROM days d LEFT JOIN legal ON legal.date = d.date LEFT JOIN hwin ON hwin.date = d.date)
-SELECT {out_sql(YEARS_SPEC.replace(' holiday_type:s', ''))},
-       CASE holiday_recess WHEN 2 THEN 'holiday' WHEN 1 THEN 'recess' ELSE 'normal' END AS holiday_type
-FROM c
-""")
+                                     INTERVAL 1 DAY)) AS DATE) AS date FROM yr)"""
+
+
+@register("calendar_year_range", "S5 J11", sql=with_(tx_cte(), _years_sql("tx"), calendar_years_sql("days"))
+          + f"SELECT {out_sql(YEARS_SPEC)} FROM cyears")
 def q_calendar_year_range(spark, d):
     return calendar_years_from(year_range_dates(spark, d)).select(*out_cols(YEARS_SPEC))
 
@@ -67,20 +57,9 @@ def q_calendar_year_range(spark, d):
 IMPACT_SPEC = "ds:d holiday_impact:i is_holiday:i holiday_kind:s"
 
 
-@register("holiday_impact_scores", "P22 P23", sql=with_(
-    tx_cte(),
-    """yr AS (SELECT min(year(sale_date)) AS y0, max(year(sale_date)) AS y1 FROM tx),
-days AS (SELECT CAST(unnest(generate_series(make_date(CAST(y0 AS INT), 1, 1), make_date(CAST(y1 AS INT), 12, 31),
-                                     INTERVAL 1 DAY)) AS DATE) AS date FROM yr)""",
-    holiday_sql("days").strip()) + f"""
-, c AS (
-  SELECT d.date AS ds, CAST(legal.legal_name IS NOT NULL AS INT) AS holiday_legal,
-         coalesce(hwin.window_name, '') AS holiday_name,
-         CASE WHEN hwin.window_name IS NOT NULL THEN 'holiday'
-              WHEN NOT (isodow(d.date) >= 6 OR legal.legal_name IS NOT NULL) AND isodow(d.date) >= 6 THEN 'recess'
-              ELSE 'normal' END AS holiday_type
-  FROM days d LEFT JOIN legal ON legal.date = d.date LEFT JOIN hwin ON hwin.date = d.date),
-s AS (
+def _impact_sql(source: str, rel: str) -> str:
+    return with_(source, _years_sql(rel), calendar_years_sql("days")) + f"""
+, s AS (
   SELECT ds,
          CASE WHEN holiday_name IS NULL OR holiday_name = '' THEN 0 WHEN holiday_type = 'holiday' THEN 4
               WHEN holiday_type = 'recess' THEN 3
@@ -88,16 +67,29 @@ s AS (
                    OR (month(ds) = 12 AND day(ds) = 12) THEN 2 ELSE 1 END AS holiday_impact,
          coalesce(holiday_legal, 0) AS is_holiday,
          CASE WHEN coalesce(holiday_legal, 0) = 1 THEN '法定节假日' ELSE '普通日' END AS holiday_kind
-  FROM c)
+  FROM cyears)
 SELECT {out_sql(IMPACT_SPEC)} FROM s
-""")
-def q_holiday_impact_scores(spark, d):
-    cal = calendar_years_from(year_range_dates(spark, d))
+"""
+
+
+def _impact(dates):
+    cal = calendar_years_from(dates)
     scored = FT.holiday_impact(cal, "ds")
     cleaned = FT.clean_calendar(cal.withColumnRenamed("ds", "date")).withColumnRenamed("date", "ds")
     return scored.join(cleaned, "ds").select(*out_cols(IMPACT_SPEC))
 
 
+@register("holiday_impact_scores", "P22 P23", sql=_impact_sql(tx_cte(), "tx"))
+def q_holiday_impact_scores(spark, d):
+    return _impact(year_range_dates(spark, d))
+
+
+@register("holiday_impact_hourly_feed", "P22 P23 S5", sql=_impact_sql(hx_cte(), "hx"))
+def q_holiday_impact_hourly_feed(spark, d):
+    """The same for the years of the hourly feed, for which swap days are known."""
+    return _impact(year_span(hourly_transactions(spark, d)))
+
+
 WEATHER_SPEC = ("date:d temperature:f temp_high:f temp_low:f temp_range:f rainfall:f weather_severity:i "
                 "temp_band:s range_band:s bad_weather:i is_sunny:i is_cloudy:i is_rainy:i is_snowy:i is_foggy:i is_haze:i")
 

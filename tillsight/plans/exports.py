@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as FT
 from ..sources import files as FS
-from ..sources.dims import calendar_from_dates, calendar_years_from, weather_from_dates, holiday_sql
+from ..sources.dims import calendar_from_dates, calendar_years_from, calendar_years_sql, weather_from_dates, holiday_sql
 from ..sources.starschema import transactions
 from ..session import ensure_checkpoint_dir
 from .calendar import fact_dates, year_range_dates
@@ -129,14 +129,16 @@ def q_predictions_by_day_export(spark, d):
 CALF_SPEC = "date:d is_holiday:i holiday_impact:i is_shopping_day:i is_payday:i day_of_week:i week_of_year:i"
 
 
-@register("calendar_feature_flags", "P24 P23", sql=with_(tx_cte(), dates_cte(), holiday_sql("dates").strip()) + f"""
+@register("calendar_feature_flags", "P24 P23", sql=with_(tx_cte(), dates_cte(), calendar_years_sql("dates")) + f"""
 SELECT {out_sql(CALF_SPEC)} FROM (
-  SELECT d.date, CAST(legal.legal_name IS NOT NULL AS INT) AS is_holiday,
-         CASE WHEN hwin.window_name IS NULL THEN 0 WHEN legal.legal_name IS NOT NULL OR hwin.window_name IS NOT NULL THEN 4 END AS holiday_impact,
+  SELECT d.date, holiday_legal AS is_holiday,
+         CASE WHEN holiday_name = '' THEN 0 WHEN holiday_type = 'holiday' THEN 4 WHEN holiday_type = 'recess' THEN 3
+              WHEN (month(d.date) = 6 AND day(d.date) = 18) OR (month(d.date) = 11 AND day(d.date) = 11)
+                   OR (month(d.date) = 12 AND day(d.date) = 12) THEN 2 ELSE 1 END AS holiday_impact,
          CAST((month(d.date) = 6 AND day(d.date) = 18) OR (month(d.date) = 11 AND day(d.date) = 11)
               OR (month(d.date) = 12 AND day(d.date) = 12) AS INT) AS is_shopping_day,
          CAST(day(d.date) IN (15, 30) AS INT) AS is_payday, isodow(d.date) - 1 AS day_of_week, weekofyear(d.date) AS week_of_year
-  FROM dates d LEFT JOIN legal ON legal.date = d.date LEFT JOIN hwin ON hwin.date = d.date)
+  FROM dates d JOIN cyears ON cyears.ds = d.date)
 """)
 def q_calendar_feature_flags(spark, d):
     """P24 flags per business day with the P23 impact of the year-range calendar."""
@@ -154,13 +156,14 @@ HOL_SPEC = "date:d name:s kind:s"
 @register("holiday_list", "U4 J11", sql=with_(tx_cte(), dates_cte(), holiday_sql("dates").strip()) + f"""
 SELECT {out_sql(HOL_SPEC)} FROM (
   SELECT date, legal_name AS name, 'legal' AS kind FROM legal
+  UNION ALL SELECT date, name, 'work' FROM hdays WHERE kind = 'work'
   UNION ALL SELECT date, window_name, 'window' FROM hwin)
 """)
 def q_holiday_list(spark, d):
-    """Holiday list of the fact's years: legal days and influence-window days concatenated."""
+    """Holiday list of the fact's years: days off, worked weekend days and influence-window days concatenated."""
     from ..sources.dims import _holiday_frames
-    legal, window = _holiday_frames(fact_dates(spark, d))
-    u = legal.select("date", F.col("legal_name").alias("name"), F.lit("legal").alias("kind")) \
+    held, window = _holiday_frames(fact_dates(spark, d))
+    u = held.select("date", F.col("legal_name").alias("name"), F.when(F.col("kind") == "work", "work").otherwise("legal").alias("kind")) \
              .unionByName(window.select("date", F.col("window_name").alias("name"), F.lit("window").alias("kind")))
     return u.select(*out_cols(HOL_SPEC))
 
