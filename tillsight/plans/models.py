@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as EV
 from .registry import register
 from .sales import DAILY_SQL, daily_product_sales
-from .sqlparts import out_cols, out_sql, r, tx_cte, with_
+from .sqlparts import dates_cte, out_cols, out_sql, r, tx_cte, with_
 
 NAIVE = {"last_value": (1, 1), "ma7": (7, 1), "ma14": (14, 1), "ma30": (30, 1)}
 W = "PARTITION BY product_code ORDER BY sale_date"
@@ -224,9 +224,13 @@ __all__ = ["naive_predictions", "r"]
 
 # ---- model preparation (SQL-checked) and fits (rows-only) ---------------------------------------
 
+from ..operators import forecast as FC  # noqa: E402
+from ..operators import gram as GM  # noqa: E402
 from ..operators import ml as ML  # noqa: E402
-from ..session import cut_lineage, ensure_checkpoint_dir  # noqa: E402
+from ..session import cut_lineage, run_folder  # noqa: E402
+from ..sources.dims import holiday_days, holiday_sql  # noqa: E402
 from .features import FEATURE_SQL, daily_features  # noqa: E402
+from .reports import DENSE_SQL  # noqa: E402
 
 PREP_NUM = ["qty_lag1", "qty_mean7", "discount_rate"]
 PREP_SPEC = ("product_code:s sale_date:d season_idx:i temp_band_idx:i qty_lag1:f qty_mean7:f discount_rate:f "
@@ -304,12 +308,15 @@ def q_feature_importance_top10(spark, d):
 
 @register("hyperparameter_search", "M12 M4 S12")
 def q_hyperparameter_search(spark, d):
-    """Ridge grid scored by mean fold RMSE; results written as a table under the
-    shared checkpoint folder (S12) and read back."""
+    """All model kinds over the expanding folds: ridge and lasso from one pass of sums by block, forest and boosting by
+    fits on the stored matrix; best trial of each kind and over all. Results are a table in a folder of
+    this run (S12), read back."""
     m, _ = model_matrix(spark, d)
-    res = ML.tune(m.select("features", "label", "block"), "ridge")
-    path = ensure_checkpoint_dir(spark).rstrip("/") + "/tuning_results"
-    res.write.mode("overwrite").parquet(path)
+    grids = {**ML.GRIDS, "random_forest": [{"numTrees": 10, "maxDepth": k} for k in (3, 6)],
+             "gbt": [{"maxIter": 5, "maxDepth": k, "stepSize": 0.1} for k in (2, 4)]}
+    res = ML.search_models(m.select("features", "label", "block"), grids)
+    path = run_folder(spark, "tuning") + "/tuning_results"
+    res.write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -327,7 +334,7 @@ def q_model_persistence(spark, d):
     stages.append(VectorAssembler(inputCols=num + [f"{c}_idx" for c in cat], outputCol="features", handleInvalid="keep"))
     stages.append(ML.model_specs(label="qty")["gbt"].setMaxIter(20))
     model = Pipeline(stages=stages).fit(f.where("is_train = 1").withColumn("qty", F.col("qty").cast("double")))
-    path = ensure_checkpoint_dir(spark).rstrip("/") + "/best_model"
+    path = run_folder(spark, "model") + "/best_model"
     ML.save_pipeline(model, path)
     loaded = ML.load_pipeline(path)
     return loaded.transform(f.where("is_train = 0")).select("product_code", "sale_date", "qty", "prediction")
@@ -345,11 +352,118 @@ def dense_with_holidays(spark, d):
         .fillna(0.0, subset=["holiday_window"])
 
 
-@register("seasonal_forecast", "M13 A41")
+def forecast_inputs(spark, d):
+    """Gap-free daily product series with their regressors, and the holiday windows of their years and the horizon."""
+    from .calendar import fact_dates
+    from .reports import dense_daily
+    daily = dense_daily(spark, d).select("product_code", "sale_date", "qty", "list_price", "promo_count",
+                                         (F.col("promo_count") > 0).cast("int").alias("is_promo"))
+    daily = cut_lineage(daily)              # read by the fit, the spans and the regressors of the horizon
+    span = fact_dates(spark, d).agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    days = span.select(F.explode(F.sequence(F.col("a"), F.date_add("b", FC.HORIZON))).alias("date"))
+    return daily, FC.holiday_window(days, holiday_days(days))
+
+
+@register("seasonal_forecast", "M13 M14 A41")
 def q_seasonal_forecast(spark, d):
-    """Next 7 days per product with a 95 % interval (per-series ridge, applyInPandas)."""
-    return ML.per_series(dense_with_holidays(spark, d)).groupBy("product_code").applyInPandas(
-        ML.seasonal_forecast_fn(), ML.FORECAST_SCHEMA)
+    """Next 7 days per product with a 95 % interval: trend, waves, holiday window of the day, price, promotion and
+    the last promotion count, fitted from sums of products per series."""
+    daily, cal = forecast_inputs(spark, d)
+    return FC.seasonal_forecast(daily, cal, numbers=["list_price"], flags=["is_promo"], last=["promo_count"])
+
+
+FUTURE_SPEC = "product_code:s ds:d list_price:f is_promo:f promo_count:f"
+
+
+@register("future_regressor_values", "M14", sql=with_(tx_cte(), DAILY_SQL, DENSE_SQL) + f"""
+, d AS (SELECT product_code, sale_date, list_price, promo_count, CAST(promo_count > 0 AS INT) AS is_promo FROM dense),
+dr AS (SELECT *, row_number() OVER (PARTITION BY product_code ORDER BY sale_date DESC) AS rn FROM d),
+fb AS (SELECT product_code, avg(list_price) FILTER (WHERE rn <= 7) AS recent_avg, count(*) AS n, max(sale_date) AS last,
+              avg(is_promo) AS rate, arg_max(promo_count, sale_date) AS last_count FROM dr GROUP BY ALL),
+wd AS (SELECT product_code, isodow(sale_date) - 1 AS weekday, avg(list_price) AS wm FROM d GROUP BY ALL),
+pat AS (SELECT product_code, stddev_samp(wm) AS ws, avg(wm) AS wa FROM wd GROUP BY ALL),
+fut AS (SELECT b.*, n >= 14 AND ws > wa * 0.3 AS use_wd,
+               CAST(unnest(generate_series(CAST(last + 1 AS DATE), CAST(last + 7 AS DATE), INTERVAL 1 DAY)) AS DATE) AS ds
+        FROM fb b LEFT JOIN pat ON pat.product_code = b.product_code)
+SELECT {out_sql(FUTURE_SPEC)} FROM (
+  SELECT fut.product_code, ds,
+         coalesce(CASE WHEN use_wd THEN coalesce(wd.wm, recent_avg) ELSE recent_avg END, 0.0) AS list_price,
+         CASE WHEN CAST('0x' || substr(md5(fut.product_code || '|' || CAST(ds AS VARCHAR) || '|is_promo'), 1, 7) AS BIGINT) / 268435456.0 < rate
+              THEN 1.0 ELSE 0.0 END AS is_promo, CAST(last_count AS DOUBLE) AS promo_count
+  FROM fut LEFT JOIN wd ON wd.product_code = fut.product_code AND wd.weekday = isodow(fut.ds) - 1)
+""")
+def q_future_regressor_values(spark, d):
+    """Regressors of the horizon by kind: numbers, flags, last values."""
+    daily, _ = forecast_inputs(spark, d)
+    return FC.future_values(daily, ["list_price"], ["is_promo"], ["promo_count"]).select(*out_cols(FUTURE_SPEC))
+
+
+def _three(c):
+    """The constant and two columns as a design matrix."""
+    import numpy as np
+    x1, x2 = (c[k].astype(float) for k in c)
+    return np.column_stack([np.ones(len(x1)), x1, x2])
+
+
+def _cramer(sums: str, keys: str, ridge: float) -> str:
+    """Coefficients of [1, x1, x2] on y with ``ridge`` on the squares of the last two, from a relation of sums
+    (n, s1, s2, s11, s12, s22, sy, s1y, s2y), by determinants."""
+    a = [["n", "s1", "s2"], ["s1", f"(s11 + {ridge})", "s12"], ["s2", "s12", f"(s22 + {ridge})"]]
+    y = ["sy", "s1y", "s2y"]
+
+    def det(m):
+        (p, q, r), (u, v, w), (x, z, k) = m
+        return f"({p} * ({v} * {k} - {w} * {z}) - {q} * ({u} * {k} - {w} * {x}) + {r} * ({u} * {z} - {v} * {x}))"
+    cols = [f"{det([[y[i] if j == c else a[i][j] for j in range(3)] for i in range(3)])} / {det(a)} AS b{c}" for c in range(3)]
+    return f"SELECT {keys}n, {', '.join(cols)} FROM {sums}"
+
+
+_SUMS = ("count(*) AS n, sum(x1) AS s1, sum(x2) AS s2, sum(x1 * x1) AS s11, sum(x1 * x2) AS s12, sum(x2 * x2) AS s22, "
+         "sum(y) AS sy, sum(x1 * y) AS s1y, sum(x2 * y) AS s2y")
+COEF_SPEC = "product_code:s n:l b0:f b1:f b2:f"
+
+
+@register("series_coefficients", "M13", sql=with_(tx_cte(), DAILY_SQL, DENSE_SQL, dates_cte(), holiday_sql("dates").strip()) + f"""
+, hw AS (SELECT DISTINCT CAST(date + CAST(off AS INTEGER) AS DATE) AS date FROM legal, (VALUES (-2), (-1), (0), (1), (2)) o(off)),
+r AS (SELECT dense.product_code, date_diff('day', min(sale_date) OVER (PARTITION BY dense.product_code), sale_date) / 365.25 AS x1,
+             CASE WHEN hw.date IS NOT NULL THEN 1.0 ELSE 0.0 END AS x2, qty AS y, count(*) OVER (PARTITION BY dense.product_code) AS days
+      FROM dense LEFT JOIN hw ON hw.date = dense.sale_date),
+sums AS (SELECT product_code, {_SUMS} FROM r WHERE days >= 14 GROUP BY product_code)
+SELECT {out_sql(COEF_SPEC)} FROM ({_cramer("sums", "product_code, ", 1.0)})
+""")
+def q_series_coefficients(spark, d):
+    """Trend and holiday coefficients of each daily series, from sums of products."""
+    daily, cal = forecast_inputs(spark, d)
+    rows = FC.series_rows(daily, cal).withColumn("years", F.col("__t") / 365.25)
+    fits = GM.solve(GM.gram(rows, ["product_code"], ["years", "holiday_window"], _three, "qty"), ["product_code"], _ridge_on_terms(1.0))
+    return fits.select("product_code", "n", *[F.col("beta")[i].alias(f"b{i}") for i in range(3)]).select(*out_cols(COEF_SPEC))
+
+
+def _ridge_on_terms(ridge):
+    def penalty(xtx, n):
+        import numpy as np
+        return np.r_[0.0, np.full(len(xtx) - 1, ridge)]
+    return penalty
+
+
+FIT_SPEC = "model:s n:l b0:f b1:f b2:f"
+
+
+@register("linear_fit_coefficients", "M5 M6", sql=_FEAT_BODY + f"""
+, r AS (SELECT qty AS y, coalesce(discount_rate, 0.0) AS x1, coalesce(qty_mean7, 0.0) / 10 AS x2 FROM f2),
+sums AS (SELECT {_SUMS} FROM r)
+SELECT {out_sql(FIT_SPEC)} FROM (
+  SELECT 'linear_regression' AS model, * FROM ({_cramer("sums", "", 0.0)})
+  UNION ALL SELECT 'ridge', * FROM ({_cramer("sums", "", 1000.0)}))
+""")
+def q_linear_fit_coefficients(spark, d):
+    """Least squares and ridge of the daily quantity on discount rate and 7-row mean, from one pass of sums."""
+    rows = daily_features(spark, d).select(F.lit(0).alias("all"), "qty", F.coalesce("discount_rate", F.lit(0.0)).alias("x1"),
+                                           (F.coalesce("qty_mean7", F.lit(0.0)) / 10).alias("x2"))
+    sums = GM.gram(rows, ["all"], ["x1", "x2"], _three, "qty")
+    fits = [GM.solve(sums, ["all"], _ridge_on_terms(r)).withColumn("model", F.lit(n)) for n, r in (("linear_regression", 0.0), ("ridge", 1000.0))]
+    both = fits[0].unionByName(fits[1])
+    return both.select("model", "n", *[F.col("beta")[i].alias(f"b{i}") for i in range(3)]).select(*out_cols(FIT_SPEC))
 
 
 @register("seasonal_backtest", "M15 E1")

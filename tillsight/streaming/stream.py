@@ -16,7 +16,6 @@ and checkpoint folder under the shared checkpoint folder. The batch twins are in
 
 from __future__ import annotations
 
-import uuid
 from contextlib import contextmanager
 from typing import Callable, Iterator
 
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..session import ensure_checkpoint_dir
+from ..session import run_folder
 from ..sources.starschema import as_hourly
 from .monitor import (EMERGENCY_FLOOR, EMERGENCY_INCREMENT, MAX_ADJUSTMENTS, SMOOTHING_ALPHA, STEP_MULTIPLIER,
                       hours_to_close, sales_updates)
@@ -74,7 +73,7 @@ def run_deliveries(deliveries, name: str, build: Callable[[DataFrame], DataFrame
     """Land each delivery, run ``build`` over the stream until it has caught up (``availableNow``; every run resumes from
     the checkpoint of the one before) and return what the sink holds. ``progress`` collects the runs' progress reports."""
     spark, schema = deliveries[0].sparkSession, deliveries[0].schema
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    base = run_folder(spark, f"stream-{name}")
     for part in deliveries:
         part.write.mode("append").parquet(f"{base}/landing")
         with _rocksdb(spark):
