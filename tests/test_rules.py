@@ -106,3 +106,36 @@ def test_demand_follows_weather_and_calendar(spark):
     args = F.lit(0.8), F.lit(1.0), F.lit(1000.0)
     got = df.select("factor", PR.heuristic_demand(*args, day=PR.PLAN_DAY).alias("d"), PR.heuristic_demand(*args).alias("plain")).collect()
     assert all(math.isclose(r.d, r.plain * r.factor, rel_tol=1e-12) for r in got)
+
+
+def test_request_rules_name_every_reason(spark):
+    rows = [("ok", 5, 10.0, None, "20:00", "22:00", 0.4, 0.9, 4, 0.1), ("hist", 5, None, None, "20:00", "22:00", 0.4, 0.9, 4, 0.1),
+            ("wrap", 5, 10.0, 1.0, "23:00", "01:00", 0.4, 1.0, 1, 0.0), ("all", 0, None, 3.0, "20:00", "20:00", 0.9, 0.4, 0, 0.1),
+            ("nulls", None, None, None, None, None, None, None, None, None), ("dear", 5, 10.0, 9.0, "20:00", "22:00", 0.4, 0.9, 4, 0.1),
+            ("clock", 5, 10.0, 1.0, "8:00", "24:00", 0.4, 1.2, 4, 0.1), ("free", 5, -1.0, 1.0, "20:00", "22:00", 0.4, 0.9, 4, 0.1)]
+    req = spark.createDataFrame(rows, "product_code string, initial_stock long, original_price double, cost_price double, promotion_start string, "
+                                      "promotion_end string, min_discount double, max_discount double, time_segments int, min_gross_margin double")
+    hist = spark.createDataFrame([("hist", 8.0), ("ok", 99.0)], "product_code string, hist_price double")
+    valid, rejected = PR.validate_requests(req.withColumn("note", F.lit("kept")), hist)
+    got = {r.product_code: r for r in valid.collect()}
+    assert set(got) == {"ok", "hist", "wrap"} and got["hist"].original_price == 8.0 and got["ok"].original_price == 10.0
+    assert math.isclose(got["hist"].cost_price, 5.6) and got["wrap"].cost_price == 1.0 and got["ok"].note == "kept"
+    why = {r.product_code: list(r.reasons) for r in rejected.collect()}
+    five = ["stock_must_be_positive", "no_price", "bad_window", "bad_discount_range", "no_segments"]
+    assert why == {"all": five, "nulls": five, "dear": ["margin_out_of_reach"], "clock": ["bad_window", "bad_discount_range"], "free": ["no_price"]}
+
+
+def test_point_in_time_never_looks_ahead(spark):
+    spine = spark.createDataFrame([("a", "2024-01-02 10:00:00"), ("a", "2024-01-05 10:00:00"), ("b", "2024-01-01 00:00:00")], "k string, as_of string")
+    price = spark.createDataFrame([("a", "2024-01-01 00:00:00", 1.0), ("a", "2024-01-02 10:00:00", 2.0), ("a", "2024-01-02 10:00:01", 3.0),
+                                   ("b", "2024-01-02 00:00:00", 9.0)], "k string, at string, price double")
+    stock = spark.createDataFrame([("a", "2023-01-01 00:00:00", 7, None), ("a", "2024-01-04 00:00:00", 8, "x")], "k string, at string, stock int, note string")
+    got = {(r.k, r.as_of): (r.price, r.stock, r.note) for r in FT.point_in_time(spine, {"price": (price, "at"), "stock": (stock, "at")}, ["k"]).collect()}
+    assert got == {("a", "2024-01-02 10:00:00"): (2.0, 7, None), ("a", "2024-01-05 10:00:00"): (3.0, 8, "x"), ("b", "2024-01-01 00:00:00"): (None, None, None)}
+
+
+def test_align_columns(spark):
+    from tillsight.operators.scenario import align_columns
+    df = spark.createDataFrame([(1, "x", None)], "b int, extra string, c double")
+    out = align_columns(df, [("a", "string", "none"), ("b", "double", 0), ("c", "double", 5.0)])
+    assert out.dtypes == [("a", "string"), ("b", "double"), ("c", "double")] and [tuple(r) for r in out.collect()] == [("none", 1.0, None)]

@@ -437,3 +437,23 @@ def slot_feature_vector(buckets: DataFrame, ts: str = "bucket_start", promo_star
         F.coalesce(F.col("discounted_price"), F.lit(100.0)).alias("price"), d.alias("rate"),
         (d < 1).cast("int").alias("has_discount"),
         F.when(d > 0, 1.0 / d).otherwise(F.lit(1.0)).alias("price_ratio"))
+
+
+# ---- J12: point-in-time rows ----------------------------------------------------------
+
+def point_in_time(spine: DataFrame, groups: dict, keys: Sequence[str], as_of: str = "as_of") -> DataFrame:
+    """Every row of ``spine`` (keys, as_of) with the last known values of each feature group at that time.
+
+    ``groups``: {name: (frame, time column)}; a frame holds keys, its time and its own feature columns, any number of rows
+    a key. All groups and the spine become one union, sorted once per key; the last struct of each group up to the
+    spine row is its value (a later one is never seen; none gives nulls). Feature names must differ between groups."""
+    keys = list(keys)
+    union = spine.select(*keys, F.col(as_of).cast("timestamp").alias("__ts"), F.lit(1).alias("__spine"), as_of)
+    columns = {}
+    for name, (df, time) in groups.items():
+        columns[name] = [c for c in df.columns if c not in keys and c != time]
+        part = df.select(*keys, F.col(time).cast("timestamp").alias("__ts"), F.lit(0).alias("__spine"), F.struct(*columns[name]).alias(f"__{name}"))
+        union = union.unionByName(part, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("__ts", "__spine").rowsBetween(Window.unboundedPreceding, 0)
+    seen = union.select(*keys, as_of, "__spine", *[F.last(f"__{n}", ignorenulls=True).over(w).alias(f"__{n}") for n in groups])
+    return seen.where("__spine = 1").select(*keys, as_of, *[F.col(f"__{n}.{c}").alias(c) for n, cs in columns.items() for c in cs])

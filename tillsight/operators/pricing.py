@@ -405,22 +405,33 @@ def batch_report(metrics: DataFrame, plans: DataFrame) -> DataFrame:
                  F.avg("clearance_rate").alias("avg_clearance_rate"))
 
 
-def validate_requests(req: DataFrame, history_price: DataFrame | None = None):
-    """(valid, rejected). Stock must be > 0; missing original price -> mean
-    historical price; missing cost -> 70 % of the price. Rejected rows keep a reason."""
+CLOCK = r"^([01][0-9]|2[0-3]):[0-5][0-9]$"
+
+
+def request_rules() -> list[tuple[str, F.Column]]:
+    """(reason, condition under which a request is refused), in the order of the reasons. Missing values refuse."""
+    c = F.col
+    bad = lambda ok: ~F.coalesce(ok, F.lit(False))
+    window = c("promotion_start").rlike(CLOCK) & c("promotion_end").rlike(CLOCK) & (c("promotion_start") != c("promotion_end"))
+    least = c("original_price") * c("max_discount") * (1 - c("min_gross_margin"))
+    return [("stock_must_be_positive", bad(c("initial_stock") > 0)), ("no_price", bad(c("original_price") > 0)), ("bad_window", bad(window)),
+            ("bad_discount_range", bad((c("min_discount") > 0) & (c("min_discount") <= c("max_discount")) & (c("max_discount") <= 1))),
+            ("no_segments", bad(c("time_segments") >= 1)),
+            # only a known price and range can be out of reach of the margin
+            ("margin_out_of_reach", F.coalesce((c("original_price") > 0) & (c("max_discount") <= 1) & (c("cost_price") > least), F.lit(False)))]
+
+
+def validate_requests(req: DataFrame, history_price: DataFrame | None = None, rules=None) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected). A missing price becomes the mean historical price (``history_price``: product_code,
+    hist_price), a missing cost 70 % of the price; then every rule is evaluated in one pass and a rejected request keeps all its
+    ``reasons``. Columns beyond those of the rules stay."""
     r = req
     if history_price is not None:
         r = r.join(history_price, "product_code", "left").withColumn(
             "original_price", F.coalesce("original_price", "hist_price")).drop("hist_price")
     r = r.withColumn("cost_price", F.coalesce("cost_price", F.col("original_price") * 0.7))
-    reason = (F.when(F.col("initial_stock").isNull() | (F.col("initial_stock") <= 0), "stock_must_be_positive")
-               .when(F.col("original_price").isNull() | (F.col("original_price") <= 0), "no_price"))
-    r = r.withColumn("reject_reason", reason)
-    return r.where(F.col("reject_reason").isNull()).drop("reject_reason"), r.where(F.col("reject_reason").isNotNull())
-
-
-def ceil_div(a, b) -> int:
-    return -(-a // b)
+    r = r.withColumn("reasons", F.array_compact(F.array(*[F.when(refused, F.lit(n)) for n, refused in (rules or request_rules())])))
+    return r.where(F.size("reasons") == 0).drop("reasons"), r.where(F.size("reasons") > 0)
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["math"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import features as FT
 from ..sources.dims import calendar_from_dates, calendar_years_from, calendar_years_sql, weather_from_dates, severity_sql
 from ..sources.starschema import hourly_transactions, transactions
-from .registry import register
+from .registry import REGISTRY, register
 from .sqlparts import calendar_cte, dates_cte, hx_cte, out_cols, out_sql, tx_cte, weather_cte, with_
 
 
@@ -127,6 +127,19 @@ def q_weather_daily_features(spark, d):
     return w.select(*out_cols(WEATHER_SPEC))
 
 
+_WEATHER_BODY = REGISTRY["weather_daily_features"].sql
+
+
+@register("weather_hourly_feed", "P18 P19 P21", sql=_WEATHER_BODY.replace(dates_cte(), "dates AS (SELECT DISTINCT sale_date AS date FROM hx)").replace(tx_cte(), hx_cte()))
+def q_weather_hourly_feed(spark, d):
+    """The weather features of the hourly feed's days."""
+    return FT.weather_type_flags(clean_weather_for(hourly_dates(spark, d))).select(*out_cols(WEATHER_SPEC))
+
+
+def hourly_dates(spark, d):
+    return hourly_transactions(spark, d).select(F.col("sale_date").alias("date")).distinct()
+
+
 NEIGH_SPEC = "date:d is_holiday:i holiday_kind:s prev_day_holiday:i next_day_holiday:i holiday_streak:l"
 
 CAL_FEATURE_SQL = """cc AS (SELECT date, coalesce(holiday_legal, 0) AS is_holiday,
@@ -148,3 +161,10 @@ def calendar_features_for(dates):
     tx_cte(), dates_cte(), calendar_cte(), CAL_FEATURE_SQL) + f"SELECT {out_sql(NEIGH_SPEC)} FROM cs")
 def q_holiday_neighbours_streaks(spark, d):
     return calendar_features_for(fact_dates(spark, d)).select(*out_cols(NEIGH_SPEC))
+
+
+@register("holidays_hourly_feed", "P22 W5 W6", sql=with_(
+    hx_cte(), "dates AS (SELECT DISTINCT sale_date AS date FROM hx)", calendar_cte(), CAL_FEATURE_SQL) + f"SELECT {out_sql(NEIGH_SPEC)} FROM cs")
+def q_holidays_hourly_feed(spark, d):
+    """Holiday flags and runs of the hourly feed's days."""
+    return calendar_features_for(hourly_dates(spark, d)).select(*out_cols(NEIGH_SPEC))

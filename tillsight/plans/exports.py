@@ -7,10 +7,12 @@ import hashlib
 from pyspark.sql import functions as F
 
 from ..operators import features as FT
+from ..operators import pricing as PR
+from ..operators import scenario as SC
 from ..sources import files as FS
 from ..sources.dims import calendar_from_dates, calendar_years_from, calendar_years_sql, weather_from_dates, holiday_sql
 from ..sources.starschema import transactions
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from .calendar import fact_dates, year_range_dates
 from .registry import REGISTRY, register
 from .sqlparts import dates_cte, out_cols, out_sql, tx_cte, weather_cte, with_
@@ -203,3 +205,112 @@ def q_asof_feature_row(spark, d):
     c = REGISTRY["promo_hours_performance"].fn(spark, d)
     j = a.join(b, ["store_code", "product_code"]).join(c, ["store_code", "product_code"], "left")
     return j.select(*[x.strip().split(".")[-1] for x in ROW_SPEC_COLS.split(",")])
+
+
+# Feature row of a model: name, type, default where a group knows nothing of the key.
+FEATURE_ROW = [
+    ("store_code", "string", None), ("product_code", "string", None), ("as_of", "string", None),
+    ("hour_of_day", "int", 0), ("day_of_week", "int", 0), ("month", "int", 1), ("weekend", "int", 0), ("quarter", "int", 1),
+    ("time_to_promo_start", "int", 0), ("time_to_promo_end", "int", 0), ("in_promotion_time", "int", 0), ("is_month_end", "int", 0),
+    ("hist_avg_sales", "double", 0.0), ("hist_sales_std", "double", 0.0), ("hist_promo_sales_ratio", "double", 1.2),
+    ("sales_trend", "double", 0.0), ("last_week_sales", "double", 0.0), ("recent_3h_sales", "double", 0.0),
+    ("avg_price", "double", 0.0), ("price_std", "double", 0.0), ("median_price", "double", 0.0), ("avg_discount", "double", 1.0),
+    ("discount_frequency", "double", 0.0), ("price_elasticity", "double", 1.2),
+    ("temperature", "double", 20.0), ("rainfall", "double", 0.0), ("weather_severity", "int", 0), ("temp_band", "string", "medium"), ("bad_weather", "int", 0),
+    ("is_holiday", "int", 0), ("holiday_kind", "string", "普通日"), ("prev_day_holiday", "int", 0), ("next_day_holiday", "int", 0), ("holiday_streak", "long", 0),
+    ("main_category", "string", "00"), ("pack_size_num", "double", 0.0), ("is_fresh", "int", 0), ("shelf_life_hours", "int", 168),
+    ("competitor_price", "double", 0.0),
+]
+
+
+def _row_sql():
+    groups = {"h": "hist_avg_sales hist_sales_std hist_promo_sales_ratio sales_trend last_week_sales recent_3h_sales",
+              "p": "avg_price price_std median_price avg_discount discount_frequency price_elasticity",
+              "w": "temperature rainfall weather_severity temp_band bad_weather",
+              "c": "is_holiday holiday_kind prev_day_holiday next_day_holiday holiday_streak",
+              "a": "main_category pack_size_num is_fresh shelf_life_hours",
+              "b": "hour_of_day day_of_week month weekend quarter time_to_promo_start time_to_promo_end in_promotion_time is_month_end"}
+    at = {c: f"{g}.{c}" for g, cs in groups.items() for c in cs.split()}
+    sql_type = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE"}
+    lit = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else repr(v)
+    cols = []
+    for n, t, default in FEATURE_ROW:
+        e = at.get(n, f"h.{n}" if n in ("store_code", "product_code", "as_of") else lit(default))
+        cols.append(f"CAST({e if default is None else f'coalesce({e}, {lit(default)})'} AS {sql_type[t]}) AS {n}")
+    return f"""
+WITH h AS ({REGISTRY['asof_history_features'].sql}), p AS ({REGISTRY['price_features'].sql}),
+a AS ({REGISTRY['product_attributes'].sql}), w0 AS ({REGISTRY['weather_hourly_feed'].sql}), c0 AS ({REGISTRY['holidays_hourly_feed'].sql}),
+t AS (SELECT *, CAST(as_of AS TIMESTAMP) AS ts FROM h),
+b AS (SELECT store_code, product_code, hour(ts) AS hour_of_day, isodow(ts) - 1 AS day_of_week, month(ts) AS month,
+             CAST(isodow(ts) >= 6 AS INT) AS weekend, quarter(ts) AS quarter,
+             (((20 - hour(ts)) % 24) + 24) % 24 AS time_to_promo_start, (((22 - hour(ts)) % 24) + 24) % 24 AS time_to_promo_end,
+             CAST(hour(ts) >= 20 AND hour(ts) < 22 AS INT) AS in_promotion_time, CAST(day(ts) >= 25 AS INT) AS is_month_end FROM t)
+SELECT {", ".join(cols)}
+FROM h JOIN b USING (store_code, product_code) LEFT JOIN p USING (store_code, product_code)
+LEFT JOIN a ON a.product_code = h.product_code
+LEFT JOIN w0 w ON w.date = substr(h.as_of, 1, 10) LEFT JOIN c0 c ON c.date = substr(h.as_of, 1, 10)"""
+
+
+@register("asof_full_feature_row", "J12 P35 P12", sql=_row_sql())
+def q_asof_full_feature_row(spark, d):
+    """J12 + P35: one row per (store, product) at its latest time with the base, history, price, weather, calendar and
+    product groups, merged point in time and aligned to the declared schema (a column no group has gets its default)."""
+    keys = ["store_code", "product_code"]
+    own = lambda n: REGISTRY[n].fn(spark, d)
+    hist = cut_lineage(own("asof_history_features"))
+    spine = hist.select(*keys, "as_of")
+    day = F.substring("as_of", 1, 10)
+    dims = {n: spine.join(F.broadcast(own(q).withColumnRenamed("date", "__day")), day == F.col("__day")).drop("__day")
+            for n, q in (("weather", "weather_hourly_feed"), ("calendar", "holidays_hourly_feed"))}
+    product = spine.join(own("product_attributes").drop("category_code", "product_name"), "product_code")
+    base = FT.asof_base_features(spine.withColumn("__text", F.col("as_of")).withColumn("as_of", F.to_timestamp("as_of")))
+    base = base.withColumn("as_of", F.col("__text")).drop("__text")
+    price = own("price_features").join(spine, keys)
+    groups = {"history": (hist, "as_of"), "price": (price, "as_of"), "product": (product, "as_of"), "base": (base, "as_of"),
+              **{n: (df, "as_of") for n, df in dims.items()}}
+    row = FT.point_in_time(spine, groups, keys)
+    row = row.fillna({n: v for n, t, v in FEATURE_ROW if v is not None and n in row.columns})
+    return SC.align_columns(row, FEATURE_ROW)
+
+
+# ---- D13: request validation ------------------------------------------------------------
+
+REQ_SPEC = ("product_code:s initial_stock:f original_price:f cost_price:f promotion_start:s promotion_end:s min_discount:f "
+            "max_discount:f time_segments:i status:s reasons:s")
+
+
+@register("validated_plan_requests", "D13", sql=with_(tx_cte()) + f"""
+, hist AS (SELECT product_code, avg(list_price) AS hist_price FROM tx WHERE qty > 0 AND CAST(product_code AS INT) % 13 <> 0 GROUP BY ALL),
+q AS (SELECT product_code, CAST(product_code AS INT) AS k, CAST(sum(qty) AS BIGINT) AS stock, max(list_price) AS price FROM tx GROUP BY ALL),
+r0 AS (SELECT product_code, CASE WHEN k % 17 = 0 THEN NULL ELSE stock - 100 END AS initial_stock, CASE WHEN k % 3 > 0 THEN price END AS original_price,
+              CASE WHEN k % 5 = 0 THEN price * 0.95 END AS cost_price, '20:00' AS promotion_start,
+              CASE k % 29 WHEN 0 THEN '20:00' WHEN 1 THEN '24:30' ELSE '22:00' END AS promotion_end,
+              0.4 AS min_discount, CASE WHEN k % 23 = 0 THEN 1.4 ELSE 0.9 END AS max_discount, CASE WHEN k % 31 = 0 THEN 0 ELSE 4 END AS time_segments
+       FROM q),
+r1 AS (SELECT r0.* REPLACE (coalesce(original_price, hist_price) AS original_price) FROM r0 LEFT JOIN hist USING (product_code)),
+r2 AS (SELECT * REPLACE (coalesce(cost_price, original_price * 0.7) AS cost_price) FROM r1),
+r3 AS (SELECT *, concat_ws(',',
+    CASE WHEN initial_stock IS NULL OR initial_stock <= 0 THEN 'stock_must_be_positive' END,
+    CASE WHEN original_price IS NULL OR original_price <= 0 THEN 'no_price' END,
+    CASE WHEN NOT regexp_matches(promotion_end, '^([01][0-9]|2[0-3]):[0-5][0-9]$') OR promotion_start = promotion_end THEN 'bad_window' END,
+    CASE WHEN NOT (min_discount > 0 AND min_discount <= max_discount AND max_discount <= 1) THEN 'bad_discount_range' END,
+    CASE WHEN time_segments < 1 THEN 'no_segments' END,
+    CASE WHEN max_discount <= 1 AND original_price > 0 AND cost_price > original_price * max_discount * 0.9 THEN 'margin_out_of_reach' END) AS reasons FROM r2)
+SELECT {out_sql(REQ_SPEC)} FROM (SELECT *, CASE WHEN reasons = '' THEN 'valid' ELSE 'rejected' END AS status FROM r3)
+""")
+def q_validated_plan_requests(spark, d):
+    """A request for each product of the fact (net units less 100 as stock, some fields missing or wrong by its code),
+    checked by all rules in one pass; valid and rejected parts with their reasons."""
+    tx = transactions(spark, d)
+    k = F.col("product_code").cast("int")
+    hist = tx.where((F.col("qty") > 0) & (k % 13 != 0)).groupBy("product_code").agg(F.avg("list_price").alias("hist_price"))
+    q = tx.groupBy("product_code").agg(F.sum("qty").cast("long").alias("stock"), F.max("list_price").alias("price"))
+    req = q.select("product_code", F.when(k % 17 != 0, F.col("stock") - 100).alias("initial_stock"), F.when(k % 3 > 0, F.col("price")).alias("original_price"),
+                   F.when(k % 5 == 0, F.col("price") * 0.95).alias("cost_price"), F.lit("20:00").alias("promotion_start"),
+                   F.when(k % 29 == 0, "20:00").when(k % 29 == 1, "24:30").otherwise("22:00").alias("promotion_end"),
+                   F.lit(0.4).alias("min_discount"), F.when(k % 23 == 0, 1.4).otherwise(0.9).alias("max_discount"),
+                   F.when(k % 31 == 0, 0).otherwise(4).alias("time_segments"), F.lit(0.1).alias("min_gross_margin"))
+    valid, rejected = PR.validate_requests(req, hist)
+    both = valid.withColumn("status", F.lit("valid")).withColumn("reasons", F.lit("")).unionByName(
+        rejected.withColumn("status", F.lit("rejected")).withColumn("reasons", F.array_join("reasons", ",")))
+    return both.select(*out_cols(REQ_SPEC))
