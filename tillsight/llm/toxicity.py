@@ -9,6 +9,7 @@ toxic text is toxic for some of its sentences. A document scores as its worst wo
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from functools import lru_cache
@@ -247,16 +248,29 @@ def _best_cut(clean: np.ndarray, toxic: np.ndarray) -> float:
     return float(cuts[best[len(best) // 2]])
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[tuple[str, int]]:
-    """At most ``most`` labelled texts of each class, by a hash of the id, without the held-out ids
-    (crc32 of the id as text, modulo 3, is 1). A document labelled twice is toxic if any label says so."""
+def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """(doc_id, text, toxic) of at most ``most`` labelled texts of each class, by a hash of the id, without the held-out
+    ids (crc32 of the id as text, modulo 3, is 1). A document labelled twice is toxic if any label says so; of several
+    texts under one id the least stands for it."""
     named = (labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
     first = [named.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)]
     chosen = F.broadcast(first[0].unionByName(first[1]))        # 2 * most rows of two numbers at most
-    rows = (whole_texts(docs).join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
-            .orderBy("doc_id").select("text", "toxic").collect())
-    return [(r[0], int(r[1])) for r in rows]
+    return whole_texts(docs).join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+
+
+def learned(docs: DataFrame, labels: DataFrame) -> SubsequenceMachine | None:
+    """The machine trained on the sample. The bounded sample goes to one task, not to the driver: only the finished
+    machine, one weight for each subsequence, comes back. A lost executor has the task run again."""
+    def run(batches):
+        sample = [row for b in batches for row in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist())]
+        machine = pickle.dumps(train([(text, int(label)) for text, label in sample]))
+        _word_pieces.cache_clear()
+        yield pa.RecordBatch.from_arrays([pa.array([machine], pa.binary())], ["machine"])
+
+    rows = training_sample(docs, labels).repartition(1).sortWithinPartitions("doc_id").select("text", "toxic")
+    found = rows.mapInArrow(run, "machine binary").first()
+    return pickle.loads(found[0]) if found else None
 
 
 def _scores(machine: SubsequenceMachine | None, texts: list) -> list[float]:
@@ -272,7 +286,7 @@ def _scores(machine: SubsequenceMachine | None, texts: list) -> list[float]:
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any other columns, all returned) that ``score_toxicity``
     does not predict as toxic; rows stay where they lie, nothing is shuffled. Null and empty texts stay."""
-    held = docs.sparkSession.sparkContext.broadcast(train(training_sample(docs, labels)))
+    held = docs.sparkSession.sparkContext.broadcast(learned(docs, labels))
 
     def run(batches):
         for batch in batches:
@@ -290,7 +304,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     without texts of both classes every score is 0. held_out of a null doc_id is false. Repeated
     rows stay; an empty table gives no row; other columns are not read."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    held = docs.sparkSession.sparkContext.broadcast(train(training_sample(named, labels)))
+    held = docs.sparkSession.sparkContext.broadcast(learned(named, labels))
 
     def run(batches):
         for batch in batches:
