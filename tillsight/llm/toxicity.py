@@ -9,6 +9,7 @@ toxic text is toxic for some of its sentences. A document scores as its worst wo
 
 from __future__ import annotations
 
+import multiprocessing
 import pickle
 import re
 from collections import Counter
@@ -259,13 +260,28 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> D
     return whole_texts(docs).join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
 
 
+def _in_child(work) -> bytes:
+    """The bytes that ``work`` returns, made in a child process: what it takes of memory is given back at its end,
+    while a task's own process would keep it for the tasks after."""
+    context = multiprocessing.get_context("fork")
+    here, there = context.Pipe(duplex=False)
+    child = context.Process(target=lambda: there.send_bytes(work()))
+    child.start()
+    there.close()
+    try:
+        return here.recv_bytes()
+    except EOFError:
+        raise RuntimeError("the machine could not be trained; the child process wrote why") from None
+    finally:
+        child.join()
+
+
 def learned(docs: DataFrame, labels: DataFrame) -> SubsequenceMachine | None:
     """The machine trained on the sample. The bounded sample goes to one task, not to the driver: only the finished
     machine, one weight for each subsequence, comes back. A lost executor has the task run again."""
     def run(batches):
         sample = [row for b in batches for row in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist())]
-        machine = pickle.dumps(train([(text, int(label)) for text, label in sample]))
-        _word_pieces.cache_clear()
+        machine = _in_child(lambda: pickle.dumps(train([(text, int(label)) for text, label in sample])))
         yield pa.RecordBatch.from_arrays([pa.array([machine], pa.binary())], ["machine"])
 
     rows = training_sample(docs, labels).repartition(1).sortWithinPartitions("doc_id").select("text", "toxic")
