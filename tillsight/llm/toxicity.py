@@ -28,7 +28,8 @@ ORDER = 3               # length of the subsequences compared
 DECAY = 0.6             # factor for each place that a subsequence spans
 WORD = 8                # letters of a unit; longer words give overlapping units
 THRESHOLD = 0.7
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000     # words whose margins a task remembers
+_TEXTS = 200            # texts whose words are looked at together
 _SIZE = 1 << 10         # units compared with the landmarks in one matrix
 _SWAPPED = str.maketrans("013457@$!", "oieastasi")
 _NOT_LETTERS = re.compile(r"[\W_]+")
@@ -289,13 +290,14 @@ def learned(docs: DataFrame, labels: DataFrame) -> SubsequenceMachine | None:
     return pickle.loads(found[0]) if found else None
 
 
-def _scores(machine: SubsequenceMachine | None, texts: list) -> list[float]:
+def _scores(machine: SubsequenceMachine | None, texts: pa.Array) -> list[float]:
+    """Scores of a column of texts, read a few at a time."""
     scores = [0.0] * len(texts)
     if machine is not None:
-        for a in range(0, len(texts), 500):
-            words = [text_words(t or "") for t in texts[a:a + 500]]
+        for a in range(0, len(texts), _TEXTS):
+            words = [text_words(t or "") for t in texts.slice(a, _TEXTS).to_pylist()]
             machine.learn_words(set().union(*words))
-            scores[a:a + 500] = [machine.score(machine.margin(w)) for w in words]
+            scores[a:a + _TEXTS] = [machine.score(machine.margin(w)) for w in words]
     return scores
 
 
@@ -306,7 +308,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            scores = _scores(held.value, batch.column("text").to_pylist())
+            scores = _scores(held.value, batch.column("text"))
             yield batch.filter(pa.array([x < THRESHOLD for x in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -324,7 +326,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def run(batches):
         for batch in batches:
-            scores = _scores(held.value, batch.column("text").to_pylist())
+            scores = _scores(held.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     scored = whole_texts(named).mapInArrow(run, "doc_id long, score double")
