@@ -260,7 +260,7 @@ def calendar_years_from(dates: DataFrame, **tables) -> DataFrame:
 
 def holiday_sql(dates_rel: str) -> str:
     """CTE body list (DuckDB) producing ``hdays(date, name, kind)``, ``legal(date, legal_name)`` (days off),
-    ``hwin(date, window_name)`` and ``obs(m, d, obs_name)``."""
+    ``hwin(date, window_name)`` and ``hobs(m, d, obs_name)``."""
     q = lambda v: "'" + v + "'" if isinstance(v, str) else str(v)
     values = lambda rows: ", ".join("(" + ", ".join(map(q, r)) + ")" for r in rows)
     return f"""
@@ -288,7 +288,7 @@ hwin AS (
   FROM hdays h, (SELECT unnest(range(-7, 8)) AS off) os
   WHERE kind <> 'work' AND off BETWEEN lo AND hi
   GROUP BY 1),
-obs(m, d, obs_name) AS (VALUES {values(OBSERVANCES)})"""
+hobs(m, d, obs_name) AS (VALUES {values(OBSERVANCES)})"""
 
 
 def calendar_sql(dates_rel: str) -> str:
@@ -296,8 +296,8 @@ def calendar_sql(dates_rel: str) -> str:
     D = DUCK
     return holiday_sql(dates_rel) + f""",
 cal0 AS (
-  SELECT d.date, h.name, coalesce(h.kind IN ('legal', 'off'), false) AS free, coalesce(h.kind = 'work', false) AS worked, obs.obs_name
-  FROM {dates_rel} d LEFT JOIN hdays h ON h.date = d.date LEFT JOIN obs ON obs.m = month(d.date) AND obs.d = day(d.date)),
+  SELECT d.date, h.name, coalesce(h.kind IN ('legal', 'off'), false) AS free, coalesce(h.kind = 'work', false) AS worked, hobs.obs_name
+  FROM {dates_rel} d LEFT JOIN hdays h ON h.date = d.date LEFT JOIN hobs ON hobs.m = month(d.date) AND hobs.d = day(d.date)),
 cal AS (
   SELECT date, year(date) AS year, month(date) AS month,
          CAST({D.sunday_week('date')} AS INT) AS yearweek,
@@ -318,9 +318,9 @@ def calendar_years_sql(days_rel: str) -> str:
 cy0 AS (
   SELECT d.date, isodow(d.date) >= 6 AS wk, coalesce(h.kind IN ('legal', 'off'), false) AS free,
          coalesce(h.kind = 'work', false) OR NOT (isodow(d.date) >= 6 OR coalesce(h.kind IN ('legal', 'off'), false)) AS workday,
-         hwin.window_name, h.name, obs.obs_name
+         hwin.window_name, h.name, hobs.obs_name
   FROM {days_rel} d LEFT JOIN hdays h ON h.date = d.date LEFT JOIN hwin ON hwin.date = d.date
-  LEFT JOIN obs ON obs.m = month(d.date) AND obs.d = day(d.date)),
+  LEFT JOIN hobs ON hobs.m = month(d.date) AND hobs.d = day(d.date)),
 cy1 AS (SELECT *, CASE WHEN window_name IS NOT NULL THEN 2 WHEN workday AND wk THEN 1 ELSE 0 END AS holiday_recess FROM cy0),
 cyears AS (
   SELECT year(date) * 10000 + month(date) * 100 + day(date) AS date_int, date AS ds,
