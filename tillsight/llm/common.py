@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillsight.session import ensure_checkpoint_dir
@@ -55,3 +57,22 @@ def byte_slices(items, sizes, limit):
         held += n
     if start < len(items):
         yield start, len(items)
+
+
+def in_parts(run, rows=512):
+    """``run`` over Arrow batches of at most ``rows`` rows, for functions that look at whole texts or sets: what a task
+    holds as Python objects follows the part, not Spark's batch. At its end the task gives freed memory back to the
+    system; the worker process is used again and would keep it beside that of the tasks after."""
+    def parts(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+
+    def wrapped(batches):
+        yield from run(parts(batches))
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import whole_texts
+from .common import in_parts, whole_texts
 
 SAMPLE = 1500           # labelled documents of each class that the machine is trained on, at most
 LANDMARKS = 32          # a quarter of them are common words of clean texts
@@ -311,7 +311,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             scores = _scores(held.value, batch.column("text"))
             yield batch.filter(pa.array([x < THRESHOLD for x in scores], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(in_parts(run), docs.schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,6 +329,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             scores = _scores(held.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    scored = whole_texts(named).mapInArrow(run, "doc_id long, score double")
+    scored = whole_texts(named).mapInArrow(in_parts(run), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "score",
                          F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"))
