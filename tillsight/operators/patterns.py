@@ -202,6 +202,21 @@ def sales_pattern(rows: DataFrame, keys: Sequence[str] = KEYS, lookback_days: in
                .withColumn("worst_hours", F.coalesce("worst_hours", F.lit("2,3,4"))))
 
 
+def nested_sales_pattern(rows: DataFrame, keys: Sequence[str] = KEYS, lookback_days: int = 90, promo: tuple = (20, 22)) -> DataFrame:
+    """A26 as a nested record per key: ``hourly_pattern`` map<hour, struct> and ``weekday_pattern`` map<weekday, struct> beside
+    the scalar fields, with the promo, weather and holiday fields as structs."""
+    keys = _k(keys)
+    r = lookback(rows, keys, days=lookback_days)
+    hours = nested_profile(hourly_profile(r, keys), keys, "hour", "hourly_pattern")
+    days = nested_profile(weekday_profile(r, keys), keys, "weekday", "weekday_pattern")
+    flat = sales_pattern(rows, keys, lookback_days, promo)
+    groups = {"promo_performance": ["promo_avg_sales", "non_promo_avg_sales", "promo_ratio"],
+              "weather_impact": ["rain_impact", "hot_impact", "cold_impact"], "holiday_impact": ["holiday_boost", "weekend_boost"]}
+    inner = {c for cols in groups.values() for c in cols}
+    out = flat.join(hours, keys, "left").join(days, keys, "left")
+    return out.select(*[c for c in out.columns if c not in inner], *[F.struct(*cols).alias(name) for name, cols in groups.items()])
+
+
 def product_summary(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Totals over all rows + the look-back pattern's sensitivity fields."""
     keys = _k(keys)
@@ -356,6 +371,27 @@ def cost_estimate(rows: DataFrame, keys: Sequence[str] = ("product_code",)) -> D
     return g.select(*keys, c.alias("cost_price"))
 
 
+# Cost as a share of the list price by category prefix, and for all other categories.
+CATEGORY_COST_RATES = {"20": 0.4, "30": 0.3, "40": 0.2}
+OTHER_COST_RATE = 0.25
+
+
+def cost_estimate_any(rows: DataFrame, keys: Sequence[str] = ("product_code",)) -> DataFrame:
+    """A37 with its fallbacks, and which of them applied (``cost_method``): keys with a discounted row by ``cost_estimate``
+    ("discounted_price"); others by the share of the mean list price that their category prefix names
+    ("category_rate"); without category or price 0 ("none"). One grouped pass."""
+    m, p, category = F.col("_m"), F.col("_p"), F.col("_category")
+    g = rows.groupBy(*keys).agg(F.avg(F.col("list_price") * F.col("discount_rate")).alias("_m"), F.avg("list_price").alias("_p"),
+                                F.max("is_promo").alias("_promo"), F.min("category_code").alias("_category"))
+    share = F.lit(OTHER_COST_RATE)
+    for prefix, rate in CATEGORY_COST_RATES.items():
+        share = F.when(category.startswith(prefix), rate).otherwise(share)
+    discounted, known = (F.col("_promo") == 1) & m.isNotNull(), category.isNotNull() & p.isNotNull()
+    cost = F.when(discounted, F.least(F.greatest(m * 0.3, m * 0.1), m * 0.9)).when(known, p * share).otherwise(0.0)
+    method = F.when(discounted, "discounted_price").when(known, "category_rate").otherwise("none")
+    return g.select(*keys, cost.alias("cost_price"), method.alias("cost_method"))
+
+
 def product_master(rows: DataFrame, keys: Sequence[str] = ("product_code",)) -> DataFrame:
     """Latest row's attributes (W14) + estimated cost (A37) + 4-bin elasticity."""
     from .features import product_attributes

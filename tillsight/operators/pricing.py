@@ -160,6 +160,30 @@ def best_single_discount(plans: DataFrame, ladder: Sequence[float] = tuple(STAGG
                       (units * price).alias("revenue"), (units * (price - F.col("cost_price"))).alias("profit"))
 
 
+def best_discount_with_leftover(plans: DataFrame, parts: int = 8, leftover_weight: float = 0.3) -> DataFrame:
+    """D5, leftover variant: one discount for the whole window, of the whole percents from ``min_discount`` to 1.
+
+    Each candidate sells through ``parts`` equal parts of the window: M16 demand for the time and stock then left, a part's
+    share of it, whole units, at most the stock left. What stays unsold costs ``leftover_weight`` of its cost price.
+    The largest profit wins, the higher price among equals. All levels are evaluated, where a bisection would
+    trust the profit to have one peak."""
+    day = [c for c in PLAN_DAY if c in plans.columns]
+    percents = F.sequence(F.ceil(F.col("min_discount") * 100 - 1e-9).cast("int"), F.lit(100))
+    g = plans.select("*", F.explode(percents).alias("_percent")).withColumn("discount", F.col("_percent") / F.lit(100.0))
+
+    def sell(left, i):
+        demand = heuristic_demand(F.col("discount"), 1.0 - i / parts, left, day=day)
+        return left - F.least(F.floor(demand / parts), left).cast("long")
+
+    left = F.aggregate(F.sequence(F.lit(0), F.lit(parts - 1)), F.col("initial_stock").cast("long"), sell)
+    g = g.select("plan_id", "discount", "cost_price", (F.col("base_price") * F.col("discount")).alias("price"),
+                 F.col("initial_stock").cast("long").alias("stock"), left.alias("leftover"))
+    g = g.withColumn("sold", F.col("stock") - F.col("leftover")).withColumn("leftover_cost", F.col("leftover") * F.col("cost_price") * leftover_weight)
+    g = g.withColumn("profit", (F.col("price") - F.col("cost_price")) * F.col("sold") - F.col("leftover_cost"))
+    best = g.groupBy("plan_id").agg(F.max(F.struct("profit", "discount", "price", "sold", "leftover", "leftover_cost")).alias("_b"))
+    return best.select("plan_id", "_b.*").withColumn("revenue", F.col("price") * F.col("sold"))
+
+
 # ---- D6 / D7: frontier dynamic program ------------------------------------------------
 
 def stepped_plan(plans: DataFrame, grid: DataFrame, n_steps: int, penalty_weight: float = 0.0,

@@ -127,6 +127,36 @@ def q_weather_daily_features(spark, d):
     return w.select(*out_cols(WEATHER_SPEC))
 
 
+GAP_SPEC = "date:d was_high:i was_low:i temp_high:f temp_low:f temperature:f temp_range:f temp_band:s"
+_FILL = ("coalesce(last_value({c} IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
+         "first_value({c} IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")
+# a station that is silent on the first day and on two days in seven for the high, three in eleven for the low
+_NO_HIGH, _NO_LOW = "date = first_day OR dayofyear(date) % 7 < 2", "date = first_day OR dayofyear(date) % 11 < 3"
+
+
+@register("weather_gap_fill", "S2 P18 P21 W7", sql=with_(tx_cte(), dates_cte(), weather_cte()) + f"""
+, gaps AS (SELECT date, CASE WHEN {_NO_HIGH} THEN '--' ELSE CAST(high AS VARCHAR) END AS high,
+                  CASE WHEN {_NO_LOW} THEN NULL ELSE CAST(low AS VARCHAR) END AS low
+           FROM weather, (SELECT min(date) AS first_day FROM weather)),
+num AS (SELECT date, TRY_CAST(high AS DOUBLE) AS h, TRY_CAST(low AS DOUBLE) AS l FROM gaps),
+fill AS (SELECT date, h, l, {_FILL.format(c='h')} AS temp_high, {_FILL.format(c='l')} AS temp_low FROM num)
+SELECT {out_sql(GAP_SPEC)} FROM (
+  SELECT *, CAST(h IS NOT NULL AS INT) AS was_high, CAST(l IS NOT NULL AS INT) AS was_low,
+         CASE WHEN temperature <= 0 THEN 'severe_cold' WHEN temperature <= 10 THEN 'cold' WHEN temperature <= 20 THEN 'cool'
+              WHEN temperature <= 30 THEN 'warm' WHEN temperature IS NOT NULL THEN 'hot' END AS temp_band
+  FROM (SELECT *, (temp_high + temp_low) / 2 AS temperature, temp_high - temp_low AS temp_range FROM fill))
+""")
+def q_weather_gap_fill(spark, d):
+    """Weather with silent days, unreadable and missing: filled from the day before, the first days from the next."""
+    w = weather_from_dates(fact_dates(spark, d))
+    gaps = w.join(F.broadcast(w.agg(F.min("date").alias("first_day"))), how="inner").select(
+        "date", "code_day", "rainfall", F.expr(f"CASE WHEN {_NO_HIGH} THEN '--' ELSE CAST(high AS STRING) END").alias("high"),
+        F.expr(f"CASE WHEN {_NO_LOW} THEN NULL ELSE CAST(low AS STRING) END").alias("low"))
+    was = gaps.select("date", F.expr("CAST(try_cast(high AS DOUBLE) IS NOT NULL AS INT)").alias("was_high"),
+                      F.col("low").isNotNull().cast("int").alias("was_low"))
+    return FT.weather_bands(FT.clean_weather(gaps)).join(was, "date").select(*out_cols(GAP_SPEC))
+
+
 _WEATHER_BODY = REGISTRY["weather_daily_features"].sql
 
 

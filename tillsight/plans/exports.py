@@ -45,6 +45,34 @@ def q_csv_roundtrip_transactions(spark, d):
         F.min("sale_date").alias("first_date"), F.lit(n_bad).alias("quarantined")).select(*out_cols(CSV_SPEC))
 
 
+BAD_SPEC = "product_code:s rows:l qty:f bad_qty:l bad_price:l"
+_BAD_QTY, _BAD_PRICE = "CAST(order_id AS BIGINT) % 23 = 0", "CAST(order_id AS BIGINT) % 29 = 0"
+
+
+@register("csv_quarantine_by_product", "S1 S3 S7", sql=with_(tx_cte()) + f"""
+SELECT {out_sql(BAD_SPEC)} FROM (
+  SELECT product_code, count(*) FILTER (WHERE NOT ({_BAD_QTY}) AND NOT ({_BAD_PRICE})) AS rows,
+         coalesce(sum(qty) FILTER (WHERE NOT ({_BAD_QTY}) AND NOT ({_BAD_PRICE})), 0.0) AS qty,
+         count(*) FILTER (WHERE {_BAD_QTY}) AS bad_qty, count(*) FILTER (WHERE {_BAD_PRICE}) AS bad_price
+  FROM tx GROUP BY product_code)
+""")
+def q_csv_quarantine_by_product(spark, d):
+    """A till export in which some tills wrote words for numbers: clean rows are summed, quarantined records are read
+    back from their raw text and counted by product and by the field at fault."""
+    tx = transactions(spark, d)
+    damaged = tx.withColumn("qty", F.expr(f"CASE WHEN {_BAD_QTY} THEN 'n/a' ELSE CAST(qty AS STRING) END")) \
+                .withColumn("list_price", F.expr(f"CASE WHEN {_BAD_PRICE} THEN '?' ELSE CAST(list_price AS STRING) END"))
+    path = FS.write_tx_csv(damaged, scratch(spark, "tx_csv_damaged", d))
+    good, bad = FS.read_tx_csv(spark, path, tx.columns)
+    bad = FS.quarantined_fields(bad, tx.columns)
+    both = good.select("product_code", F.lit(1).alias("ok"), "qty", F.lit(0).alias("q"), F.lit(0).alias("p")).unionByName(
+        bad.select("product_code", F.lit(0).alias("ok"), F.lit(None).cast("double").alias("qty"),
+                   (F.col("qty") == "n/a").cast("int").alias("q"), (F.col("list_price") == "?").cast("int").alias("p")))
+    return both.groupBy("product_code").agg(
+        F.sum("ok").alias("rows"), F.coalesce(F.sum("qty"), F.lit(0.0)).alias("qty"), F.sum("q").alias("bad_qty"),
+        F.sum("p").alias("bad_price")).select(*out_cols(BAD_SPEC))
+
+
 W_SPEC = "date:d code_day:s high:i low:i rainfall:f"
 
 

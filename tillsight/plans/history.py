@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import patterns as PT
 from ..operators import scenario as SC
 from ..operators.clean import base_fields
+from ..schema import NO_DISCOUNT
 from ..sources.starschema import hourly_transactions, transactions
 from .features import SLOT_AGG_SQL, hourly_slots
 from .patterns import ENRICHED_SQL, KEYS, KS, elasticity_sql, enriched_hourly
@@ -134,6 +135,25 @@ def q_cost_estimate(spark, d):
     return PT.cost_estimate(base_fields(transactions(spark, d), with_slot=False)).select("product_code", *out_cols("cost_price:f"))
 
 
+ANY_COST_SPEC = "product_code:s sale_date:d cost_price:f cost_method:s"
+_SHARE_SQL = "CASE " + " ".join(f"WHEN starts_with(c, '{k}') THEN CAST({v} AS DOUBLE)" for k, v in PT.CATEGORY_COST_RATES.items()) + f" ELSE CAST({PT.OTHER_COST_RATE} AS DOUBLE) END"
+
+
+@register("cost_estimate_by_day", "A37", sql=with_(hx_cte()) + f"""
+, g AS (SELECT product_code, sale_date, avg(list_price * CASE WHEN gross_amount > 0 THEN 1 - discount_amount / gross_amount END) AS m,
+               avg(list_price) AS p, max(CAST(discount_type <> '{NO_DISCOUNT}' AS INT)) AS promo, min(category_code) AS c FROM hx GROUP BY ALL)
+SELECT {out_sql(ANY_COST_SPEC)} FROM (
+  SELECT product_code, sale_date,
+         CASE WHEN promo = 1 AND m IS NOT NULL THEN least(greatest(m * 0.3, m * 0.1), m * 0.9)
+              WHEN c IS NOT NULL AND p IS NOT NULL THEN p * ({_SHARE_SQL}) ELSE 0.0 END AS cost_price,
+         CASE WHEN promo = 1 AND m IS NOT NULL THEN 'discounted_price' WHEN c IS NOT NULL AND p IS NOT NULL THEN 'category_rate' ELSE 'none' END AS cost_method
+  FROM g)
+""")
+def q_cost_estimate_by_day(spark, d):
+    """Costs from one day's sales of a product: days without a discounted sale take the category's share."""
+    return PT.cost_estimate_any(base_fields(hourly_transactions(spark, d)), ["product_code", "sale_date"]).select(*out_cols(ANY_COST_SPEC))
+
+
 PM_SPEC = ("product_code:s base_price:f category_code:s product_name:s n_rows:l n_days:l avg_qty:f is_fresh:i "
            "shelf_life_hours:i cost_price:f price_elasticity:f")
 

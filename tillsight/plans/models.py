@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as EV
-from .registry import register
+from .registry import REGISTRY, register
 from .sales import DAILY_SQL, daily_product_sales
 from .sqlparts import dates_cte, out_cols, out_sql, r, tx_cte, with_
 
@@ -265,6 +265,28 @@ def q_training_matrix_prep(spark, d):
     return training_matrix(spark, d).select(*out_cols(PREP_SPEC))
 
 
+FOLD_SPEC = "fold:i train_rows:l valid_rows:l train_mean:f valid_mean:f first_day:d last_day:d"
+_PREP_BODY = REGISTRY["training_matrix_prep"].sql
+_PREP_BODY = _PREP_BODY[:_PREP_BODY.rindex("SELECT " + out_sql(PREP_SPEC))]
+
+
+@register("rejoined_search_folds", "U2 M3 M4", sql=_PREP_BODY + f"""
+, train AS (SELECT * FROM enc WHERE position <= floor(n_rows * 0.8)), test AS (SELECT * FROM enc WHERE position > floor(n_rows * 0.8)),
+al AS (SELECT *, CAST(floor((position - 1) / greatest(floor(n_rows / 5), 1)) AS INT) AS block FROM (SELECT * FROM train UNION ALL SELECT * FROM test)),
+fd AS (SELECT unnest(range(0, 4)) AS fold)
+SELECT {out_sql(FOLD_SPEC)} FROM (
+  SELECT fold, count(*) FILTER (WHERE block <= fold) AS train_rows, count(*) FILTER (WHERE block = fold + 1) AS valid_rows,
+         avg(qty) FILTER (WHERE block <= fold) AS train_mean, avg(qty) FILTER (WHERE block = fold + 1) AS valid_mean,
+         min(sale_date) FILTER (WHERE block = fold + 1) AS first_day, max(sale_date) FILTER (WHERE block = fold + 1) AS last_day
+  FROM al, fd GROUP BY fold)
+""")
+def q_rejoined_search_folds(spark, d):
+    """The search's input: the parts of the time split united again, and the folds over all of it."""
+    m = cut_lineage(training_matrix(spark, d))
+    both = ML.rejoin(m.where("is_train = 1"), m.where("is_train = 0"))
+    return ML.fold_sizes(both, "qty").select(*out_cols(FOLD_SPEC))
+
+
 def model_matrix(spark, d):
     """Assembled matrix for the fits: every P34 feature of the daily feature table
     (categoricals label-encoded), label = daily quantity."""

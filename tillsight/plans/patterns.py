@@ -191,6 +191,37 @@ def q_sales_pattern(spark, d):
     return PT.sales_pattern(enriched_hourly(spark, d), KEYS).select(*out_cols(PATTERN_SPEC))
 
 
+NESTED_SPEC = KS + "hours:s weekdays:s promo_ratio:f hot_impact:f weekend_boost:f price_elasticity:f best_hours:s"
+
+
+def _slots_text(map_col, fields):
+    """A map of profiles as text, slots ascending: ``slot=field|field;...``, numbers in ten-thousandths."""
+    num = lambda x: F.coalesce(F.floor(x.cast("double") * 1e4 + 0.500001).cast("long").cast("string"), F.lit("-"))
+    one = lambda e: F.concat(e["key"].cast("string"), F.lit("="), F.concat_ws("|", *[num(e["value"][f]) for f in fields]))
+    return F.array_join(F.transform(F.array_sort(F.map_entries(map_col)), one), ";")
+
+
+def _slots_sql(slot: str, aggs: str) -> str:
+    num = lambda x: f"coalesce(CAST(CAST(floor(CAST({x} AS DOUBLE) * 1e4 + 0.500001) AS BIGINT) AS VARCHAR), '-')"
+    text = " || '|' || ".join(num(x) for x in aggs.split(", "))
+    return (f"SELECT store_code, product_code, string_agg(t, ';' ORDER BY slot) AS txt FROM (SELECT store_code, product_code, {slot} AS slot, "
+            f"CAST({slot} AS VARCHAR) || '=' || {text} AS t FROM lb GROUP BY store_code, product_code, {slot}) GROUP BY ALL")
+
+
+@register("nested_sales_pattern", "F8 A19 A20 A26", sql=with_(*PATTERN_SQL, f"nh AS ({_slots_sql('hour(sale_ts)', 'avg(qty), sum(qty), count(*), avg(discount_rate)')})",
+                                                             f"nw AS ({_slots_sql('((dayofweek(sale_ts) + 6) % 7)', 'avg(qty), sum(qty), count(*)')})") + f"""
+SELECT {out_sql(NESTED_SPEC)} FROM (
+  SELECT pat.*, nh.txt AS hours, nw.txt AS weekdays FROM pat LEFT JOIN nh USING (store_code, product_code) LEFT JOIN nw USING (store_code, product_code))
+""")
+def q_nested_sales_pattern(spark, d):
+    """The nested record of each product; its maps are rendered as text to be compared."""
+    p = PT.nested_sales_pattern(enriched_hourly(spark, d), KEYS)
+    return p.select(*KEYS, _slots_text("hourly_pattern", ["avg_sales", "total_sales", "transactions", "avg_discount"]).alias("hours"),
+                    _slots_text("weekday_pattern", ["avg_sales", "total_sales", "transactions"]).alias("weekdays"),
+                    "promo_performance.promo_ratio", "weather_impact.hot_impact", "holiday_impact.weekend_boost",
+                    "price_elasticity", "best_hours").select(*out_cols(NESTED_SPEC))
+
+
 SUMMARY_SPEC = KS + ("total_qty:f total_revenue:f avg_price:f avg_discount:f discount_std:f sales_trend:f "
                      "discount_frequency:f price_elasticity:f promo_sensitivity:f best_hours:s worst_hours:s "
                      "rain_impact:f hot_impact:f holiday_boost:f weekend_boost:f")

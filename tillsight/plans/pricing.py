@@ -178,6 +178,26 @@ def q_single_discount_plan(spark, d):
     return PR.best_single_discount(plan_requests(spark, d)).select(*out_cols(SINGLE_SPEC))
 
 
+LEFTOVER_SPEC = "plan_id:s discount:f price:f sold:l leftover:l leftover_cost:f revenue:f profit:f"
+
+
+def _leftover_sql(parts: int = 8) -> str:
+    """Every whole percent of every plan, sold part by part."""
+    ctes = ["lf0 AS (SELECT plans.*, u.pct / CAST(100 AS DOUBLE) AS d, initial_stock AS k0 FROM plans, (SELECT unnest(range(0, 101)) AS pct) u "
+            "WHERE u.pct >= ceil(min_discount * 100 - 1e-9))"]
+    for t in range(parts):
+        demand = _demand_sql("d", f"(1.0 - {t} / {parts})", f"k{t}")
+        ctes.append(f"lf{t + 1} AS (SELECT *, k{t} - CAST(least(floor({demand} / {parts}), k{t}) AS BIGINT) AS k{t + 1} FROM lf{t})")
+    return ",\n".join(ctes) + f""",
+lfp AS (SELECT plan_id, d AS discount, base_price * d AS price, initial_stock - k{parts} AS sold, k{parts} AS leftover,
+               k{parts} * cost_price * {dbl(0.3)} AS leftover_cost,
+               (base_price * d - cost_price) * (initial_stock - k{parts}) - k{parts} * cost_price * {dbl(0.3)} AS profit FROM lf{parts})"""
+
+
+def q_leftover_discount_plan(spark, d):
+    return PR.best_discount_with_leftover(plan_requests(spark, d)).select(*out_cols(LEFTOVER_SPEC))
+
+
 # ---- D7 (brute force oracle) ----------------------------------------------------------
 
 def _stagger_paths_sql(slots: int = 4) -> str:
@@ -276,6 +296,12 @@ def _staged_paths_sql(segs: int = 4, levels: int = 5, px: str = "sd") -> str:
     return ",\n".join(ctes)
 
 
+register("leftover_discount_plan", "D5 M16", sql=with_(*PLANS_SQL, _leftover_sql()) + f"""
+SELECT {out_sql(LEFTOVER_SPEC)} FROM (
+  SELECT *, price * sold AS revenue, row_number() OVER (PARTITION BY plan_id ORDER BY profit DESC, discount DESC) AS rk FROM lfp) WHERE rk = 1
+""")(q_leftover_discount_plan)
+
+
 STAGED_SPEC = "plan_id:s t:i start_time:s end_time:s discount:f sold:l price:f revenue:f profit:f total_profit:f"
 
 

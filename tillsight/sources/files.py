@@ -68,6 +68,13 @@ def read_tx_csv(spark: SparkSession, path: str, columns: Sequence[str], tolerant
     return good, bad
 
 
+def quarantined_fields(bad: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """S3: the quarantined records with their fields as text, named as the columns of the export, beside the raw record."""
+    fields = ", ".join(f"f{i} string" for i in range(len(columns)))
+    return bad.select(CORRUPT, F.from_csv(F.col(CORRUPT), fields).alias("_f")).select(
+        CORRUPT, *[F.col(f"_f.f{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def count_rows(bad: DataFrame) -> int:
     """Row count of a quarantine frame (aggregates the whole record, never the corrupt column alone)."""
     return bad.count()
