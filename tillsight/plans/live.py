@@ -50,7 +50,7 @@ perf AS (
            ELSE 0.5 * (a_prog / greatest(1 - time_remaining_ratio, 0.1)) END, 0.0), 1.0) END AS on_track_score,
     CASE WHEN expected_sales > 0 THEN a_prog / greatest(1 - time_remaining_ratio, 0.1) ELSE 1.0 END AS progress_ratio
   FROM p1),
-perf2 AS (SELECT *, CAST(on_track_score < 0.3 OR abs(deviation) > 0.3 OR (sales_rate = 0 AND expected_sales > 0) AS INT)
+perf2 AS MATERIALIZED (SELECT *, CAST(on_track_score < 0.3 OR abs(deviation) > 0.3 OR (sales_rate = 0 AND expected_sales > 0) AS INT)
                    AS needs_adjustment FROM perf)"""
 LIVE_SQL = [*PLANS_SQL, _stagger_paths_sql(), UPD_SQL, PERF_SQL]
 
@@ -68,7 +68,7 @@ ADJ_SPEC = "strategy_id:s at_stage:i t:i factor:f new_discount:f new_price:f new
 
 
 @register("live_adjusted_plan", "R4", sql=with_(*LIVE_SQL) + f"""
-, a AS (SELECT strategy_id, plan_id, t AS at_stage, remaining_stock,
+, a AS MATERIALIZED (SELECT strategy_id, plan_id, t AS at_stage, remaining_stock,
                CASE WHEN on_track_score < 0.3 THEN 1.5 WHEN on_track_score < 0.7 THEN 1.2 WHEN progress_ratio > 1.5 THEN 0.7
                     WHEN progress_ratio > 1.2 THEN 0.9 ELSE 1.0 END AS factor
         FROM perf2 WHERE needs_adjustment = 1 AND remaining_stock > 0),
