@@ -9,7 +9,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import ascii_lower, whole_texts
 from .license_texts import KNOWN
 
-COPYRIGHT_LINE = r"(^|\n)[ \t/*#-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+# A copyright line names a year, (c), © or a placeholder; a line that only begins with the word by its wrapping
+# or with "(c)" as the mark of a clause stays.
+COPYRIGHT_LINE = (r"(^|\n)[ \t/*#-]*(copyright([ \t:]*(\(c\)|©|[<{\[])|[^\n]*(19|20)[0-9][0-9])"
+                  r"|(\(c\)|©)[ \t]*((19|20)[0-9][0-9]|[<{\[]|copyright))[^\n]*")
+# A notice still to be filled in ends with its last placeholder, wherever it stands and however it is wrapped.
+OPEN_NOTICE = r"copyright[ \t:]*(\(c\)|©)?([ \t\r\n,/*#-]*(<[^<>]*>|\[[^\[\]]*\]|\{[^{}]*\}))+"
 # ASCII punctuation, control characters and blanks, and the usual typographic marks
 PUNCTUATION = "[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f ©‐-―‘-‟•]+"
 # Equivalent spellings, left form to right form (published matching guidelines).
@@ -26,14 +31,17 @@ EQUIVALENT = [
     ("whilst", "while"), ("wilful", "willful"), ("non commercial", "noncommercial"), ("copyright holders", "copyright holder"),
     ("copyright owners", "copyright holder"),
 ]
+# Fixed value: a phrase of copyright notices, wherever it stands.
+LEFT_OUT = "all rights reserved"
 
 
 def canonical(text: Column) -> Column:
-    """Normalised text: words joined by two spaces with one at either end, so that neighbouring
-    words never share a separator; blank texts become two spaces."""
-    x = F.regexp_replace(ascii_lower(text), COPYRIGHT_LINE, "\n")
+    """Normalised text: words joined by two spaces with two at either end, so that neighbouring
+    words never share a separator; blank texts become blanks alone."""
+    x = F.regexp_replace(F.regexp_replace(ascii_lower(text), OPEN_NOTICE, " "), COPYRIGHT_LINE, "\n")
     x = F.concat(F.lit(" "), F.regexp_replace(x, PUNCTUATION, "  "), F.lit(" "))
-    x = F.concat(F.lit(" "), F.trim(x), F.lit(" "))
+    x = F.concat(F.lit("  "), F.trim(x), F.lit("  "))
+    x = F.replace(x, F.lit("  " + LEFT_OUT.replace(" ", "  ") + "  "), F.lit("  "))
     for a, b in EQUIVALENT:
         x = F.replace(x, F.lit(" " + a.replace(" ", "  ") + " "), F.lit(" " + b.replace(" ", "  ") + " "))
     return x
@@ -47,8 +55,9 @@ def scan_licenses(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id",
     """doc_id, canonical_sha256, license_id (null where the whole text is no known licence).
 
     ``licenses``: license_id, license_text. Licences with the same canonical text count as the one
-    of least id; blank or null licence texts are left out. Null texts count as empty and match
-    nothing; repeated rows stay; a null doc_id stays null; an empty table gives no row. The
+    of least id; blank or null licence texts are left out. A text may be wrapped at any width; only a line that
+    holds a copyright notice ends the notice with its end. Texts of any length are normalised whole. Null texts
+    count as empty and match nothing; repeated rows stay; a null doc_id stays null; an empty table gives no row. The
     licences are joined by digest: Spark broadcasts them when they are small enough and shuffles
     otherwise, where adaptive execution splits a digest that very many documents share."""
     known = (licenses.select("license_id", F.trim(canonical(F.coalesce("license_text", F.lit("")))).alias("c")).filter("c <> ''")
@@ -63,8 +72,10 @@ def _literal(s: str) -> str:
 
 def _canonical_sql(col: str) -> str:
     x = f"translate({col}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    x = f"regexp_replace({x}, {_literal(OPEN_NOTICE)}, ' ', 'g')"
     x = f"regexp_replace({x}, {_literal(COPYRIGHT_LINE)}, chr(10), 'g')"
-    x = f"' ' || trim(regexp_replace({x}, {_literal(PUNCTUATION)}, '  ', 'g')) || ' '"
+    x = f"'  ' || trim(regexp_replace({x}, {_literal(PUNCTUATION)}, '  ', 'g')) || '  '"
+    x = f"replace({x}, '  {LEFT_OUT.replace(' ', '  ')}  ', '  ')"
     for a, b in EQUIVALENT:
         x = f"replace({x}, '{' ' + a.replace(' ', '  ') + ' '}', '{' ' + b.replace(' ', '  ') + ' '}')"
     return f"sha256(trim({x}))"
