@@ -130,6 +130,22 @@ def _no_spans() -> Column:
     return F.expr(f"cast(array() as {_SPAN})")
 
 
+_BLOCK = 128    # matches of a text that are treated together
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _block_numbers(items: Column) -> Column:
+    return F.sequence(F.lit(0), F.floor((F.size(items) - 1) / _BLOCK).cast("int"))
+
+
+def _block(items: Column, b: Column) -> Column:
+    return F.slice(items, b * _BLOCK + 1, F.lit(_BLOCK))
+
+
 def _matches(rule: Rule) -> Column:
     return F.regexp_extract_all("text", F.lit(_search_pattern(rule)), F.lit(0))
 
@@ -149,10 +165,18 @@ def _spans(rule: Rule, order: int, found: str) -> Column:
         one = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), m["2"].alias("held"))
         return F.struct(end.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
 
+    # arrays grow only within a block of matches, so the work follows their number
     zipped = F.transform(F.arrays_zip(gaps, lengths, held), lambda m: F.struct(
         m["0"].alias("0"), m["1"].alias("1"), m["2"].alias("2")))
-    every = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda s: s["out"])
-    kept = F.transform(F.filter(every, lambda m: m["held"] >= rule.least), lambda m: F.struct(m["start"], m["ord"], m["end"]))
+    blocks = _let(zipped, lambda z: F.transform(_block_numbers(z), lambda b: F.aggregate(
+        _block(z, b), F.struct(F.lit(0).alias("at"), empty.alias("out")), add)))
+
+    def placed(block, offset):
+        return F.transform(F.filter(block["out"], lambda m: m["held"] >= rule.least), lambda m: F.struct(
+            (m["start"] + offset).alias("start"), m["ord"].alias("ord"), (m["end"] + offset).alias("end")))
+
+    kept = _let(blocks, lambda y: F.flatten(F.transform(y, lambda x, b: _let(
+        F.aggregate(F.slice(y, F.lit(1), b), F.lit(0), lambda n, e: n + e["at"]), lambda offset: placed(x, offset)))))
     return F.when(F.size(found) == 0, _no_spans()).otherwise(kept.cast(_SPAN))
 
 
@@ -209,16 +233,31 @@ def find_secrets(docs: DataFrame, rules: list[Rule] | None = None, id_col: str =
     return _with_found(whole_texts(docs, id_col, text_col), rules).withColumnRenamed("__found", "found")
 
 
+def _masked(text: Column, found: Column, instead: str) -> Column:
+    """``text`` with ``instead`` for the spans in ``found``, block by block: a block's own stretch of the text begins
+    where the spans of the blocks before it end."""
+    def one_block(spans, base, piece):
+        def add(s, m):
+            new = F.concat(s["out"], F.substring(piece, s["at"] - base + 1, m["start"] - s["at"]), F.lit(instead))
+            return (F.when((m["start"] > s["at"]) | (s["at"] == 0), F.struct(m["end"].alias("at"), new.alias("out")))
+                    .otherwise(F.struct(F.greatest(s["at"], m["end"]).alias("at"), s["out"].alias("out"))))
+
+        return F.aggregate(spans, F.struct(base.alias("at"), F.lit("").alias("out")), add, lambda s: s["out"])
+
+    ends = F.transform(_block_numbers(found), lambda b: F.array_max(F.transform(_block(found, b), lambda m: m["end"])))
+    return _let(ends, lambda e: F.concat(
+        F.array_join(F.transform(e, lambda end, b: _let(F.coalesce(F.array_max(F.slice(e, F.lit(1), b)), F.lit(0)), lambda base: _let(
+            F.substring(text, base + 1, F.greatest(end - base, F.lit(0))), lambda piece: one_block(_block(found, b), base, piece)))), ""),
+        F.substring(text, F.array_max(e) + 1, F.length(text))))
+
+
 def mask(docs: DataFrame, instead: str, rules: list[Rule] | None = None) -> DataFrame:
     """``docs`` with every found span replaced by ``instead``, overlapping and touching spans as one;
     n_chars, where there is such a column, follows the new text. Other columns, null texts and texts without a
     span stay as they are."""
     rules = BASE_RULES + (MORE_RULES if rules is None else rules)
     found = _with_found(docs.withColumn("__text", F.col("text")).withColumn("text", F.coalesce("text", F.lit(""))), rules)
-    masked = F.expr(
-        "aggregate(__found, named_struct('at', 0, 'out', ''), (s, m) -> if(m.start > s.at or s.at = 0, "
-        f"named_struct('at', m.end, 'out', concat(s.out, substring(text, s.at + 1, m.start - s.at), {_quoted(instead)})), "
-        "named_struct('at', greatest(s.at, m.end), 'out', s.out)), s -> concat(s.out, substring(text, s.at + 1)))")
+    masked = _masked(F.col("text"), F.col("__found"), instead)
     out = found.withColumn("__text", F.when(F.size("__found") > 0, masked).otherwise(F.col("__text")))
     changed = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
