@@ -2,9 +2,9 @@
 
 Texts are counted, longer ones than the longest sequence are cut, and the pieces of each partition
 are packed by best-fit decreasing: a piece goes to the open sequence that it fills best, else the
-sequence length of least cost is opened. Each choice of largest length to open is tried, every
-sequence is finally downsized to the shortest length that holds its contents, and the cheapest
-plan of the partition stands."""
+sequence length of least cost a token, with what the pieces left can fill it, is opened. Every
+sequence is finally downsized to the shortest length that holds its contents. Plans that open one
+length throughout are compared, and the cheapest plan of the partition stands."""
 
 from __future__ import annotations
 
@@ -22,38 +22,76 @@ PIECES = 200_000        # pieces packed together, at most: bounds a task's memor
 _SCHEMA = "doc_id long, piece int, start long, n_tokens long, shard int, sequence long, capacity long, offset long"
 
 
+class _Left:
+    """The pieces not yet placed, by size."""
+
+    def __init__(self, sizes):
+        self.sizes, self.many = (x.tolist() for x in np.unique(np.array(sizes, np.int64), return_counts=True))
+
+    def take_largest(self):
+        self.many[-1] -= 1
+        if not self.many[-1]:
+            self.sizes.pop()
+            self.many.pop()
+
+    def fill(self, room):
+        """How much of ``room`` these pieces take, the largest that fit first."""
+        used, end = 0, len(self.sizes)
+        while room > 0 and (end := bisect.bisect_right(self.sizes, room, 0, end) - 1) >= 0:
+            n = min(self.many[end], room // self.sizes[end]) * self.sizes[end]
+            used, room = used + n, room - n
+        return used
+
+
+def _packed(sizes, lengths, cost, length_for):
+    """(total cost, sequence of each piece, capacity of each sequence) by best-fit decreasing, where
+    ``length_for(piece, pieces left)`` says what to open."""
+    place, used, free, by_free, rest = [], [], [], {}, _Left(sizes)
+    for n in sizes:
+        rest.take_largest()
+        at = bisect.bisect_left(free, n)
+        if at < len(free):                           # the open sequence with the least room that is enough
+            room = free[at]
+            s = by_free[room].pop()
+            if not by_free[room]:
+                del by_free[room]
+                free.pop(at)
+        else:
+            room = length_for(n, rest)
+            s = len(used)
+            used.append(0)
+        used[s] += n
+        place.append(s)
+        if room > n:
+            left = room - n
+            if left not in by_free:
+                bisect.insort(free, left)
+                by_free[left] = []
+            by_free[left].append(s)
+    caps = [lengths[bisect.bisect_left(lengths, u)] for u in used]
+    return sum(map(cost, caps)), place, caps
+
+
 def best_fit(sizes, lengths, cost):
-    """(sequence of each piece, capacity of each sequence) of the cheapest plan for pieces of these
-    sizes, given from the largest to the smallest."""
+    """(sequence of each piece, capacity of each sequence) for pieces of these sizes, given from the largest to the
+    smallest.
+
+    What is opened for a piece is the length of least cost a token, with the tokens that the pieces left can fill it
+    with and the length it can be downsized to then. Packing with one largest length throughout is tried as well,
+    for each length; the cheapest plan stands."""
     lengths = sorted(lengths)
-    plans = []
-    for top in lengths:
-        place, used, free, by_free = [], [], [], {}
-        for n in sizes:
-            at = bisect.bisect_left(free, n)
-            if at < len(free):                           # the open sequence with the least room that is enough
-                room = free[at]
-                s = by_free[room].pop()
-                if not by_free[room]:
-                    del by_free[room]
-                    free.pop(at)
-            else:
-                # least cost a token among the lengths allowed; a longer piece opens what it needs
-                fits = [c for c in lengths if n <= c]
-                room = min([c for c in fits if c <= top] or fits[:1], key=lambda c: (cost(c) / c, c))
-                s = len(used)
-                used.append(0)
-            used[s] += n
-            place.append(s)
-            if room > n:
-                left = room - n
-                if left not in by_free:
-                    bisect.insort(free, left)
-                    by_free[left] = []
-                by_free[left].append(s)
-        caps = [lengths[bisect.bisect_left(lengths, u)] for u in used]
-        plans.append((sum(map(cost, caps)), top, place, caps))
-    _, _, place, caps = min(plans, key=lambda p: (p[0], -p[1]))
+
+    def least_cost(n, rest):
+        def price(c):
+            held = n + rest.fill(c - n)
+            return cost(lengths[bisect.bisect_left(lengths, held)]) / held, -c
+        return min((c for c in lengths if c >= n), key=price)
+
+    def upto(top):
+        return lambda n, rest: max(top, lengths[bisect.bisect_left(lengths, n)])
+
+    plans = [_packed(sizes, lengths, cost, choice) for choice in (least_cost, *map(upto, reversed(lengths)))]
+    _, place, caps = min(plans, key=lambda p: p[0])
     return place, caps
 
 
