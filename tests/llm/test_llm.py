@@ -78,12 +78,39 @@ def test_whole_licenses(spark):
     got = rows(licenses.scan_licenses(docs, licenses.known_licenses(spark)))
     assert {i: n for i, _, n in got if i < 100} == dict(enumerate(want))
     assert {n for i, _, n in got if i >= 200} == {None}
+    assert {i: n for i, _, n in got if 100 <= i < 200} == {i: want[i - 100] for i, _ in texts if 100 <= i < 200}
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
     assert same(got, con.execute(licenses.oracle()).fetchall())
 
 
+def test_licenses_in_other_wrappings(spark):
+    """Wherever paragraphs are wrapped, a text is its licence, but where a copyright notice shares its paragraph."""
+    import textwrap
+    texts = []
+    for n, t in KNOWN:
+        paragraphs = re.split(r"\n[ \t]*\n", t)
+        if any(re.search(r"(?i)copyright \(c\)[^\n]*\n[^\n]*[a-z]", p.strip()) for p in paragraphs):
+            continue
+        texts += [(n, "\n\n".join(textwrap.fill(" ".join(p.split()), w, break_long_words=False, break_on_hyphens=False) for p in paragraphs))
+                  for w in (60, 67, 72, 79, 88, 99)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string").withColumn("license_id", F.lit("x"))
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(docs, licenses.known_licenses(spark)).collect()}
+    assert len(texts) >= 6 * 14
+    assert not {(n, i % 6) for i, (n, _) in enumerate(texts) if got[i] != n}
+
+
+def test_license_clauses_count(spark):
+    known = dict(KNOWN)
+    altered = known["Apache-2.0"].replace("(c) You must retain", "(c) You need not retain")
+    assert altered != known["Apache-2.0"]
+    long = "word " * 400_000
+    docs = spark.createDataFrame([(1, altered), (2, long), (3, "Copyright 2020 A\n\n" + known["ISC"] + "\nAll rights reserved.")], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(docs, licenses.known_licenses(spark)).collect()}
+    assert got == {1: None, 2: None, 3: "ISC"}
+
+
 SECRETS = [(1, "é password: token=abcdefgh 🎉 SECRET='AAAAAAAA1' AKIA" + "Z" * 16 + " " + "0f" * 20), (2, None), (3, ""),
            (4, "password=token: abcdefghij"), (5, "api_key=\"12345678\"" * 3), (5, "api_key=\"12345678\"" * 3), (None, "passwd=x"),
            (7, "ghp_" + "a" * 40 + " token=" + "c" * 64)]
@@ -111,6 +138,25 @@ def test_secrets(spark):
     assert masked[2] is None and masked[3] == "" and masked[4] == "password=token: abcdefghij" and masked[7] == "[secret] [secret]"
 
 
+def test_many_secrets_in_one_text(spark):
+    """Spans and masks are put together block by block; a text may hold very many."""
+    rng = random.Random(6)
+    def made(n):
+        return "é " + "".join(rng.choice(["token=abcdefgh ", "🎉 x ", "AKIA" + "Z" * 16 + ",", "0f" * 20, "secret=" + "0a" * 20 + " "]) for _ in range(n))
+    texts = [(n, made(n)) for n in (1, 127, 128, 129, 256, 700, 20_000)] + [(0, "token=abcdefgh" * 300), (9, None), (10, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("found", F.lit(1))
+    got = {r.doc_id: [tuple(s) for s in r.found] for r in secret_scan.find_secrets(docs).collect()}
+    hidden = {r.doc_id: r.text for r in secret_scan.mask(docs, "[-]").collect()}
+    for i, t in texts:
+        assert got[i] == brute_spans(t)
+        out, at = "", 0
+        for a, _, b in got[i]:
+            if a > at or at == 0:
+                out += t[at:a] + "[-]"
+            at = max(at, b)
+        assert hidden[i] == (t if not got[i] else out + t[at:])
+
+
 def test_private_keys(spark):
     rng = random.Random(9)
     b64 = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n))
@@ -202,6 +248,42 @@ def test_inner_product_topk(spark):
     assert ann.inner_product_topk(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_inner_product_rows_of_one_id(spark):
+    own = [(20, [1.0]), (1, [5.0]), (1, [4.0]), (2, [3.0]), (2, [3.0]), (3, [1.0, 2.0])]
+    got = ann.inner_product_topk(spark.createDataFrame(own, "vec_id long, embedding array<double>").withColumn("query_id", F.lit(9)))
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == [(20, 1, 1, 5.0), (20, 2, 1, 4.0), (20, 3, 2, 3.0)]
+
+
+@pytest.mark.parametrize("n, dim", [(2000, 64), (30_000, 32)])
+def test_inner_product_recall(n, dim):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((n, dim)) * rng.uniform(0.5, 1.5, (n, 1))
+    index = ann.WindowIndex(v, float(np.sqrt((v ** 2).sum(axis=1)).max()))
+    hit = 0
+    for q, at, score in index.search(v[:60], 20):
+        exact = (v * v[q]).sum(axis=1)
+        assert (score == exact[at]).all()
+        hit += len(set(at[np.argsort(-score)[:20]]) & set(np.argsort(-exact)[:20]))
+    assert hit / (60 * 20) >= 0.9
+
+
+def test_long_sign_codes(spark):
+    """Vectors of 128 components beside shorter ones: nothing drops out, and the query equals its SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(4)
+    own = [(i, [float(x) for x in rng.standard_normal((128, 70, 64, 5)[i % 4])]) for i in range(200)]
+    own += [(200, None), (201, []), (202, [1.0, None]), (None, [1.0]), (0, own[0][1]), (100, own[50][1])]
+    got = hamming.hamming_topk(hamming.sign_codes(spark.createDataFrame(own, "vec_id long, embedding array<double>").withColumn("code", F.lit("x"))))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", own)
+    cols = ["query_id", "rank", "vec_id", "distance"]
+    got = [tuple(r[c] for c in cols) for r in got.collect()]
+    assert same(got, con.execute(hamming.oracle()).fetchall()) and {r[0] for r in got} == {0, 50, 100, 150}
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert hamming.hamming_topk(hamming.sign_codes(empty)).count() == 0
+
+
 URLS = [(1, "HTTP://WWW.Example.COM/en/x?q"), (2, "http://a.example.com/en/x"), (3, "http://example.com"), (4, None), (5, "no scheme"),
         (6, "http://x.net/fr/#a"), (7, "http://notcom/"), (8, "http://b.net/en/"), (2, "http://a.example.com/en/x"), (None, "x://com/")]
 
@@ -246,6 +328,47 @@ def test_packing(spark):
     assert len(packing.best_fit(sizes, [64], lambda c: c)[1]) == len(bins)
 
 
+def _cheapest(sizes, lengths, cost):
+    """Least cost over all ways to part the pieces into sequences."""
+    best, loads = [float("inf")], []
+
+    def put(i):
+        if i == len(sizes):
+            best[0] = min(best[0], sum(cost(min(c for c in lengths if c >= u)) for u in loads))
+            return
+        for j in range(len(loads)):
+            if loads[j] + sizes[i] <= max(lengths):
+                loads[j] += sizes[i]
+                put(i + 1)
+                loads[j] -= sizes[i]
+        loads.append(sizes[i])
+        put(i + 1)
+        loads.pop()
+
+    put(0)
+    return best[0]
+
+
+def test_choice_of_lengths():
+    """Near the cheapest parting on small cases, never dearer than the best single length, and lengths are mixed."""
+    rng = random.Random(8)
+    lengths, total, least = (512, 1024, 2048, 4096), 0, 0
+    cost = lambda c: c + 64
+    for _ in range(60):
+        sizes = sorted((rng.choice([rng.randint(1, 600), rng.randint(400, 2200), rng.randint(1500, 4096)]) for _ in range(7)), reverse=True)
+        place, caps = packing.best_fit(sizes, lengths, cost)
+        loads = [sum(n for n, p in zip(sizes, place) if p == s) for s in range(len(caps))]
+        assert all(caps[s] == min(c for c in lengths if c >= u) for s, u in enumerate(loads))
+        total, least = total + sum(map(cost, caps)), least + _cheapest(sizes, lengths, cost)
+    assert total <= 1.04 * least
+    sizes = sorted([300, 700, 1100, 1900, 3000] * 80, reverse=True)
+    place, caps = packing.best_fit(sizes, lengths, cost)
+    single = [packing._packed(sizes, lengths, cost, lambda n, rest: max(top, min(c for c in lengths if c >= n)))[0] for top in lengths]
+    assert sum(map(cost, caps)) <= min(single)
+    only = packing.best_fit([1000] * 30, lengths, cost)[1]
+    assert set(only) <= {1024, 2048, 4096} and sum(map(cost, only)) <= 7 * cost(4096) + cost(2048)
+
+
 def test_packing_by_model_tokens(docs, spark):
     import corpus_pipeline as cp
     import sentencepiece
