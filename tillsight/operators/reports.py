@@ -7,6 +7,8 @@ row), never a window without ``partitionBy`` over fact rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -209,13 +211,18 @@ def autocorrelation(daily: DataFrame, keys: Sequence[str] = ("product_code",), d
 
 
 def daily_series_stats(dense: DataFrame, keys: Sequence[str] = ("product_code",), value: str = "qty") -> DataFrame:
-    """Days, sale days, zero days, total; positive-only mean/std/median/min/max."""
+    """Days, sale days, zero days, total; positive-only mean/std/median/min/max. The exact median, whose
+    aggregation sorts its input, reads the positive rows alone."""
     pos = F.when(F.col(value) > 0, F.col(value))
-    return dense.groupBy(*keys).agg(
+    out = dense.groupBy(*keys).agg(
         F.count("*").alias("days"), F.count_if(F.col(value) > 0).alias("sale_days"),
         F.count_if(F.col(value) == 0).alias("zero_days"), F.sum(value).alias("total"),
         F.avg(pos).alias("pos_mean"), F.stddev_samp(pos).alias("pos_std"),
-        F.median(pos).alias("pos_median"), F.min(pos).alias("pos_min"), F.max(pos).alias("pos_max"))
+        F.min(pos).alias("pos_min"), F.max(pos).alias("pos_max"))
+    mid = dense.where(F.col(value) > 0).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.median(value).alias("pos_median"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return out.join(mid, same, "left").select(*keys, "days", "sale_days", "zero_days", "total", "pos_mean", "pos_std",
+                                              "pos_median", "pos_min", "pos_max")
 
 
 def weekday_stats(dense: DataFrame, keys: Sequence[str] = ("product_code",), date_col: str = "sale_date",
@@ -226,11 +233,14 @@ def weekday_stats(dense: DataFrame, keys: Sequence[str] = ("product_code",), dat
     g = dense.groupBy(*keys, F.weekday(date_col).alias("weekday")).agg(
         F.count("*").alias("n"), F.sum(value).alias("total"),
         F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
-    spine = dense.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(6))).alias("weekday"))
-    return (spine.join(g, keys + ["weekday"], "left")
-                 .select(*keys, "weekday", F.coalesce("n", F.lit(0)).alias("n"),
-                         F.coalesce("total", F.lit(0.0)).alias("total"),
-                         F.coalesce("mean", F.lit(0.0)).alias("mean"), "std"))
+    # a key's groups (7 at most) become one array, so that the empty weekdays need no second pass over the series;
+    # a key with a null has no weekdays of its own
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    g = g.groupBy(*keys).agg(F.collect_list(F.when(known, F.struct("weekday", "n", "total", "mean", "std"))).alias("_g"))
+    day = g.select(*keys, "_g", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("weekday"))
+    day = day.withColumn("_w", F.get(F.filter("_g", lambda x: x["weekday"] == F.col("weekday")), F.lit(0)))
+    return day.select(*keys, "weekday", F.coalesce("_w.n", F.lit(0)).alias("n"), F.coalesce("_w.total", F.lit(0.0)).alias("total"),
+                      F.coalesce("_w.mean", F.lit(0.0)).alias("mean"), F.col("_w.std").alias("std"))
 
 
 def month_stats(dense: DataFrame, keys: Sequence[str] = ("product_code",), date_col: str = "sale_date",
