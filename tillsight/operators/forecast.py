@@ -13,9 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import cut_lineage
-from .gram import gram, solve
+from .gram import BLOCK, matrix, residual_std
+from .gram import ridge as solve_ridge
 from .ml import _design
 from .patterns import future_regressor
 
@@ -28,15 +30,17 @@ def flag_draw(*cols) -> F.Column:
 
 
 def future_values(daily: DataFrame, numbers: Sequence[str] = (), flags: Sequence[str] = (), last: Sequence[str] = (),
-                  keys: Sequence[str] = ("product_code",), date_col: str = "sale_date", horizon: int = HORIZON) -> DataFrame:
+                  keys: Sequence[str] = ("product_code",), date_col: str = "sale_date", horizon: int = HORIZON,
+                  last_date: str | None = None) -> DataFrame:
     """(keys, ds, regressors) for the ``horizon`` days after each key's last row.
 
     Numbers: ``future_regressor`` (last-7 mean, or the weekday mean where weekdays differ). Flags: 1 on as many days as
-    their frequency asks for, drawn by a fixed hash of key, day and name. Others: the value of the last row, 0 where it is null."""
+    their frequency asks for, drawn by a fixed hash of key, day and name. Others: the value of the last row, 0 where it is null.
+    ``last_date`` names the column with the key's last date, where gap-free rows have one."""
     keys = list(keys)
     out = None
     for c in numbers:
-        own = future_regressor(daily, keys, c, date_col, horizon)
+        own = future_regressor(daily, keys, c, date_col, horizon, last_date)
         out = own if out is None else out.join(own, keys + ["ds"])
     stats = daily.groupBy(*keys).agg(F.max(date_col).alias("__last"), *[F.avg(F.col(c).cast("double")).alias(f"__rate_{c}") for c in flags],
                                      *[F.max_by(c, date_col).alias(f"__last_{c}") for c in last])
@@ -86,15 +90,37 @@ def series_rows(daily: DataFrame, calendar: DataFrame, key: str = "product_code"
 
 
 def fit_series(rows: DataFrame, regressors: Sequence[str] = (), key: str = "product_code", ridge: float = RIDGE, target: str = "qty") -> DataFrame:
-    """(key, n, beta, sigma) of each series of ``series_rows``; null regressors count as 0."""
+    """(key, n, beta, sigma) of each series of ``series_rows``; null regressors count as 0.
+
+    The sums of products of a series (some thousand numbers) are added up and solved in the task that holds its days,
+    so that only coefficients leave it; rows dealt by key, as ``daily_grid`` leaves them, are not moved."""
     rows = rows.fillna(0.0, list(regressors)) if regressors else rows
-    sums = gram(rows, [key], ["__t", "__end", "__yearly", "holiday_window", *regressors], _terms(regressors), target)
-    return solve(sums, [key], _penalty(ridge, len(regressors)))
+    inputs = ["__t", "__end", "__yearly", "holiday_window", *regressors]
+    rows = rows.select(key, *inputs, F.col(target).cast("double").alias("__y"))
+    design, penalty = _terms(regressors), _penalty(ridge, len(regressors))
+    schema = to_arrow_schema(rows.select(key).schema)
+    for f in (pa.field("n", pa.int64()), pa.field("beta", pa.list_(pa.float64())), pa.field("sigma", pa.float64())):
+        schema = schema.append(f)
+
+    def fit(series: pa.Table) -> pa.Table:
+        c = {name: series.column(name).to_numpy() for name in [*inputs, "__y"]}
+        z = 0.0
+        for a in range(0, series.num_rows, BLOCK):
+            part = {name: v[a:a + BLOCK] for name, v in c.items()}
+            rows_ = np.column_stack([design(part), part["__y"]])
+            z = z + rows_.T @ rows_
+        xtx, xty, yty, n = matrix(z, len(z) - 1)
+        b = solve_ridge(xtx.copy(), xty, penalty(xtx, n))
+        return pa.table([series.column(key)[:1].cast(schema.field(key).type), pa.array([int(n)], pa.int64()),
+                         pa.array([b.tolist()], pa.list_(pa.float64())), pa.array([residual_std(xtx, xty, yty, n, b)], pa.float64())], schema=schema)
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.groupBy(key).applyInArrow(fit, f"`{key}` {kind}, n long, beta array<double>, sigma double")
 
 
 def seasonal_forecast(daily: DataFrame, calendar: DataFrame, numbers: Sequence[str] = (), flags: Sequence[str] = (),
                       last: Sequence[str] = (), key: str = "product_code", horizon: int = HORIZON, ridge: float = RIDGE,
-                      future: DataFrame | None = None) -> DataFrame:
+                      future: DataFrame | None = None, last_date: str | None = None) -> DataFrame:
     """M13 + M14: (key, ds, yhat, yhat_lower, yhat_upper) for the ``horizon`` days after each series.
 
     ``daily``: gap-free rows (key, sale_date, qty, regressors). ``calendar``: (date, holiday_window), history and horizon;
@@ -103,7 +129,7 @@ def seasonal_forecast(daily: DataFrame, calendar: DataFrame, numbers: Sequence[s
     regressors = [*numbers, *flags, *last]
     span = cut_lineage(series_span(daily, key))
     fits = fit_series(series_rows(daily, calendar, key, span), regressors, key, ridge)
-    future = future if future is not None else future_values(daily, numbers, flags, last, [key], horizon=horizon)
+    future = future if future is not None else future_values(daily, numbers, flags, last, [key], horizon=horizon, last_date=last_date)
     ahead = (future.withColumnRenamed("ds", "sale_date").join(span, key)
              .withColumn("__t", F.datediff("sale_date", "__d0").cast("double"))
              .join(F.broadcast(calendar.withColumnRenamed("date", "sale_date")), "sale_date", "left").fillna(0.0, ["holiday_window", *regressors]))
