@@ -139,3 +139,13 @@ def test_align_columns(spark):
     df = spark.createDataFrame([(1, "x", None)], "b int, extra string, c double")
     out = align_columns(df, [("a", "string", "none"), ("b", "double", 0), ("c", "double", 5.0)])
     assert out.dtypes == [("a", "string"), ("b", "double"), ("c", "double")] and [tuple(r) for r in out.collect()] == [("none", 1.0, None)]
+
+
+def test_rule_discount_of_a_zero_price_or_stock(spark):
+    import math
+    from pyspark.sql import functions as F
+    from tillsight.operators import pricing as PR
+    rows = [(1, 10, 10, 0.0, 3.0), (2, 10, 10, 0.0, 0.0), (3, 0, 0, 2.0, 1.0), (4, 10, 10, 2.0, 1.8)]
+    df = spark.createDataFrame(rows, "k int, initial long, remaining long, base double, cost double")
+    got = {r.k: r.d for r in df.select("k", PR.rule_discount(F.lit(18), F.col("initial"), F.col("remaining"), F.col("base"), F.col("cost")).alias("d")).collect()}
+    assert got[1] == math.inf and math.isnan(got[2]) and math.isnan(got[3]) and got[4] == 0.9
