@@ -51,7 +51,7 @@ SELECT {out_sql(V3_SPEC)} FROM (
   {" UNION ALL ".join(f"SELECT 'transactions' AS table_name, '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM tx" for c in TX_COLS)})
 """)
 def q_null_counts_by_column(spark, d):
-    tx = transactions(spark, d, orders=True, part=True).select(*TX_COLS)
+    tx = transactions(spark, d, orders=True, part=True, marks=TX_COLS).select(*TX_COLS)
     return PF.null_counts(tx, "transactions").select(*out_cols(V3_SPEC))
 
 
@@ -103,7 +103,8 @@ SELECT {out_sql(ROWS_SPEC)} FROM (
   FROM tx GROUP BY product_code)
 """)
 def q_row_filters_by_product(spark, d):
-    tx = transactions(spark, d, orders=True).select(*TX_COLS[:15])
+    used = {"product_code", "qty", "gross_amount", "list_price"}       # of the others only nulls matter
+    tx = transactions(spark, d, orders=True, marks=set(TX_COLS) - used).select(*TX_COLS[:15])
     tx = tx.withColumn("qty", PF.to_number(F.col("qty").cast("string")))
     out = tx.groupBy("product_code").agg(
         F.count("*").alias("rows"), F.count_if(is_positive()).alias("positive_rows"),
