@@ -1,6 +1,7 @@
 """Daily series at scale: the dense grid is made without moving its rows, and steps on it keep them where they are."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -70,3 +71,56 @@ def test_regressor_of_gap_free_rows_needs_no_order(spark):
     same = PT.future_regressor(AG.daily_grid(rows), ["product_code"]).collect()
     got = PT.future_regressor(AG.daily_grid(rows, last="end"), ["product_code"], last="end").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, same)) and len(got) == 14
+
+
+def test_outlier_cleaning_takes_many_series_in_a_call(spark):
+    from tillsight.operators import ml as ML
+    rows = [(f"p{i % 40}", D(2024, 1, 1) + dt.timedelta(days=i // 40), float(i * 7 % 11) if i % 13 else None) for i in range(2400)]
+    df = spark.createDataFrame(rows + [(None, D(2024, 1, 1), 1.0)], "product_code string, sale_date date, qty double")
+    got = ML.clean_all_series(df)
+    assert "FlatMapGroups" not in plan(got)
+    key = lambda r: (r[0] or "", r[1])
+    want = df.repartition(1).sortWithinPartitions("sale_date").groupBy("product_code").applyInPandas(ML.lof_fn(), ML.LOF_SCHEMA)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+
+
+def write_tables(spark, folder):
+    spark.sql("""SELECT id AS l_orderkey, id % 3 AS l_partkey, IF(id = 2, NULL, id) AS l_suppkey, CAST(1 AS INT) AS l_linenumber, 2.0D AS l_quantity,
+        10.0D AS l_extendedprice, 0.1D AS l_discount, 0.0D AS l_tax, IF(id % 4 = 0, 'R', 'N') AS l_returnflag, 'O' AS l_linestatus,
+        CAST('2024-01-01' AS TIMESTAMP) AS l_shipdate FROM range(12)""").write.parquet(f"{folder}/lineitem.parquet")
+    spark.sql("SELECT id AS o_orderkey, IF(id = 1, NULL, id) AS o_custkey, '1-URGENT' AS o_orderpriority FROM range(10)").write.parquet(f"{folder}/orders.parquet")
+    spark.sql("SELECT id AS p_partkey, 'x' AS p_name, 'Brand#1' AS p_brand, CAST(id AS INT) AS p_size FROM range(2)").write.parquet(f"{folder}/part.parquet")
+
+
+def test_counts_of_nulls_shuffle_no_values(spark, tmp_path):
+    from tillsight.plans import profiles as PP
+    folder = str(tmp_path)
+    write_tables(spark, folder)
+    nulls = {r.column_name: r.nulls for r in PP.q_null_counts_by_column(spark, folder).collect()}
+    assert (nulls["store_code"], nulls["member_id"], nulls["channel"], nulls["product_name"], nulls["qty"]) == (1, 3, 2, 4, 0)
+    got = {r.product_code: r for r in PP.q_row_filters_by_product(spark, folder).collect()}
+    assert [got[p].complete_rows for p in "012"] == [4, 2, 2] and got["0"].return_qty == -2.0
+    moved = [line for line in plan(PP.q_row_filters_by_product(spark, folder)).splitlines() if "Project" in line and "l_orderkey" in line]
+    assert not any("cast(l_suppkey" in line and "isnotnull" not in line for line in moved)
+
+
+def test_slot_grid_is_dealt_by_product_once(spark, monkeypatch):
+    rows = [("0", f"p{i % 4}", D(2024, 1, 1 + i % 5), 1 + i % 6, float(i), 1.0, 2.0, 2.0, 0.0, 1.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "store_code string, product_code string, sale_date date, slot int, qty double, gross_amount double, "
+                                     "list_price double, avg_price double, promo_share double, discount_rate double").dropDuplicates(["product_code", "sale_date", "slot"])
+    monkeypatch.setattr(AG, "GRID_ROWS", 5)
+    g = AG.slot_grid(df)
+    assert "hashpartitioning(product_code, sale_date" not in re.sub(r"#\d+", "", plan(g).split("Window", 1)[1].rsplit("HashAggregate", 2)[0].split("HashAggregate")[0])
+    assert g.count() == 4 * 5 * 6 and g.rdd.getNumPartitions() >= 24
+
+
+def test_few_groups_are_sent_to_the_rows(spark):
+    from tillsight.operators import quantiles as QU
+    rows = spark.range(100).select((F.col("id") % 2).alias("__g"), "id")
+    few = spark.createDataFrame([(0, 1.0), (1, 2.0)], "__g long, lo double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in plan(QU.join_groups(rows, few, "__g"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert QU.join_groups(rows, few, "__g").count() == 100

@@ -13,7 +13,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import exact_quantiles
+from ..session import cut_lineage
+from .quantiles import exact_quantiles, join_groups
 
 
 def row_errors(pred: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def level_bins(errs: DataFrame, keys: Sequence[str], n: int = 5) -> DataFrame:
     keys = list(keys)
     edges = exact_quantiles(errs, "actual", [i / n for i in range(n + 1)], keys).select(*keys, F.col("q").alias("_q"))
     st = errs.groupBy(*keys).agg(F.min("actual").alias("_lo"), F.max("actual").alias("_hi"), F.count_distinct("actual").alias("_nd"))
-    j = errs.join(st.join(edges, keys), keys)
+    j = join_groups(errs, cut_lineage(st.join(edges, keys)), keys)
     a = F.col("actual")
     quant = F.size(F.array_distinct("_q")) == n + 1
     qbin = F.size(F.filter(F.slice("_q", 2, n - 1), lambda e: e < a))
