@@ -3,6 +3,7 @@ and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import base64
 import hashlib
+import math
 import random
 import re
 import sys
@@ -432,6 +433,26 @@ def test_jaccard_components(spark, monkeypatch, k, num, den):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], "doc_id long, text string"), k, num, den).count() == 0
 
 
+def test_light_sets_leave_their_subsets_out_of_the_signatures(spark):
+    num, den, n = 9, 10, 39
+    arr = np.sort(np.random.default_rng(5).integers(0, 1 << 63, n).astype(np.uint64))
+    sizes, hashes = jaccard_join._subsets(arr, num, den)
+    assert len(hashes) == len(set(hashes.tolist())) == jaccard_join.subset_cost(n, num, den) == 9920
+    assert sorted(set(sizes.tolist())) == jaccard_join.subset_sizes(n, num, den)
+    # a subset has the same hash whichever set it is a subset of
+    other = jaccard_join._subsets(np.sort(np.append(arr[1:], arr[0] + np.uint64(1))), num, den)
+    assert len(set(zip(sizes.tolist(), hashes.tolist())) & set(zip(*(x.tolist() for x in other)))) == sum(
+        math.comb(n - 1, o) for o in jaccard_join.subset_sizes(n, num, den))
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 7}x{j}" for j in range(n + 2)), None) for i in range(40)],
+                                 "doc_id long, text string, row binary")
+    signed = jaccard_join._signatures(docs, 3, num, den, np.empty(0, np.uint64), n).coalesce(1)
+    arrays = [c for c, t in signed.dtypes if t.startswith("array")]
+    assert signed.agg(F.max(sum((F.size(c) for c in arrays), F.lit(0)))).first()[0] <= 2 * n
+    classes = signed.dropDuplicates(["sid"])
+    made = jaccard_join._subset_rows(classes, num, den)
+    assert made.count() == 7 * 9920 and made.distinct().count() == 7 * 9920
+
+
 def test_near_copies_by_row(spark):
     import corpus_pipeline as cp
     rng = random.Random(11)
