@@ -4,7 +4,9 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tillsight.sources.starschema import as_hourly
 from tillsight.streaming import monitor as MON
@@ -79,6 +81,61 @@ def test_order_within_and_across_deliveries(spark, plans):
         assert r.total_sales == total
 
 
+class CountedState:
+    """A processor's handle and state, with the calls that would go to the JVM counted."""
+    value, calls = None, 0
+
+    def __init__(self):
+        self.timers = set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def fire(self, processor, key, watermark):
+        out = []
+        while due := sorted(t for t in self.timers if t <= watermark):
+            self.timers.remove(due[0])
+            out += processor.handleExpiredTimer(key, TimerValues(-1, watermark), ExpiredTimerInfo(due[0]))
+        return out
+
+
+def test_calls_for_state_do_not_grow_with_slots_and_days():
+    us = lambda i: (1_709_323_200 + i * 150) * 1_000_000
+    closes = 1_709_330_400_000
+    updates = [Row(us=us(i), event_id=i, qty=1.0, closes=closes) for i in range(48)]         # 24 slots
+    state, ordered = CountedState(), ST.OrderedUpdates()
+    ordered.init(state)
+    list(ordered.handleInputRows(("s",), iter(updates[::-1] + updates[:9]), TimerValues(-1, -1)))
+    out = state.fire(ordered, ("s",), closes)
+    assert [(r.event_id, r.seq, r.total_sales) for r in out] == [(i, i + 1, i + 1.0) for i in range(48)]
+    assert state.value is None and not state.timers and state.calls <= 6
+
+    day = 86_400_000
+    sales = [Row(closes=closes + i * day, day=i, qty=2.0, base_rate=1.0) for i in range(60)]
+    state, rates = CountedState(), ST.RateSmoother()
+    rates.init(state)
+    list(rates.handleInputRows(("p", 1), iter(sales[::-1]), TimerValues(-1, -1)))
+    out = state.fire(rates, ("p", 1), closes + 39 * day)
+    assert [(r.day, r.days) for r in out] == [(i, i + 1) for i in range(40)] and out[0].smoothed_rate == 4.0 * 0.4 + 0.6
+    assert len(state.fire(rates, ("p", 1), closes + 60 * day)) == 20 and state.calls <= 9
+
+
 def test_rates_equal_batch_twin(spark, plans):
     events = spark.createDataFrame(some_events(3), SCHEMA)
     base = spark.createDataFrame([("0-1", 0, 2.0), ("0-2", 3, 0.5)], "plan_id string, t int, base_rate double")
