@@ -156,3 +156,21 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert "qty_ma7" in df.columns
+
+
+def test_sales_pattern_sums_in_one_aggregate(spark):
+    """The parts that need only sums of a key's rows are one aggregate, not a join each, and equal the parts alone."""
+    import datetime as dt
+    from tillsight.operators import patterns as PT
+    at = dt.datetime(2024, 3, 1)
+    data = [("0", p, at + dt.timedelta(hours=5 * i + (p or 0)), (at + dt.timedelta(hours=5 * i + (p or 0))).date(), float(1 + i % 4), 3.0 * i, 2.0 + i % 3,
+             (i % 5) / 10.0, i % 2, "01" if i % 3 else "07", 18 + i % 15, i % 7 == 0, i % 6 == 0) for p in (1, 2, None) for i in range(60)]
+    rows = spark.createDataFrame([(*r[:11], int(r[11]), int(r[12])) for r in data], "store_code string, product_code int, sale_ts timestamp, "
+                                 "sale_date date, qty double, gross_amount double, avg_price double, discount_rate double, is_promo int, "
+                                 "code_day string, high int, holiday_legal int, weekend int")
+    got = PT.sales_pattern(rows)
+    kept = PT.lookback(rows)
+    for part in (PT.promo_hours_performance(kept), PT.weather_impact(kept), PT.holiday_impact_ratios(kept)):
+        assert sorted(map(str, part.collect())) == sorted(map(str, got.select(*part.columns).collect()))
+    assert got.count() == 2
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") <= 4
