@@ -12,7 +12,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_slices, vocabulary_bytes, whole_texts
+from .common import byte_slices, in_parts, vocabulary_bytes, whole_texts
 
 BATCH_BYTES = 1 << 20
 PART_BYTES = 32 << 10
@@ -74,5 +74,5 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
                 ["doc_id", "n_bytes", "n_tokens"])
 
     import pyarrow.compute  # noqa: F401  (pa.compute)
-    counted = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)
+    counted = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(in_parts(run), _SCHEMA)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -12,9 +12,10 @@ from __future__ import annotations
 import multiprocessing
 import pickle
 import re
-from collections import Counter
-from functools import lru_cache
-from itertools import combinations
+from array import array
+from collections import Counter, defaultdict
+from collections.abc import Iterable
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +98,7 @@ class SubsequenceMachine:
         number, weight, norm = subsequence_weights(_codes(landmarks))
         self.dense = np.zeros((_DIMENSIONS, len(landmarks)), np.float32)
         np.add.at(self.dense, (number, np.arange(len(landmarks))[:, None]), weight / norm[:, None])
+        self.used = np.unique(number)       # the few subsequences that any landmark has
         value, vector = np.linalg.eigh(self.similarities(landmarks).astype(np.float64))
         keep = value > 1e-3
         self.to_features = vector[:, keep] / np.sqrt(value[keep])
@@ -107,7 +109,8 @@ class SubsequenceMachine:
     def set_weights(self, weight: np.ndarray, bias: float):
         """The machine as one weight for each subsequence: landmarks are no longer needed to score."""
         self.weight, self.bias, self.margins = weight, bias, {}
-        self.scorer = (self.dense @ (self.to_features @ weight)).astype(np.float32)
+        self.scorer = np.zeros(_DIMENSIONS, np.float32)
+        self.scorer[self.used] = self.dense[self.used] @ (self.to_features @ weight)
 
     def similarities(self, strings: list[str]) -> np.ndarray:
         """Normalised kernel of each unit with each landmark."""
@@ -129,7 +132,7 @@ class SubsequenceMachine:
 
     def forget_training(self):
         """Leaves only what scoring needs, so that little is broadcast."""
-        self.dense, self.margins = None, {}
+        self.dense, self.used, self.margins = None, None, {}
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 30, penalty: float = 0.001):
         """Linear machine by dual coordinate descent; ``weight`` is what each example's slack costs."""
@@ -164,35 +167,61 @@ class SubsequenceMachine:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30))))
 
 
-@lru_cache(1 << 16)
-def _word_pieces(word: str) -> frozenset[str]:
-    return frozenset(u[i:i + n] for u in units(word) for n in (4, 5, 6) for i in range(len(u) - n + 1))
+def _word_pieces(word: str) -> set[str]:
+    return {u[i:i + n] for u in units(word) for n in (4, 5, 6) for i in range(len(u) - n + 1)}
 
 
-def _pieces(words: set[str]) -> set[str]:
-    return set().union(*map(_word_pieces, words))
+def _numbered_pieces(words: Iterable[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Number of each piece, the numbers of every word's pieces in one array, and where the words start in it."""
+    number: dict[str, int] = {}
+    held, starts = array("i"), array("q", [0])
+    for w in words:
+        held.extend([number.setdefault(p, len(number)) for p in _word_pieces(w)])
+        starts.append(len(held))
+    return number, np.array(held, np.int32), np.array(starts)
+
+
+def _sentence_words(texts: Iterable[str]) -> set[str]:
+    found: set[str] = set()
+    for text in texts:
+        for sentence in re.split(r"[.!?\n]+", text):
+            found |= text_words(sentence)
+    return found
 
 
 def train(sample: list[tuple[str, int]]) -> SubsequenceMachine | None:
     """The machine for labelled texts (text, 0 or 1), or None unless both classes are there."""
     docs = [(text, label) for text, label in sample if label in (0, 1)]
-    toxic, clean = [text_words(t) for t, l in docs if l], [text_words(t) for t, l in docs if not l]  # noqa: E741
-    if not toxic or not clean:
+    if len({label for _, label in docs}) < 2:
         return None
+    # texts are held as numbers of their words, words as numbers of their pieces: a string is kept once
+    number: dict[str, int] = {}
+    texts = [np.array([number.setdefault(w, len(number)) for w in text_words(t)], np.int32) for t, _ in docs]
+    toxic, clean = ([t for t, (_, own) in zip(texts, docs) if own == label] for label in (1, 0))
+    pieces, held, starts = _numbered_pieces(number)
+
+    def texts_with_piece(texts):
+        n = np.zeros(len(pieces), np.int64)
+        for t in texts:
+            if len(t):
+                n[np.unique(np.concatenate([held[starts[w]:starts[w + 1]] for w in t]))] += 1
+        return n
     # pieces of words that mark toxic texts, by how much more of them hold the piece
-    have, lack = Counter(), Counter()
-    for t in toxic:
-        have.update(_pieces(t))
-    for t in clean:
-        lack.update(_pieces(t))
+    have, lack = texts_with_piece(toxic), texts_with_piece(clean)
     # a piece counts if toxic texts hold it 50 times as often as clean ones, and so often that not one
     # of all the pieces would do so by chance, nor by one text with many copies
     share = len(toxic) / len(docs)
-    least = max(0.03 * len(toxic), np.log(20 * max(1, len(have.keys() | lack.keys()))) / np.log(1 / share))
-    marks = {p: n for p, n in have.items() if n >= least and lack[p] * len(toxic) * 50 <= n * len(clean)}
-    marked_pieces = frozenset(marks)
+    least = max(0.03 * len(toxic), np.log(20 * max(1, len(pieces))) / np.log(1 / share))
+    marks_toxic = (have >= least) & (lack * len(toxic) * 50 <= have * len(clean))
+    names = {i: p for p, i in pieces.items() if marks_toxic[i]}
+    marks = set(names.values())
+    marked_in: dict[int, set[str]] = defaultdict(set)       # by word
+    at = np.flatnonzero(marks_toxic[held])
+    for w, i in zip((np.searchsorted(starts, at, side="right") - 1).tolist(), held[at].tolist()):
+        marked_in[w].add(names[i])
+    del pieces, held, starts, have, lack
     # landmarks: piece by piece the most frequent one in words that no landmark explains yet
-    open_ = [[own for w in t if (own := _word_pieces(w) & marked_pieces)] for t in toxic]
+    open_ = [[marked_in[w] for w in t.tolist() if w in marked_in] for t in toxic]
     landmarks: list[str] = []
     while len(landmarks) < LANDMARKS * 3 // 4:
         have = Counter(p for words in open_ for p in set().union(*words))
@@ -205,21 +234,22 @@ def train(sample: list[tuple[str, int]]) -> SubsequenceMachine | None:
         return None
     # the rest: common clean words, so that the features can tell them apart
     usual = Counter()
-    for w, n in Counter(w for t in clean for w in t).items():
-        for u in units(w):
+    for w, n in zip(number, np.bincount(np.concatenate(clean), minlength=len(number)).tolist()):
+        for u in units(w) if n else ():
             usual[u] += n
-    landmarks += [u for u, _ in sorted(usual.items(), key=lambda x: (-x[1], x[0])) if not any(p in u for p in landmarks)][:LANDMARKS - len(landmarks)]
+    common = sorted(usual, key=lambda u: (-usual[u], u))
+    landmarks += list(islice((u for u in common if not any(p in u for p in landmarks)), LANDMARKS - len(landmarks)))
+    del common
     machine = SubsequenceMachine(landmarks)
 
     # sentences of toxic texts that hold a marked word, by those words; a word that clean texts use is
     # no reason. Sentences of clean texts count by all their words, the ones that look worst first
-    words = {label: set().union(*(text_words(s) for text, l in docs if l == label for s in re.split(r"[.!?\n]+", text))) for label in (0, 1)}  # noqa: E741
     marked = [p for p in landmarks if p in marks]
-    positives = sorted({u for w in words[1] for u in units(w)
+    positives = sorted({u for w in _sentence_words(t for t, label in docs if label) for u in units(w)
                         if usual[u] == 0 and any(p in u for p in marked)})
     if not positives:
         return None
-    negatives = sorted({u for w in words[0] for u in units(w)}, key=lambda u: (-usual[u], u))
+    negatives = sorted({u for w in _sentence_words(t for t, label in docs if not label) for u in units(w)}, key=lambda u: (-usual[u], u))
     good, vectors = machine.features(positives), machine.features(negatives[:2000])
     # every marked piece weighs the same, however many words it is part of, and so do the classes
     kind = [next(p for p in marked if p in u) for u in positives]
@@ -231,11 +261,11 @@ def train(sample: list[tuple[str, int]]) -> SubsequenceMachine | None:
         worst = np.argsort(-machine.unit_margins(negatives), kind="stable")[:1000]
         vectors = np.vstack([vectors, machine.features([negatives[i] for i in worst])])
     # margins to scores: halfway between what the classes reach lies at the threshold
-    worst = {0: [], 1: []}
-    machine.learn_words(set().union(*toxic, *clean))
-    for label, texts in ((1, toxic), (0, clean)):
-        worst[label] = [machine.margin(t) for t in texts]
-    cut = _best_cut(np.array(worst[0]), np.array(worst[1]))
+    del usual, negatives
+    machine.learn_words(set(number))
+    margin = np.array([machine.margins[w] for w in number])
+    worst = [np.array([margin[t].max() if len(t) else -2.0 for t in texts]) for texts in (clean, toxic)]
+    cut = _best_cut(*worst)
     machine.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - machine.slope * cut)
     machine.forget_training()
     return machine
