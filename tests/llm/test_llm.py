@@ -453,6 +453,37 @@ def test_light_sets_leave_their_subsets_out_of_the_signatures(spark):
     assert made.count() == 7 * 9920 and made.distinct().count() == 7 * 9920
 
 
+def test_bitmaps_are_small_and_prune_no_link():
+    rng, num, den = np.random.default_rng(3), 9, 10
+    near = far = 0
+    for n in (1, 40, 64, 65, 480, 1000, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        assert len(jaccard_join._bitmap(a)) * 8 <= max(64, 2 * n)      # a copy goes with each candidate pair
+        for lost in {0, 1, n // 40, n // 20, n // 2}:
+            b = np.unique(np.concatenate([a[lost:], rng.integers(0, 1 << 63, lost).astype(np.uint64)]))
+            found = jaccard_join.bitmap_distance(jaccard_join._bitmap(a), jaccard_join._bitmap(b))
+            assert found <= len(np.setxor1d(a, b))
+            kept = (den + num) * found <= (den - num) * (len(a) + len(b))
+            common = len(np.intersect1d(a, b))
+            if den * common >= num * (len(a) + len(b) - common):
+                assert kept
+                near += 1
+            elif n >= 480 and lost == n // 2:
+                assert not kept
+                far += 1
+    assert near >= 14 and far == 3
+
+
+def test_whole_sets_say_what_they_are_needed_for(spark):
+    docs = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i}", None) for i in range(6)], "doc_id long, text string, row binary")
+    classes = (jaccard_join._signatures(docs, 3, 9, 10, np.empty(0, np.uint64), 0)
+               .select("digest", F.col("doc_id").alias("sid"), F.col("doc_id").alias("rep")))
+    needed = spark.createDataFrame([(0, True, False), (0, False, True), (0, True, False), (2, True, False), (5, False, True)],
+                                   "sid long, paired boolean, listed boolean")
+    got = jaccard_join._whole_sets(docs, needed, classes, 3).select("sid", F.length("arr"), "paired", "listed")
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 16, True, True), (2, 16, True, False), (5, 16, False, True)]
+
+
 def test_near_copies_by_row(spark):
     import corpus_pipeline as cp
     rng = random.Random(11)
