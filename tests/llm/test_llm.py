@@ -538,3 +538,32 @@ def test_pipeline(spark):
     masked = {r.doc_id: r.text for r in cp.mask_secrets(spark, docs, SF).collect()}
     assert all((masked[i] == t) == (not brute_spans(t)) and not brute_spans(masked[i]) for i, t in before)
     assert cp.run(spark, SF).count() > 0
+
+
+def test_a_join_leaves_no_tables_of_its_steps(spark, monkeypatch, tmp_path):
+    from pathlib import Path
+
+    from tillsight.llm import common
+    monkeypatch.setattr(common, "ensure_checkpoint_dir", lambda s: str(tmp_path))
+    rng = random.Random(5)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+    docs = spark.createDataFrame([(i, " ".join([*text[:-1], f"x{i % 200}"])) for i in range(300)], "doc_id long, text string")
+    got = {r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    left = {p.name.rsplit("-", 1)[0] for p in Path(tmp_path, "llm").iterdir()}
+    assert got == {0}
+    assert not left & {"profile", "signatures", "classes", "lists", "listed", "near", "pairs", "sets", "verified", "members", "rest", "star", "forest"}
+    assert sum(p.name.startswith("edges") for p in Path(tmp_path, "llm").iterdir()) == 1
+
+
+def test_stored_tables_keep_no_shuffle_files(spark, tmp_path):
+    from tillsight.llm.common import discard, shuffles_removed, stored
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with shuffles_removed(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name) == before
+    df = stored(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "small")
+    assert df.count() == 7
+    discard(df, spark.range(3))
+    with pytest.raises(Exception):
+        df.collect()
