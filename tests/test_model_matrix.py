@@ -35,3 +35,18 @@ def test_compiled_methods_leaves_the_session_as_it_was(spark):
     with compiled_methods(spark):
         assert spark.conf.get(name) == "8000" and df.count() == 10
     assert spark.conf.get(name) == before
+
+
+def test_the_search_tries_the_whole_grids(spark, monkeypatch):
+    from tillsight.plans import models
+    rows = spark.createDataFrame([(0,)], "features int").select("features", F.lit(1.0).alias("label"), F.lit(0).alias("block"))
+    tried = []
+    monkeypatch.setattr(models, "model_matrix", lambda s, d: (rows, []))
+
+    def fits(matrix, grids, n_splits=5, **more):
+        tried.extend((k, tuple(sorted(p.items()))) for k, g in grids.items() for p in g)
+        return [(k, p, 1.0, 4) for k, g in grids.items() for p in g]
+    monkeypatch.setattr(ML, "tune_by_fits", fits)
+    monkeypatch.setattr(ML, "tune_from_sums", fits)
+    got = models.q_hyperparameter_search(spark, "").collect()
+    assert sorted(tried) == sorted((k, tuple(sorted(p.items()))) for k, g in ML.GRIDS.items() for p in g) and len(got) == len(tried)
