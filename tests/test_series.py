@@ -122,3 +122,42 @@ def test_few_groups_are_sent_to_the_rows(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert QU.join_groups(rows, few, "__g").count() == 100
+
+
+def uneven_series():
+    """Series of many lengths with gaps, from several first days, and one without a key."""
+    import random
+    rng = random.Random(7)
+    rows = []
+    for k, n in enumerate((5, 14, 40, 100, 186, 187, 200, 366, 420, 800, 801)):
+        d0 = D(2022, 1, 1) + dt.timedelta(days=rng.randrange(200))
+        at = sorted({0, n - 1, *(rng.randrange(n) for _ in range(1 + n // 9))})
+        rows += [(f"p{k}", d0 + dt.timedelta(days=i), float(rng.randrange(1, 50)), round(rng.uniform(1, 9), 2), rng.randrange(3)) for i in at]
+    return rows + [(None, D(2022, 1, 1), 4.0, 2.0, 1), (None, D(2022, 3, 1), 4.0, 3.0, 0), ("p1", None, 9.0, 50.0, 1)]
+
+
+def near(a, b):
+    return a == b or (isinstance(a, float) and abs(a - b) <= 1e-7 * max(1.0, abs(a), abs(b)))
+
+
+def test_backtest_of_runs_is_that_of_the_dense_rows(spark):
+    from tillsight.operators import ml as ML
+    df = spark.createDataFrame([r[:3] + (1.0,) for r in uneven_series()], "product_code string, sale_date date, qty double, list_price double")
+    days = [D(2022, 1, 1) + dt.timedelta(days=i) for i in range(0, 1200)]
+    cal = spark.createDataFrame([(d, float(d.day < 4 and d.month % 3 == 0)) for d in days], "date date, holiday_window double")
+    runs = AG.daily_grid(df, runs=True)
+    got = ML.backtest_series(runs, cal)
+    assert "explode" not in plan(got).lower() and "Generate" not in plan(got)
+    dense = AG.daily_grid(df).join(cal.withColumnRenamed("date", "sale_date"), "sale_date", "left").fillna(0.0, ["holiday_window"])
+    want = dense.groupBy("product_code").applyInPandas(ML.backtest_fn(), ML.BACKTEST_SCHEMA).collect()
+    got, want = ({r.product_code: tuple(r)[1:] for r in x} for x in (got.collect(), want))
+    assert got.keys() == want.keys() and len(got) == 11 and got[None][1:] == (0.0, 0.0, 1.0)
+    for k in want:
+        assert all(map(near, got[k], want[k])), (k, got[k], want[k])
+
+
+def test_runs_are_the_grid(spark):
+    rows = daily(spark)
+    got = {(r.product_code, r.sale_date + dt.timedelta(days=i), r.qty if i == 0 else 0.0, r.list_price if i == 0 else r.fill_list_price)
+           for r in AG.daily_grid(rows, runs=True).collect() for i in range(r.run_days)}
+    assert got == {tuple(r) for r in AG.daily_grid(rows).collect()}
