@@ -161,3 +161,37 @@ def test_runs_are_the_grid(spark):
     got = {(r.product_code, r.sale_date + dt.timedelta(days=i), r.qty if i == 0 else 0.0, r.list_price if i == 0 else r.fill_list_price)
            for r in AG.daily_grid(rows, runs=True).collect() for i in range(r.run_days)}
     assert got == {tuple(r) for r in AG.daily_grid(rows).collect()}
+
+
+def test_forecast_of_runs_is_that_of_the_dense_rows(spark):
+    from tillsight.operators import forecast as FC
+    df = spark.createDataFrame(uneven_series(), "product_code string, sale_date date, qty double, list_price double, promo_count int")
+    cal = spark.createDataFrame([(d, float(d.day < 4 and d.month % 3 == 0)) for d in (D(2022, 1, 1) + dt.timedelta(days=i) for i in range(1200))],
+                                "date date, holiday_window double")
+    flag = (F.col("promo_count") > 0).cast("int").alias("is_promo")
+    dense, runs = (AG.daily_grid(df, last="last_date", runs=r).select("*", flag) for r in (False, True))
+    kinds = (["list_price"], ["is_promo"], ["promo_count"])
+    key = lambda r: (r[0] or "", r.ds)
+    for make in (lambda x, r: FC.future_values(x, *kinds, last_date="last_date", runs=r),
+                 lambda x, r: FC.seasonal_forecast(x, cal, *kinds, last_date="last_date", runs=r)):
+        want, got = (sorted(make(x, r).collect(), key=key) for x, r in ((dense, False), (runs, True)))
+        assert len(want) == len(got) >= 70
+        for a, b in zip(want, got):
+            assert all(map(near, a, b)), (a, b)
+
+
+def test_sums_of_runs_are_those_of_the_dense_rows(spark):
+    import numpy as np
+    from tillsight.operators import forecast as FC
+    from tillsight.operators import gram as GM
+    from tillsight.plans.models import _three
+    df = spark.createDataFrame([r[:4] for r in uneven_series()], "product_code string, sale_date date, qty double, list_price double")
+    cal = spark.createDataFrame([(d, float(d.day < 4)) for d in (D(2022, 1, 1) + dt.timedelta(days=i) for i in range(1200))], "date date, holiday_window double")
+    got = FC.run_sums(AG.daily_grid(df, runs=True), cal)
+    assert "Generate" not in plan(got)
+    rows = FC.series_rows(AG.daily_grid(df), cal).withColumn("years", F.col("__t") / 365.25)
+    want = {r.product_code: r.z for r in GM.gram(rows, ["product_code"], ["years", "holiday_window"], _three, "qty").collect()}
+    got = {r.product_code: r.z for r in got.collect()}
+    assert got.keys() == want.keys() and len(got) == 10
+    for k in want:
+        np.testing.assert_allclose(got[k], want[k], rtol=1e-9, atol=1e-9)

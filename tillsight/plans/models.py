@@ -381,12 +381,13 @@ def runs_with_holidays(spark, d):
 
 
 def forecast_inputs(spark, d):
-    """Gap-free daily product series with their regressors, and the holiday windows of their years and the horizon."""
+    """Gap-free daily product series as runs (dense rows are many times the days that sold) with their regressors, and
+    the holiday windows of their years and the horizon."""
     from .calendar import fact_dates
     from .reports import dense_daily
-    # the fit, the spans and the regressors of the horizon fill the gaps anew: the dense rows are many times the daily ones
-    daily = dense_daily(spark, d, last="last_date").select("product_code", "sale_date", "qty", "list_price", "promo_count",
-                                                           (F.col("promo_count") > 0).cast("int").alias("is_promo"), "last_date")
+    daily = dense_daily(spark, d, last="last_date", runs=True).select(
+        "product_code", "sale_date", "qty", "list_price", "promo_count", (F.col("promo_count") > 0).cast("int").alias("is_promo"),
+        "run_days", "fill_list_price", "last_date")
     span = fact_dates(spark, d).agg(F.min("date").alias("a"), F.max("date").alias("b"))
     days = span.select(F.explode(F.sequence(F.col("a"), F.date_add("b", FC.HORIZON))).alias("date"))
     return daily, FC.holiday_window(days, holiday_days(days))
@@ -397,7 +398,7 @@ def q_seasonal_forecast(spark, d):
     """Next 7 days per product with a 95 % interval: trend, waves, holiday window of the day, price, promotion and
     the last promotion count, fitted from sums of products per series."""
     daily, cal = forecast_inputs(spark, d)
-    return FC.seasonal_forecast(daily, cal, numbers=["list_price"], flags=["is_promo"], last=["promo_count"], last_date="last_date")
+    return FC.seasonal_forecast(daily, cal, numbers=["list_price"], flags=["is_promo"], last=["promo_count"], last_date="last_date", runs=True)
 
 
 FUTURE_SPEC = "product_code:s ds:d list_price:f is_promo:f promo_count:f"
@@ -423,7 +424,7 @@ SELECT {out_sql(FUTURE_SPEC)} FROM (
 def q_future_regressor_values(spark, d):
     """Regressors of the horizon by kind: numbers, flags, last values."""
     daily, _ = forecast_inputs(spark, d)
-    return FC.future_values(daily, ["list_price"], ["is_promo"], ["promo_count"], last_date="last_date").select(*out_cols(FUTURE_SPEC))
+    return FC.future_values(daily, ["list_price"], ["is_promo"], ["promo_count"], last_date="last_date", runs=True).select(*out_cols(FUTURE_SPEC))
 
 
 def _three(c):
@@ -462,8 +463,7 @@ SELECT {out_sql(COEF_SPEC)} FROM ({_cramer("sums", "product_code, ", 1.0)})
 def q_series_coefficients(spark, d):
     """Trend and holiday coefficients of each daily series, from sums of products."""
     daily, cal = forecast_inputs(spark, d)
-    rows = FC.series_rows(daily, cal).withColumn("years", F.col("__t") / 365.25)
-    fits = GM.solve(GM.gram(rows, ["product_code"], ["years", "holiday_window"], _three, "qty"), ["product_code"], _ridge_on_terms(1.0))
+    fits = GM.solve(FC.run_sums(daily, cal), ["product_code"], _ridge_on_terms(1.0))
     return fits.select("product_code", "n", *[F.col("beta")[i].alias(f"b{i}") for i in range(3)]).select(*out_cols(COEF_SPEC))
 
 
