@@ -195,3 +195,24 @@ def test_sums_of_runs_are_those_of_the_dense_rows(spark):
     assert got.keys() == want.keys() and len(got) == 10
     for k in want:
         np.testing.assert_allclose(got[k], want[k], rtol=1e-9, atol=1e-9)
+
+
+def test_centred_means_of_runs_are_those_of_the_dense_rows(spark):
+    from pyspark.sql import Window
+    from tillsight.operators import features as FT
+    df = spark.createDataFrame([r[:4] for r in uneven_series()], "product_code string, sale_date date, qty double, list_price double")
+    keys, order = ["product_code"], ["sale_date"]
+    got = FT.centred_over_runs(FT.cumulative(AG.daily_grid(df, runs=True), keys, order), keys, order)
+    g = AG.daily_grid(df).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+    for k in range(2, 8):
+        g = FT.centred_moving_average(g, keys, order, window=k, out=f"c{k}")
+    w = F.least(F.lit(7), F.floor(F.col("n") / 4))
+    g = FT.cumulative(g.withColumn("qty_cma", F.coalesce(*[F.when(w == k, F.col(f"c{k}")) for k in range(2, 8)])), keys, order)
+    cols = ["product_code", "sale_date", "qty", "qty_cma", "qty_cum"]
+    key = lambda r: (r[0] or "", r[1])
+    a, b = (sorted(x.select(*cols).collect(), key=key) for x in (got, g))
+    assert len(a) == len(b) > 3000
+    for x, y in zip(a, b):
+        assert all(map(near, x, y)), (x, y)
+    tree = plan(got)
+    assert tree.index("Generate") < tree.index("Window")        # dense rows are made after the last sort
