@@ -132,3 +132,19 @@ def test_search_over_all_kinds(spark):
             b = np.linalg.solve(xs.T @ xs + alpha * len(xs) * np.eye(3), xs.T @ (y[tr] - y[tr].mean()))
             rmses.append(np.sqrt(np.mean((y[va] - y[tr].mean() - ((x[va] - m) / s) @ b) ** 2)))
         assert math.isclose(r.mean_rmse, np.mean(rmses), rel_tol=1e-8)
+
+
+def test_rounds_of_boosting_share_a_fit(spark, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 3))
+    y = x @ [2.0, -1.0, 0.0] + x[:, 0] * x[:, 1] + rng.normal(size=200) * 0.3
+    df = spark.createDataFrame([(r.tolist(), float(v), i // 40) for i, (r, v) in enumerate(zip(x, y))], "x array<double>, label double, block int") \
+              .select(array_to_vector("x").alias("features"), "label", "block").coalesce(1).cache()
+    alone = [ML.tune_by_fits(df, {"gbt": [{"maxIter": k, "maxDepth": 2, "stepSize": 0.1}]})[0] for k in (2, 4)]
+    fits, fit = [], GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, d: fits.append(self.getMaxIter()) or fit(self, d))
+    got = ML.tune_by_fits(df, {"gbt": [{"maxIter": k, "maxDepth": 2, "stepSize": 0.1} for k in (4, 2)]})
+    assert fits == [4] * 4 and [p["maxIter"] for _, p, _, _ in got] == [4, 2]
+    for (_, p, rmse, n), want in zip(got, alone[::-1]):
+        assert p == want[1] and n == 4 and math.isclose(rmse, want[2], rel_tol=1e-9)

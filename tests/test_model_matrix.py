@@ -50,3 +50,15 @@ def test_the_search_tries_the_whole_grids(spark, monkeypatch):
     monkeypatch.setattr(ML, "tune_from_sums", fits)
     got = models.q_hyperparameter_search(spark, "").collect()
     assert sorted(tried) == sorted((k, tuple(sorted(p.items()))) for k, g in ML.GRIDS.items() for p in g) and len(got) == len(tried)
+
+
+def test_a_table_is_one_compressed_copy(spark):
+    from pathlib import Path
+
+    from tillsight.session import cut_to_table, discard
+    df = spark.range(20000).select((F.col("id") % 3).cast("double").alias("a"), F.lit(None).cast("string").alias("b"))
+    t = cut_to_table(df, "tiny")
+    at = Path(t.__dict__["_stored_at"].removeprefix("file:"))
+    assert t.count() == 20000 and t.schema == df.schema and sum(f.stat().st_size for f in at.iterdir()) < 160000
+    discard(t)
+    assert not at.exists()
